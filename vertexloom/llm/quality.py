@@ -12,28 +12,28 @@ from pyspark.sql import functions as F
 from vertexloom.llm.base import WORD_GAP
 
 SYMBOLS = "#*$%&|<>"
-#: Fixed list: phrases of licence, cookie and site furniture lines, lower case.
-BOILERPLATE = (
-    "all rights reserved",
-    "licensed under",
-    "released under the",
-    "is licensed under",
-    "terms of use",
-    "terms of service",
-    "privacy policy",
-    "cookie policy",
-    "accept cookies",
-    "enable javascript",
-    "click here",
-    "read more",
-    "sign in",
-    "log in",
-    "subscribe to our",
-    "share this",
-    "skip to content",
-    "back to top",
-    "lorem ipsum",
-)
+#: A line with a word.
+WORDED = "[^\\x20\\x09-\\x0D]"
+#: Fixed list: phrases of licence, cookie and site furniture lines, lower case, by a word that each must hold.
+BOILERPLATE = {
+    "rights": "all rights reserved",
+    "licensed": "licensed under",
+    "released": "released under the",
+    "terms": "terms of use",
+    "privacy": "privacy policy",
+    "cookie": "cookie policy",
+    "accept": "accept cookies",
+    "enable": "enable javascript",
+    "click": "click here",
+    "read": "read more",
+    "sign": "sign in",
+    "log": "log in",
+    "subscribe": "subscribe to our",
+    "share": "share this",
+    "skip": "skip to content",
+    "back": "back to top",
+    "lorem": "lorem ipsum",
+}
 
 
 def let(value: Column, body) -> Column:
@@ -42,7 +42,9 @@ def let(value: Column, body) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
+    """Words of a text that isn't null."""
+    bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WORD_GAP))
 
 
 def repeated_words(ws: Column, k: int = 5) -> Column:
@@ -62,8 +64,10 @@ def repeated_words(ws: Column, k: int = 5) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(let(pairs, starts), covered))
 
-    windows = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.slice(ws, i, k)))
-    return F.when(n > k, let(windows, judged)).otherwise(0)
+    def windows(h: Column) -> Column:  # h: hash of each word, less the last k - 1
+        return F.transform(F.slice(h, 1, n - k + 1), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)]))
+
+    return F.when(n > k, let(let(F.transform(ws, lambda w: F.xxhash64(w)), windows), judged)).otherwise(0)
 
 
 def line_fails(line: Column) -> Column:
@@ -77,7 +81,7 @@ def line_fails(line: Column) -> Column:
 
     def judged(ws: Column) -> Column:
         n, chars = F.size(ws), F.char_length(line)
-        boiler = (n < 40) & let(F.lower(line), lambda low: F.exists(F.array(*[F.lit(b) for b in BOILERPLATE]), lambda b: F.contains(low, b)))
+        boiler = (n < 40) & marked(ws) & let(F.lower(line), lambda low: F.exists(F.array(*[F.lit(b) for b in BOILERPLATE.values()]), lambda b: F.contains(low, b)))
         seps = F.size(F.filter(ws, lambda w: w.isin("|", "»", ">", "•", "/", "·")))
         navigation = let(seps, lambda k: (k >= 3) & (k * 5 > n))
         symbols = (chars - F.char_length(F.translate(line, SYMBOLS, ""))) * 10 > chars
@@ -87,6 +91,17 @@ def line_fails(line: Column) -> Column:
     return let(words(line), judged)
 
 
+def marked(ws: Column) -> Column:
+    """Whether one of the words is that of a boilerplate phrase, in lower, title or upper case."""
+    keys = [f(w) for w in BOILERPLATE for f in (str.lower, str.title, str.upper)]
+    return F.arrays_overlap(ws, F.array(*[F.lit(k) for k in keys]))
+
+
+def may_fail(text: Column, ws: Column) -> Column:
+    """False only for texts none of whose lines can fail: what every rule needs is looked for in the whole text."""
+    return F.rlike(text, F.lit(f"[{SYMBOLS}»•/·!?]")) | marked(ws)
+
+
 def gapless(text: Column) -> Column:
     """Characters that aren't white space between words."""
     return F.char_length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long")
@@ -96,26 +111,24 @@ def _verdict(text: Column, most_lost: float) -> Column:
     """All of a document's findings in one struct; what is used twice is bound, so nothing is evaluated twice."""
 
     def of_words(ws: Column) -> Column:
-        lines = F.split(text, "\n")
-        worded = let(F.filter(lines, lambda x: gapless(x) > 0), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-        clean = F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n")
+        worded = let(F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORDED))), lambda x: F.size(x) - F.size(F.array_distinct(x)))
         return let(
             F.struct(
                 F.size(ws).cast("long").alias("n_words"),
-                gapless(text).alias("word_chars"),
-                (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+                F.char_length(F.array_join(ws, "")).cast("long").alias("word_chars"),
+                F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
                 worded.cast("long").alias("n_dup_lines"),
                 repeated_words(ws).cast("long").alias("n_repeat_words"),
-                clean.alias("clean_text"),
+                F.when(may_fail(text, ws), F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x)), "\n")).alias("cleaned"),
             ),
             judged,
         )
 
     def judged(v: Column) -> Column:
         failed = (v["n_words"] < 10) | (100 * v["n_repeat_words"] > 20 * v["n_words"])
-        lost = F.when(v["word_chars"] > 0, 1 - gapless(v["clean_text"]) / v["word_chars"]).otherwise(0.0)
-        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text")
-        return let(F.struct(failed.alias("f"), lost.alias("l")), lambda w: F.struct(*[v[n].alias(n) for n in names], w["f"].alias("base_failed"), (~w["f"] & (w["l"] <= most_lost)).alias("kept"), w["l"].alias("lost")))
+        lost = F.when(v["cleaned"].isNotNull() & (v["word_chars"] > 0), 1 - gapless(v["cleaned"]) / v["word_chars"]).otherwise(0.0)
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+        return let(F.struct(failed.alias("f"), lost.alias("l")), lambda w: F.struct(*[v[n].alias(n) for n in names], F.coalesce(v["cleaned"], text).alias("clean_text"), w["f"].alias("base_failed"), (~w["f"] & (w["l"] <= most_lost)).alias("kept"), w["l"].alias("lost")))
 
     return let(words(text), of_words)
 
