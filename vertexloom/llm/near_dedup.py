@@ -90,27 +90,63 @@ def _deeper(steps: int, again: float):
     return run
 
 
-def _compare(least: float, best_only: bool):
-    """Pairs across components within a node (or a pair of its blocks) whose sketches look alike."""
+def _alike(least: float):
+    """Rows of a node (or of two of its blocks) whose sketch is like that of a row of another component."""
+
+    def run(t):
+        comp, side = t.column("comp").to_numpy(), t.column("side").to_numpy()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+        hit = np.zeros(len(comp), bool)
+        for i in np.flatnonzero(side != 1):
+            to = np.flatnonzero((comp != comp[i]) & (side != 0 if side[i] == 0 else True))
+            near = to[(sig[to] == sig[i]).mean(axis=1) >= least]
+            if len(near):
+                hit[i] = True
+                hit[near] = True
+        return t.filter(hit).drop_columns(["sig"])
+
+    return run
+
+
+def _link(k: int, num: int, den: int):
+    """Links across components within a node, confirmed on full sets; a spanning forest of them, so no more than rows."""
 
     def run(t):
         import pyarrow as pa
 
-        rep, comp, side = t.column("rep").to_numpy(), t.column("comp").to_numpy(), t.column("side").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
-        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        out: list[np.ndarray] = []
-        for i in a:
-            to = b[(comp[b] != comp[i]) & ((rep[b] > rep[i]) | (side[b] == 1))]
-            if not len(to):
-                continue
-            est = (sig[to] == sig[i]).mean(axis=1)
-            to, est = to[est >= least], est[est >= least]
-            if best_only and len(to):
-                to = to[[np.argmax(est)]]
-            out.append(np.column_stack([np.minimum(rep[to], rep[i]), np.maximum(rep[to], rep[i])]))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        from vertexloom.llm.textblocks import Words, shingles
+
+        rep, comp = t.column("rep").to_numpy(), t.column("comp").to_numpy()
+        w = Words(t.column("text").combine_chunks())
+        h = w.hashes()
+        sets = [np.unique(shingles(h[w.first_word[i] : w.first_word[i + 1]], k)) for i in range(len(w))]
+        size = np.array([len(s) for s in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        _, word, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times[word] > 1
+        row, word = row[shared], word[shared]
+        _, word = np.unique(word, return_inverse=True)
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for lo in range(0, int(word.max()) + 1 if len(word) else 0, 2048):
+            some = (word >= lo) & (word < lo + 2048)
+            m = np.zeros((len(sets), 2048), np.float32)
+            m[row[some], word[some] - lo] = 1
+            both += m @ m.T
+        alike = den * both >= num * (size[:, None] + size[None, :] - both)
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x] = parent.get(parent[x], parent[x])
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(alike, 1)), strict=True):
+            x, y = top(int(comp[i])), top(int(comp[j]))
+            if x != y and both[i, j] > 0:
+                parent[max(x, y)] = min(x, y)
+                out.append((int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
@@ -151,9 +187,10 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
     the deepest and none in practice of the others.
 
     Within a node, rows are linked to its smallest row first, and confirmed on their full sets; then
-    only pairs across components need comparing, so a large group of near copies costs its size and
-    not its square. The last comparison is exhaustive across components; a node that stays large
-    is compared in pairs of blocks, by many tasks.
+    only rows across components need comparing: sketches single out the rows that are like one of
+    another component, and these are compared exhaustively on their full sets, inside the node, of which
+    only a spanning forest of links leaves. A node that stays large is compared in pairs of
+    blocks, by many tasks.
 
     Null, empty and wordless texts have no shingles and link with nothing. Rows with a null id are
     returned with null component and kept; rows that repeat an id are judged together. An empty
@@ -196,29 +233,30 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
         ta = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
         both = ta.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
         out = ws.keep(both.mapInArrow(_confirm(k, num, den), "a long, b long").distinct(), "links")
-        tried.append(pairs)
         ws.tidy()
         return out
 
-    tried: list[DataFrame] = []
     # First links: every row with the smallest row of its nodes.
     links = confirm(nodes.where("lead < rep").groupBy("rep").agg(F.min("lead").alias("a")).select("a", F.col("rep").alias("b")))
-    for best_only in (True, False):
-        comp = ws.keep(components(ws, links), "components")
-        placed = nodes.select("node", "rep", "n").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-        torn = placed.groupBy("node").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("node")
-        torn = ws.keep(placed.join(torn, "node", "left_semi").select("node", "rep", "n", "comp").dropDuplicates(["node", "rep"]), "torn")
-        wide = torn.join(reps.dropDuplicates(["rep"]), "rep")
-        parts = F.ceil(F.col("n") / (4 * leaf)).cast("long")
-        wide = wide.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")))
-        wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        # A row meets every block of its node once: side 0 from the lower block, 1 from the higher, 2 within one.
-        side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
-        wide = wide.select("rep", "comp", "sig", side.alias("side"), "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-        pairs = wide.groupBy("node", "lo", "hi").applyInArrow(_compare(0.7, best_only), "a long, b long").distinct()
-        for old in tried:
-            pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
-        links = links.union(confirm(pairs))
+    comp = ws.keep(components(ws, links), "components")
+    placed = nodes.select("node", "rep", "n").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    torn = placed.groupBy("node").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("node")
+    torn = ws.keep(placed.join(torn, "node", "left_semi").select("node", "rep", "n", "comp").dropDuplicates(["node", "rep"]), "torn")
+    wide = torn.join(reps.dropDuplicates(["rep"]), "rep")
+    parts = F.ceil(F.col("n") / (4 * leaf)).cast("long")
+    wide = wide.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    # A row meets every block of its node once: side 0 from the lower block, 1 from the higher, 2 within one.
+    side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
+    wide = wide.select("rep", "comp", "sig", side.alias("side"), "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    open_ = wide.groupBy("node", "lo", "hi").applyInArrow(_alike(0.7), "rep long, comp long, side int, node long, lo long, hi long")
+    open_ = ws.keep(open_, "open")
+    ws.tidy()
+    some = text.join(open_.select(F.col("rep").alias("u")).distinct().hint("shuffle_hash"), text.doc_id == F.col("u"), "left_semi")
+    full = open_.join(some.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    more = full.groupBy("node", "lo", "hi").applyInArrow(_link(k, num, den), "a long, b long").distinct()
+    links = links.union(ws.keep(more, "links"))
+    ws.tidy()
     comp = components(ws, links)
     named = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sk.join(named, "digest", "left")
