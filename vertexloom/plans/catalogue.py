@@ -2,5 +2,204 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vertexloom.functions import curves as C
+from vertexloom.operators import edits, retrieval
+
+DELTA, EPS = 100.0, 50000.0
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def build(points: DataFrame, key: str, order: list[str], coords: list[str]) -> DataFrame:
+    """One row per curve: id, pts, in a total order (collect_list alone has none)."""
+    row = F.struct(*order, F.array(*[F.col(c).cast("double") for c in coords]).alias("_p"))
+    return points.groupBy(F.col(key).alias("id")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["_p"]).alias("pts"))
+
+
+def event_curves(spark, sf_dir):
+    return build(_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], ["value"])
+
+
+def order_curves(spark, sf_dir):
+    return build(_table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice"), "o_custkey", ["o_orderdate", "o_orderkey"], ["o_totalprice"])
+
+
+def neighbours(curves: DataFrame) -> DataFrame:
+    """Pairs of each curve with the one of the next id: an equi-join."""
+    ref = curves.select(F.col("id").alias("ref_id"), F.col("pts").alias("ref"), (F.col("id") + 1).alias("obs_id"))
+    return ref.join(curves.select(F.col("id").alias("obs_id"), F.col("pts").alias("obs")), "obs_id")
+
+
+def _measure(source, value, name: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pairs = neighbours(source(spark, sf_dir))
+        return pairs.select("ref_id", "obs_id", value(F.col("ref"), F.col("obs")).alias(name))
+
+    return query
+
+
+def _curve(source, **columns):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return source(spark, sf_dir).select("id", *[f(F.col("pts")).alias(n) for n, f in columns.items()])
+
+    return query
+
+
+def _points(source, transform):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = source(spark, sf_dir).select("id", F.posexplode(transform(F.col("pts"))).alias("idx", "p"))
+        return c.select("id", F.col("idx").cast("bigint").alias("idx"), F.round(F.element_at("p", 1), 6).alias("v"))
+
+    return query
+
+
+def _big(x):
+    return x.cast("bigint")
+
+
+def _r6(x):
+    return F.round(x, 6)
+
+
+def _values(pts):
+    return F.transform(pts, lambda p: F.element_at(p, 1))
+
+
+def _witness(mode: str):
+    def query(spark, sf_dir):
+        pairs = neighbours(order_curves(spark, sf_dir)).repartition("ref_id")
+        got = edits.verify(edits.discrete_edits(pairs, "ref", "obs", EPS, mode, witness=True), "ref", "obs", EPS, mode)
+        return got.select("ref_id", "obs_id", "status", _big(F.col("cost")).alias("cost"), _big(F.size("edits")).alias("n_edits"), F.when(F.col("status") == "optimal", F.col("ok")).alias("ok"))
+
+    return query
+
+
+def q_continuous_delete(spark, sf_dir):
+    pairs = neighbours(order_curves(spark, sf_dir)).repartition("ref_id")
+    got = edits.continuous_edits(pairs, "ref", "obs", EPS, witness=True, max_deletions=8)
+    return got.select("ref_id", "obs_id", "status", _big(F.col("cost")).alias("cost"), _big(F.size("edits")).alias("n_edits"))
+
+
+def q_retrieval(spark, sf_dir):
+    """Each customer of fewer than 5 orders is looked up among the curves of its nation by discrete distance; the next customer counts as relevant."""
+    c = order_curves(spark, sf_dir).join(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey"), "id")
+    q = c.where(F.size("pts") < 5).select(F.col("id").alias("query_id"), F.col("pts").alias("q"), "c_nationkey")
+    scored = q.join(c.select(F.col("id").alias("template_id"), "pts", "c_nationkey"), "c_nationkey").where("query_id <> template_id")
+    scored = scored.select("query_id", F.lit("edr").alias("method"), "template_id", C.edr(F.col("pts"), F.col("q"), EPS).cast("double").alias("score"))
+    relevant = scored.groupBy("query_id").agg(F.min("template_id").alias("template_id"))
+    out = retrieval.outcomes(scored, relevant)
+    return out.select("query_id", "top1", _big(F.col("n_scored")).alias("n_scored"), "top1_score", *[_r6(F.col(x)).alias(x) for x in ("hit1_strict", "hit1_optimistic", "rr_strict", "rr_optimistic")])
+
+
+def q_haversine(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    lat, lon = F.pmod(F.col("id") * 37, F.lit(140)) - 70.0, F.pmod(F.col("id") * 91, F.lit(360)) - 180.0
+    return c.select("id", F.round(C.haversine(lat, lon, lat + 0.5, lon + 0.25), 3).alias("metres"))
+
+
+QUERIES = {
+    "q_curve_build": _curve(event_curves, n=lambda p: _big(F.size(p)), first=lambda p: F.element_at(F.element_at(p, 1), 1), last=lambda p: F.element_at(F.element_at(p, -1), 1)),
+    "q_path_length": _curve(event_curves, length=lambda p: _r6(C.path_length(p))),
+    "q_longest_run": _curve(event_curves, start=lambda p: _big(C.longest_run(F.transform(_values(p), lambda x: x > 50))["start"]), length=lambda p: _big(C.longest_run(F.transform(_values(p), lambda x: x > 50))["length"])),
+    "q_mu_1d": _curve(order_curves, reach=lambda p: F.array_join(C.block_reach(p, EPS), ",")),
+    "q_decimate": _points(event_curves, lambda p: C.decimate(p, 20)),
+    "q_moving_avg": _points(event_curves, lambda p: C.smooth(p, 5)),
+    "q_median_filter": _points(event_curves, lambda p: C.smooth(p, 5, median=True)),
+    "q_resample_up": _points(order_curves, lambda p: C.resample(p, 3)),
+    "q_resample_down": _points(order_curves, lambda p: C.resample(p, 0.4)),
+    "q_delete_1d": _measure(event_curves, lambda r, o: _big(C.edit_cost(r, o, DELTA, "delete")), "cost"),
+    "q_delete_orders": _measure(order_curves, lambda r, o: _big(C.edit_cost(r, o, EPS, "delete")), "cost"),
+    "q_insert_orders": _measure(order_curves, lambda r, o: _big(C.edit_cost(r, o, EPS, "insert")), "cost"),
+    "q_both_orders": _measure(order_curves, lambda r, o: _big(C.edit_cost(r, o, EPS, "both")), "cost"),
+    "q_frechet": _measure(order_curves, lambda r, o: _r6(C.discrete_frechet(r, o)), "d"),
+    "q_filter_frechet": _measure(order_curves, lambda r, o: _r6(C.discrete_frechet(r, C.smooth(o, 3))), "d"),
+    "q_dtw": _measure(order_curves, lambda r, o: F.round(C.dtw(r, o), 4), "d"),
+    "q_dtw_normalized": _measure(order_curves, lambda r, o: F.round(C.dtw_normalized(r, o), 4), "d"),
+    "q_edr": _measure(order_curves, lambda r, o: _big(C.edr(r, o, EPS)), "d"),
+    "q_lcss": _measure(order_curves, lambda r, o: _big(C.lcss(r, o, EPS)), "d"),
+    "q_lcss_distance": _measure(order_curves, lambda r, o: _r6(C.lcss_distance(r, o, EPS)), "d"),
+    "q_erp": _measure(order_curves, lambda r, o: F.round(C.erp(r, o), 4), "d"),
+    "q_witness_delete": _witness("delete"),
+    "q_witness_insert": _witness("insert"),
+    "q_witness_both": _witness("both"),
+    "q_continuous_delete": q_continuous_delete,
+    "q_retrieval": q_retrieval,
+    "q_haversine": q_haversine,
+}
+
+_EVENTS = "SELECT user_id AS id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id"
+_ORDERS = "SELECT o_custkey AS id, list(o_totalprice ORDER BY o_orderdate, o_orderkey) AS v FROM orders GROUP BY o_custkey"
+
+
+def _dp(source: str, cell: str, head: str, cell0: str, value: str, name: str, k: str = "0", k0: str = "0", head0: str = "0.0", kind: str = "DOUBLE") -> str:
+    """A cell-by-cell recursion: p is the reference's value, q the observation's, prev and cur the columns so far, k the layer carried."""
+    return f"""WITH RECURSIVE c AS ({source}),
+    pr AS (SELECT a.id AS ref_id, b.id AS obs_id, a.v AS r, b.v AS o, len(a.v) AS m, len(b.v) AS n FROM c a JOIN c b ON b.id = a.id + 1),
+    dp(ref_id, i, j, prev, cur, k) AS (
+      SELECT ref_id, 0, 0, CAST([] AS {kind}[]), CAST([{head0}] AS {kind}[]), CAST({k0} AS {kind}) FROM pr
+      UNION ALL
+      SELECT ref_id, i2, j2, prev2, CASE WHEN i2 = 0 THEN CAST([{head}] AS {kind}[]) ELSE list_append(cur, CAST(CASE WHEN j2 = 0 THEN {cell0} ELSE {cell} END AS {kind})) END, CAST(k2 AS {kind})
+      FROM (SELECT *, CASE WHEN i2 = 0 THEN {k0} ELSE {k} END AS k2 FROM (
+        SELECT dp.ref_id, prev, cur, k, m, n, r, o,
+          CASE WHEN i < m THEN i + 1 ELSE 0 END AS i2, CASE WHEN i < m THEN j ELSE j + 1 END AS j2,
+          CASE WHEN i < m THEN prev ELSE cur END AS prev2, r[i + 1] AS p, CASE WHEN j > 0 THEN o[j] END AS q
+        FROM dp JOIN pr USING (ref_id) WHERE i < m OR j < n)))
+    SELECT ref_id, obs_id, {value} AS {name} FROM dp JOIN pr USING (ref_id) WHERE i = m AND j = n"""
+
+
+def _edit(source: str, delta: float, mode: str) -> str:
+    insert = f"(SELECT 1 + min(cur[t]) FROM range(1, i2 + 1) s(t) WHERE list_max(r[t:i2]) - list_min(r[t:i2]) <= 2 * {delta})"
+    ways = ["k2"] + ([insert] if mode != "delete" else []) + (["prev2[i2 + 1] + 1"] if mode != "insert" else [])
+    cell = f"least(1000000, {', '.join(ways)})"
+    head = "prev2[1] + 1" if mode != "insert" else "1000000"
+    k = f"CASE WHEN q IS NOT NULL AND abs(p - q) <= {delta} THEN least(k, prev2[i2], prev2[i2 + 1]) ELSE 1000000 END"
+    cell0 = f"least(1000000, {insert})" if mode != "delete" else "1000000"
+    return _dp(source, cell, head, cell0, "CASE WHEN cur[m + 1] < 1000000 THEN CAST(cur[m + 1] AS BIGINT) END", "cost", k=k, k0="1000000", head0="0", kind="BIGINT")
+
+
+_INFTY = "CAST('inf' AS DOUBLE)"
+_MIN3 = "least(prev2[i2], prev2[i2 + 1], cur[i2])"
+_MATCH = f"abs(p - q) <= {EPS}"
+
+
+def _smoothed(source: str) -> str:
+    return f"SELECT id, list_transform(v, lambda x, i: list_avg(v[i - least(1, i - 1, len(v) - i):i + least(1, i - 1, len(v) - i)])) AS v FROM ({source})"
+
+
+def _explode(source: str, value: str) -> str:
+    return f"SELECT id, CAST(unnest(range(len(w))) AS BIGINT) AS idx, round(unnest(w), 6) AS v FROM (SELECT id, {value} AS w FROM ({source}))"
+
+
+_WIDE = "v[i - least(2, i - 1, len(v) - i):i + least(2, i - 1, len(v) - i)]"
+ORACLES = {
+    "q_curve_build": f"SELECT id, CAST(len(v) AS BIGINT) AS n, v[1] AS first, v[-1] AS last FROM ({_EVENTS})",
+    "q_path_length": f"SELECT id, round(coalesce(list_sum(list_transform(range(1, len(v)), lambda i: abs(v[i + 1] - v[i]))), 0), 6) AS length FROM ({_EVENTS})",
+    "q_longest_run": f"""WITH e AS (SELECT id, unnest(range(len(v))) AS i, unnest(v) > 50 AS f FROM ({_EVENTS})),
+      g AS (SELECT *, i - row_number() OVER (PARTITION BY id, f ORDER BY i) AS g FROM e),
+      runs AS (SELECT id, min(i) AS start, count(*) AS length FROM g WHERE f GROUP BY id, g)
+      SELECT id, CAST(coalesce(start, 0) AS BIGINT) AS start, CAST(coalesce(length, 0) AS BIGINT) AS length FROM (SELECT DISTINCT id FROM e)
+      LEFT JOIN (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY id ORDER BY length DESC, start) = 1) USING (id)""",
+    "q_mu_1d": f"SELECT id, list_aggregate(list_transform(range(1, len(v) + 1), lambda i: list_min(list_filter(range(1, i + 1), lambda t: list_max(v[t:i]) - list_min(v[t:i]) <= {2 * EPS}))), 'string_agg', ',') AS reach FROM ({_ORDERS})",
+    "q_decimate": _explode(_EVENTS, "list_filter(v, lambda x, i: (i - 1) % greatest(1, CAST(ceil((len(v) - 1) / 19.0) AS INT)) = 0 OR i = len(v))"),
+    "q_moving_avg": _explode(_EVENTS, f"list_transform(v, lambda x, i: list_avg({_WIDE}))"),
+    "q_median_filter": _explode(_EVENTS, f"list_transform(v, lambda x, i: list_median({_WIDE}))"),
+    "q_resample_up": _explode(_ORDERS, "list_append(flatten(list_transform(range(1, len(v)), lambda i: [v[i], v[i] + (v[i + 1] - v[i]) * 1 / 3, v[i] + (v[i + 1] - v[i]) * 2 / 3])), v[-1])"),
+    "q_resample_down": _explode(_ORDERS, "list_filter(v, lambda x, i: (i - 1) % 2 = 0 OR i = len(v))"),
+    "q_delete_1d": _edit(_EVENTS, DELTA, "delete"),
+    "q_delete_orders": _edit(_ORDERS, EPS, "delete"),
+    "q_insert_orders": _edit(_ORDERS, EPS, "insert"),
+    "q_both_orders": _edit(_ORDERS, EPS, "both"),
+    "q_frechet": _dp(_ORDERS, f"greatest({_MIN3}, abs(p - q))", _INFTY, _INFTY, "round(cur[m + 1], 6)", "d"),
+    "q_dtw": _dp(_ORDERS, f"{_MIN3} + abs(p - q)", _INFTY, _INFTY, "round(cur[m + 1], 4)", "d"),
+    "q_edr": _dp(_ORDERS, f"least(prev2[i2] + CASE WHEN {_MATCH} THEN 0 ELSE 1 END, prev2[i2 + 1] + 1, cur[i2] + 1)", "prev2[1] + 1", "cur[i2] + 1", "cur[m + 1]", "d", head0="0", kind="BIGINT"),
+    "q_lcss": _dp(_ORDERS, f"CASE WHEN {_MATCH} THEN prev2[i2] + 1 ELSE greatest(prev2[i2 + 1], cur[i2]) END", "0", "0", "cur[m + 1]", "d", head0="0", kind="BIGINT"),
+    "q_lcss_distance": _dp(_ORDERS, f"CASE WHEN {_MATCH} THEN prev2[i2] + 1 ELSE greatest(prev2[i2 + 1], cur[i2]) END", "0", "0", "round(1 - cur[m + 1] / least(m, n), 6)", "d", head0="0", kind="BIGINT"),
+    "q_erp": _dp(_ORDERS, "least(prev2[i2] + abs(p - q), prev2[i2 + 1] + abs(q), cur[i2] + abs(p))", "prev2[1] + abs(o[j2])", "cur[i2] + abs(p)", "round(cur[m + 1], 4)", "d"),
+    "q_haversine": """SELECT id, round(2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(0.5) / 2), 2) + cos(radians(lat)) * cos(radians(lat + 0.5)) * pow(sin(radians(0.25) / 2), 2)))), 3) AS metres
+      FROM (SELECT c_custkey AS id, (c_custkey * 37) % 140 - 70.0 AS lat FROM customer)""",
+}
