@@ -283,7 +283,7 @@ def edits_valid(obs: Column, edits: Column) -> Column:
 def coupling_valid(ref: Column, curve: Column, coupling: Column, delta: Column | float) -> Column:
     """From corner to corner in steps (1,0), (0,1), (1,1), with every pair within delta."""
     d = delta if isinstance(delta, Column) else F.lit(delta)
-    ends = (F.get(coupling, F.lit(0))["r"] == 0) & (F.get(coupling, F.lit(0))["e"] == 0) & (F.element_at(coupling, -1)["r"] == F.size(ref) - 1) & (F.element_at(coupling, -1)["e"] == F.size(curve) - 1)
+    ends = (F.get(coupling, F.lit(0))["r"] == 0) & (F.get(coupling, F.lit(0))["e"] == 0) & (F.try_element_at(coupling, F.lit(-1))["r"] == F.size(ref) - 1) & (F.try_element_at(coupling, F.lit(-1))["e"] == F.size(curve) - 1)
 
     def fine(c: Column, i: Column) -> Column:
         before = F.get(coupling, i - 1)
