@@ -66,4 +66,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_ann, op3_substring_exact, op4_packing, op5_token_counts, op6_quality, op7_toxicity, op8_mixing, op9_paragraph_dedup, op10_warc)}
 
-ORACLES: dict[str, str] = {}
+#: op8: closed form of the schedule, which takes each source's target to the word, in stream order, in whole epochs first.
+_OP8 = r"""WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS w, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, CASE WHEN cap <= w * level THEN cap ELSE w * max(CASE WHEN cap > w * level THEN level END) OVER () END AS target FROM l),
+g AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS goal FROM t),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM d)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE (goal // source_size) * size + greatest(0, least(size, goal % source_size - at)) END AS BIGINT) AS taken
+FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source"""
+
+_OP10 = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+k AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS n, sha1(html) AS digest, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN n >= 1000 AND last <> page_id THEN last END AS refers_to FROM k"""
+
+ORACLES: dict[str, str] = {"op8_mixing": _OP8, "op10_warc": _OP10}
