@@ -222,14 +222,19 @@ def repeated_passages(docs: DataFrame, num: int = 4, den: int = 5, bands: int =
     put = put.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
     put = put.select("content", "shingles", side.alias("side"), "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    links = put.groupBy("band", "lo", "hi").applyInArrow(_verify(num, den), "a long, b long").distinct()
+    links = ws.keep(put.groupBy("band", "lo", "hi").applyInArrow(_verify(num, den), "a long, b long").distinct(), "links")
+    ws.tidy()
     comp = components(ws, links)
     occ = hits.select("cid", "row", "word", "n", "content").join(comp.withColumnRenamed("id", "content"), "content", "left")
     ids = chunks.select("cid", F.posexplode(F.transform("items", lambda x: x["doc_id"])).alias("row", "doc_id"))
     occ = occ.join(ids, ["cid", "row"]).withColumn("kind", F.coalesce("component", "content"))
     occ = ws.keep(occ.select("cid", F.col("row").cast("long").alias("row"), "word", "n", "kind", F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "cid", "row").alias("who")), "occurrences")
+    ws.drop(hits, kinds, answers)
+    ws.tidy()
     firsts = occ.groupBy("kind").agg(F.min("who").alias("who0"), F.max("who").alias("who1"), F.min(F.struct("who", "word")).alias("keep")).where("who0 <> who1")
     drops = occ.join(firsts.select("kind", "keep"), "kind").where(F.struct("who", "word") != F.col("keep")).select("cid", "row", "word", "n")
+    drops = ws.keep(drops, "drops")
+    ws.drop(occ)
     done = with_answers(chunks, drops, "drops")
     schema = f"doc_id long, n_words long, n_removed long, n_spans long, text string, rest {chunks.schema['items'].dataType.elementType['rest'].dataType.simpleString()}"
-    return ws.keep(done.mapInArrow(_cut(least_words), schema), "result")
+    return done.mapInArrow(_cut(least_words), schema)
