@@ -232,9 +232,11 @@ def repeated_passages(docs: DataFrame, num: int = 4, den: int = 5, bands: int =
     ws.drop(hits, kinds, answers)
     ws.tidy()
     firsts = occ.groupBy("kind").agg(F.min("who").alias("who0"), F.max("who").alias("who1"), F.min(F.struct("who", "word")).alias("keep")).where("who0 <> who1")
-    drops = occ.join(firsts.select("kind", "keep"), "kind").where(F.struct("who", "word") != F.col("keep")).select("cid", "row", "word", "n")
+    # Written first: a join whose sides both are shuffles can split a passage that very many documents hold.
+    firsts = ws.keep(firsts.select("kind", "keep"), "firsts")
+    drops = occ.join(firsts, "kind").where(F.struct("who", "word") != F.col("keep")).select("cid", "row", "word", "n")
     drops = ws.keep(drops, "drops")
-    ws.drop(occ)
+    ws.drop(occ, firsts)
     done = with_answers(chunks, drops, "drops")
     schema = f"doc_id long, n_words long, n_removed long, n_spans long, text string, rest {chunks.schema['items'].dataType.elementType['rest'].dataType.simpleString()}"
     return done.mapInArrow(_cut(least_words), schema)
