@@ -109,6 +109,16 @@ def test_toxicity(docs, spark):
     assert toxicity.fold("an 1dіot!") == " an idiot "
 
 
+def test_sample_labels(spark):
+    rows = [(i, i % 2) for i in range(3000)] + [(7, 0), (8, 1), (None, 1), (5, None)]
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+    every = {r.doc_id: r.toxic for r in toxicity.sample_labels(labels).collect()}
+    assert every == {i: 1 if i == 8 else i % 2 for i in range(3000)}
+    some = {r.doc_id for r in toxicity.sample_labels(labels, 500).collect()}
+    assert 400 < len(some) < 600 and some == {r.doc_id for r in toxicity.sample_labels(labels.repartition(5), 500).collect()}
+    assert toxicity.sample_labels(labels.limit(0)).count() == 0
+
+
 def test_warc(spark):
     big = "x" * 1500
     pages = spark.createDataFrame([(1, "u", big), (2, "u", big), (3, "u", None), (4, "u\nv", "café"), (5, "u", "café"), (6, "u", "".join(RNG.choices("abc", k=300000)))], "page_id long, url string, html string")

@@ -119,6 +119,19 @@ def learn(labelled: DataFrame, most_terms: int = 2000, least_docs: int = 5, leas
     return Lexicon({t: math.log(best[t].odds) for t in kept}, exceptions)
 
 
+def sample_labels(labels: DataFrame, most_rows: int = 100_000, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+    """(doc_id, toxic), one row per labelled document, of at most about most_rows documents chosen by the hash of their id.
+
+    most_rows bounds what a lexicon is fitted on, and so what is broadcast: at most that many rows are
+    expected, and a few hundredths more have no chance to speak of. Up to most_rows, all labels are used. Null ids and
+    null labels are left out; an id labelled twice is toxic if one of its labels says so.
+    """
+    rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("toxic"))
+    share = min(1.0, most_rows / max(1, rows.count()))
+    kept = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return kept.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def _score(lexicon: Lexicon):
     def run(batches):
         import pyarrow as pa
