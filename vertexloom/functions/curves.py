@@ -310,3 +310,72 @@ def to_latlon(xy: Column, lat0: Column, lon0: Column, radius: float = 6_371_008.
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6_371_000.0) -> Column:
     h = F.sin(F.radians(lat2 - lat1) / 2) ** 2 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(F.radians(lon2 - lon1) / 2) ** 2
     return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+
+
+def gradient(pts: Column) -> Column:
+    """Tangents: half the difference of the neighbours, one-sided at the ends."""
+    last = F.size(pts) - 1
+
+    def at(i: Column) -> Column:
+        lo, hi = F.greatest(i - 1, F.lit(0)), F.least(i + 1, last)
+        return F.zip_with(F.get(pts, lo), F.get(pts, hi), lambda x, y: (y - x) / F.greatest(hi - lo, F.lit(1)))
+
+    return F.transform(F.sequence(F.lit(0), last), at)
+
+
+def normals(pts: Column) -> Column:
+    """Unit normals of a planar curve, to the left of its course; zero where it stands still."""
+
+    def turn(t: Column) -> Column:
+        x, y = F.element_at(t, 1), F.element_at(t, 2)
+        size = F.sqrt(x * x + y * y)
+        return let(F.when(size == 0, F.lit(1.0)).otherwise(size), lambda s: F.array(-y / s, x / s))
+
+    return F.transform(gradient(pts), turn)
+
+
+def offset(pts: Column, by: float) -> Column:
+    """A planar curve moved sideways along its normals."""
+    return F.zip_with(pts, normals(pts), lambda p, n: F.zip_with(p, n, lambda x, d: x + by * d))
+
+
+def cumulative_length(pts: Column) -> Column:
+    return F.aggregate(F.sequence(F.lit(1), F.size(pts)), F.array().cast("array<double>"), lambda s, i: F.concat(s, F.array(F.when(i == 1, F.lit(0.0)).otherwise(F.element_at(s, -1) + dist(F.get(pts, i - 1), F.get(pts, F.greatest(i - 2, F.lit(0))))))))
+
+
+def arc_resample(pts: Column, n: int, spacing: float | None = None) -> Column:
+    """n vertices evenly along the curve: over all of it, or spacing apart from its start. NULL for curves of no length or shorter than that."""
+    if n < 2:
+        raise ValueError("n must be at least 2")
+
+    def made(cum: Column) -> Column:
+        total = F.element_at(cum, -1)
+        target = lambda k: k * total / F.lit(float(n - 1)) if spacing is None else k * F.lit(float(spacing))
+
+        def at(k: Column) -> Column:
+            # The last leg that starts at or before the target.
+            leg = lambda t: F.least(F.size(F.filter(cum, lambda c: c <= t)), F.size(cum) - 1)
+            part = lambda t, i: F.coalesce(F.try_divide(t - F.element_at(cum, i), F.element_at(cum, i + 1) - F.element_at(cum, i)), F.lit(0.0))
+            along = lambda t, i: let(F.least(part(t, i), F.lit(1.0)), lambda u: F.zip_with(F.element_at(pts, i), F.element_at(pts, i + 1), lambda x, y: x + u * (y - x)))
+            return let(target(k), lambda t: let(leg(t), lambda i: along(t, i)))
+
+        fits = total > 0 if spacing is None else (total > 0) & (total >= (n - 1) * spacing)
+        return F.when(fits, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at))
+
+    return let(cumulative_length(pts), made)
+
+
+def extent(pts: Column) -> Column:
+    """Diagonal of the bounding box."""
+    side = lambda c: F.array_max(F.transform(pts, lambda p: F.get(p, c))) - F.array_min(F.transform(pts, lambda p: F.get(p, c)))
+    return F.sqrt(F.aggregate(F.sequence(F.lit(0), F.size(F.element_at(pts, 1)) - 1), F.lit(0.0), lambda s, c: s + side(c) * side(c)))
+
+
+def longest_step(pts: Column) -> Column:
+    steps = F.transform(F.slice(pts, F.lit(2), F.size(pts)), lambda p, i: dist(p, F.get(pts, i)))
+    return F.coalesce(F.array_max(steps), F.lit(0.0))
+
+
+def projection_scale_error(lats: Column, lat0: Column) -> Column:
+    """Greatest relative error of east-west lengths in the tangent plane around lat0."""
+    return F.array_max(F.transform(lats, lambda x: F.abs(F.cos(F.radians(x)) / F.cos(F.radians(lat0)) - 1)))

@@ -26,6 +26,9 @@ def check_options(delta: float, mode: str, policy: str = "certified", most: int
         raise ValueError("max_deletions must be a non-negative integer")
 
 
+_INPUT = ("_ref_in", "_obs_in", "_cap_in")
+
+
 def _rows(solve):
     keys = ("status", "cost", "witness_status", "edited_curve", "edits", "coupling", "detail")
 
@@ -34,13 +37,13 @@ def _rows(solve):
 
         for b in batches:
             got = []
-            for ref, obs in zip(b.column("_ref").to_pylist(), b.column("_obs").to_pylist(), strict=True):
+            for ref, obs, cap in zip(*[b.column(c).to_pylist() for c in _INPUT], strict=True):
                 r, o = np.array(ref, np.float64), np.array(obs, np.float64)
                 if r.ndim != 2 or o.ndim != 2 or r.shape[1] != o.shape[1] or not (np.isfinite(r).all() and np.isfinite(o).all()):
                     raise ValueError("curves must be non-empty, finite and of one dimension")
-                got.append(solve(r, o))
-            cols = [b.column(i) for i, n in enumerate(b.schema.names) if n not in ("_ref", "_obs")]
-            names = [n for n in b.schema.names if n not in ("_ref", "_obs")]
+                got.append(solve(r, o, cap))
+            cols = [b.column(i) for i, n in enumerate(b.schema.names) if n not in _INPUT]
+            names = [n for n in b.schema.names if n not in _INPUT]
             edit = pa.list_(pa.struct([("op", pa.string()), ("index", pa.int32()), ("gap", pa.int32()), ("ord", pa.int32()), ("point", pa.list_(pa.float64()))]))
             kinds = [pa.string(), pa.int32(), pa.string(), pa.list_(pa.list_(pa.float64())), edit, pa.list_(pa.struct([("r", pa.int32()), ("e", pa.int32())])), pa.string()]
             yield pa.RecordBatch.from_arrays(cols + [pa.array([g[k] for g in got], t) for k, t in zip(keys, kinds, strict=True)], names + list(keys))
@@ -48,20 +51,21 @@ def _rows(solve):
     return run
 
 
-def _apply(pairs: DataFrame, ref: str, obs: str, solve) -> DataFrame:
+def _apply(pairs: DataFrame, ref: str, obs: str, solve, cap=None) -> DataFrame:
     ship(pairs.sparkSession)
     from pyspark.sql import types as T
 
     schema = T.StructType(pairs.schema.fields + T._parse_datatype_string(RESULT).fields)
     # Work is the product of the lengths: deal pairs out evenly before the kernel.
-    return pairs.withColumns({"_ref": F.col(ref), "_obs": F.col(obs)}).mapInArrow(_rows(solve), schema)
+    limit = F.col(cap) if isinstance(cap, str) else F.lit(cap)
+    return pairs.withColumns(dict(zip(_INPUT, (F.col(ref), F.col(obs), limit.cast("int")), strict=True))).mapInArrow(_rows(solve), schema)
 
 
 def discrete_edits(pairs: DataFrame, ref: str, obs: str, delta: float, mode: str = "both", witness: bool = False, policy: str = "certified") -> DataFrame:
     """pairs with status, cost and, if asked, a certified edit script. Exact at the boundary, in any dimension (insertion: up to 8)."""
     check_options(delta, mode, policy)
 
-    def solve(r, o):
+    def solve(r, o, cap):
         from vertexloom.kernels.discrete import solve as kernel
 
         if mode != "delete" and r.shape[1] > 8:
@@ -71,18 +75,18 @@ def discrete_edits(pairs: DataFrame, ref: str, obs: str, delta: float, mode: str
     return _apply(pairs, ref, obs, solve)
 
 
-def continuous_edits(pairs: DataFrame, ref: str, obs: str, delta: float, mode: str = "delete", witness: bool = False, max_deletions: int | None = None) -> DataFrame:
-    """pairs with the fewest deletions for the continuous measure."""
-    check_options(delta, mode, most=max_deletions)
+def continuous_edits(pairs: DataFrame, ref: str, obs: str, delta: float, mode: str = "delete", witness: bool = False, max_deletions: int | str | None = None) -> DataFrame:
+    """pairs with the fewest deletions for the continuous measure; max_deletions may name a column."""
+    check_options(delta, mode, most=None if isinstance(max_deletions, str) else max_deletions)
     if mode != "delete":
         raise NotImplementedError("the continuous measure supports deletion only")
 
-    def solve(r, o):
+    def solve(r, o, cap):
         from vertexloom.kernels.continuous import fewest_deletions
 
-        return fewest_deletions(r, o, delta, max_deletions, witness)
+        return fewest_deletions(r, o, delta, cap, witness)
 
-    return _apply(pairs, ref, obs, solve)
+    return _apply(pairs, ref, obs, solve, max_deletions)
 
 
 def edit_cost(pairs: DataFrame, ref: str, obs: str, delta: float, mode: str) -> DataFrame:
