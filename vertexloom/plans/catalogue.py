@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.functions import corruptions, grids
 from vertexloom.functions import curves as C
-from vertexloom.operators import edits, retrieval
+from vertexloom.operators import audit, continuous, edits, gallery, retrieval
 
-DELTA, EPS = 100.0, 50000.0
+DELTA, EPS, GRID, SEED = 100.0, 50000.0, 16, 7
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +60,7 @@ def _points(source, transform):
 
 
 def _big(x):
-    return x.cast("bigint")
+    return (F.col(x) if isinstance(x, str) else x).cast("bigint")
 
 
 def _r6(x):
@@ -96,6 +97,80 @@ def q_retrieval(spark, sf_dir):
     return out.select("query_id", "top1", _big(F.col("n_scored")).alias("n_scored"), "top1_score", *[_r6(F.col(x)).alias(x) for x in ("hit1_strict", "hit1_optimistic", "rr_strict", "rr_optimistic")])
 
 
+def plane_curves(spark, sf_dir):
+    """Per user (hours since the first event, value)."""
+    e = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    c = e.groupBy(F.col("user_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))
+    since = lambda x: (F.unix_micros(x["ts"].cast("timestamp")) - F.unix_micros(F.element_at("e", 1)["ts"].cast("timestamp"))) / 3.6e9
+    return c.select("id", F.transform("e", lambda x: F.array(since(x), x["value"])).alias("pts"))
+
+
+def q_curve_extent(spark, sf_dir):
+    return plane_curves(spark, sf_dir).select("id", _r6(C.extent(F.col("pts"))).alias("extent"), _r6(C.longest_step(F.col("pts"))).alias("longest_step"))
+
+
+def _grid(kind: str):
+    def query(spark, sf_dir):
+        pairs = neighbours(order_curves(spark, sf_dir))
+        d = pairs.withColumn("free", grids.free_space(F.col("ref"), F.col("obs"), EPS, GRID))
+        cells = lambda g: _big(F.size(F.filter(F.flatten(g), lambda x: x)))
+        if kind == "free":
+            return d.select("ref_id", "obs_id", cells(F.col("free")).alias("n_free"))
+        d = d.withColumn("reach", grids.reachable(F.col("free")))
+        if kind == "path":
+            return d.select("ref_id", "obs_id", _big(F.coalesce(F.size(grids.monotone_path(F.col("reach"))), F.lit(0))).alias("n_steps"))
+        return d.select("ref_id", "obs_id", F.get(F.get("reach", F.lit(GRID - 1)), F.lit(GRID - 1)).cast("bigint").alias("corner"))
+
+    return query
+
+
+def q_spike(spark, sf_dir):
+    hurt = order_curves(spark, sf_dir).select("id", F.when(F.size("pts") >= 4, corruptions.spike(F.col("pts"), F.col("id"), SEED, 2, 1000.0)["pts"]).alias("pts"))
+    return hurt.select("id", F.posexplode("pts").alias("idx", "p")).select("id", F.col("idx").cast("bigint").alias("idx"), _r6(F.element_at("p", 1)).alias("v"))
+
+
+def q_drop_samples(spark, sf_dir):
+    hurt = event_curves(spark, sf_dir).select("id", corruptions.drop_samples(F.col("pts"), F.col("id"), SEED, 0.2)["record"]["output_to_original"].alias("kept"))
+    return hurt.select("id", F.posexplode("kept").alias("idx", "source")).select("id", F.col("idx").cast("bigint").alias("idx"), F.col("source").cast("bigint").alias("source"))
+
+
+def q_corridor(spark, sf_dir):
+    d = plane_curves(spark, sf_dir).select("id", F.posexplode(C.offset(F.col("pts"), 30.0)).alias("idx", "p"))
+    return d.select("id", F.col("idx").cast("bigint").alias("idx"), F.round(F.element_at("p", 1), 4).alias("x"), F.round(F.element_at("p", 2), 4).alias("y"))
+
+
+def q_gallery(spark, sf_dir):
+    g = gallery.gallery(plane_curves(spark, sf_dir).select(F.col("id").alias("family"), "pts"), SEED)
+    return g.select("route_id", "kind", _big(F.size("pts")).alias("n"))
+
+
+def q_continuous_frechet(spark, sf_dir):
+    pairs = neighbours(order_curves(spark, sf_dir)).repartition("ref_id")
+    d = continuous.distance(pairs, "ref", "obs").withColumn("discrete", C.discrete_frechet(F.col("ref"), F.col("obs")))
+    return d.select("ref_id", "obs_id", _r6("distance").alias("d"), (F.col("distance") <= F.col("discrete")).alias("below_discrete"))
+
+
+def q_continuous_within(spark, sf_dir):
+    pairs = neighbours(order_curves(spark, sf_dir)).repartition("ref_id")
+    return continuous.within(pairs, "ref", "obs", EPS).select("ref_id", "obs_id", F.col("within"))
+
+
+def q_audit(spark, sf_dir):
+    """Each user's events as a walk of about 100 m a step, with two fixes thrown 500 m off, against the walk itself."""
+    c = event_curves(spark, sf_dir).withColumn("xy", F.transform("pts", lambda p, i: F.array(F.lit(100.0) * i, F.element_at(p, 1) / 10)))
+    c = c.withColumn("hurt", corruptions.spike(F.col("xy"), F.col("id"), SEED, 2, 500.0)["pts"])
+    fixes = lambda x: F.transform(x, lambda p: C.to_latlon(p, F.lit(48.0), F.lit(11.0)))
+    got = audit.audit(c.select("id", fixes(F.col("xy")).alias("course"), fixes(F.col("hurt")).alias("track")).repartition("id"), 60.0)
+    return got.select("id", "verdict", _big("cost").alias("cost"), _big(F.size("glitches")).alias("n_glitches"), "verification")
+
+
+def q_status_counts(spark, sf_dir):
+    pairs = neighbours(order_curves(spark, sf_dir))
+    modes = [F.when(C.edit_cost(F.col("ref"), F.col("obs"), EPS, m).isNull(), "infeasible").otherwise("optimal") for m in ("delete", "insert", "both")]
+    rows = F.array(*[F.struct(F.lit(m).alias("mode"), s.alias("status")) for m, s in zip(("delete", "insert", "both"), modes, strict=True)])
+    return pairs.select(F.explode(rows).alias("r")).groupBy("r.mode", "r.status").agg(F.count("*").alias("n"))
+
+
 def q_haversine(spark, sf_dir):
     c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     lat, lon = F.pmod(F.col("id") * 37, F.lit(140)) - 70.0, F.pmod(F.col("id") * 91, F.lit(360)) - 180.0
@@ -119,7 +194,7 @@ QUERIES = {
     "q_frechet": _measure(order_curves, lambda r, o: _r6(C.discrete_frechet(r, o)), "d"),
     "q_filter_frechet": _measure(order_curves, lambda r, o: _r6(C.discrete_frechet(r, C.smooth(o, 3))), "d"),
     "q_dtw": _measure(order_curves, lambda r, o: F.round(C.dtw(r, o), 4), "d"),
-    "q_dtw_normalized": _measure(order_curves, lambda r, o: F.round(C.dtw_normalized(r, o), 4), "d"),
+    "q_dtw_normalized": _measure(order_curves, lambda r, o: F.round(C.dtw_normalized(r, o), 8), "d"),
     "q_edr": _measure(order_curves, lambda r, o: _big(C.edr(r, o, EPS)), "d"),
     "q_lcss": _measure(order_curves, lambda r, o: _big(C.lcss(r, o, EPS)), "d"),
     "q_lcss_distance": _measure(order_curves, lambda r, o: _r6(C.lcss_distance(r, o, EPS)), "d"),
@@ -128,6 +203,19 @@ QUERIES = {
     "q_witness_insert": _witness("insert"),
     "q_witness_both": _witness("both"),
     "q_continuous_delete": q_continuous_delete,
+    "q_continuous_frechet": q_continuous_frechet,
+    "q_continuous_within": q_continuous_within,
+    "q_audit": q_audit,
+    "q_status_counts": q_status_counts,
+    "q_curve_extent": q_curve_extent,
+    "q_arc_resample": _points(lambda s, d: order_curves(s, d).where(F.size("pts") >= 2), lambda p: C.arc_resample(p, 10)),
+    "q_corridor": q_corridor,
+    "q_gallery": q_gallery,
+    "q_spike": q_spike,
+    "q_drop_samples": q_drop_samples,
+    "q_free_space_grid": _grid("free"),
+    "q_reachable_grid": _grid("reach"),
+    "q_grid_path": _grid("path"),
     "q_retrieval": q_retrieval,
     "q_haversine": q_haversine,
 }
@@ -136,10 +224,11 @@ _EVENTS = "SELECT user_id AS id, list(value ORDER BY ts, event_id) AS v FROM eve
 _ORDERS = "SELECT o_custkey AS id, list(o_totalprice ORDER BY o_orderdate, o_orderkey) AS v FROM orders GROUP BY o_custkey"
 
 
-def _dp(source: str, cell: str, head: str, cell0: str, value: str, name: str, k: str = "0", k0: str = "0", head0: str = "0.0", kind: str = "DOUBLE") -> str:
+def _dp(source: str, cell: str, head: str, cell0: str, value: str, name: str, k: str = "0", k0: str = "0", head0: str = "0.0", kind: str = "DOUBLE", observed: str | None = None, pairs: str | None = None) -> str:
     """A cell-by-cell recursion: p is the reference's value, q the observation's, prev and cur the columns so far, k the layer carried."""
-    return f"""WITH RECURSIVE c AS ({source}),
-    pr AS (SELECT a.id AS ref_id, b.id AS obs_id, a.v AS r, b.v AS o, len(a.v) AS m, len(b.v) AS n FROM c a JOIN c b ON b.id = a.id + 1),
+    matched = pairs or "SELECT a.id AS ref_id, b.id AS obs_id, a.v AS r, b.v AS o FROM c a JOIN c2 b ON b.id = a.id + 1"
+    return f"""WITH RECURSIVE c AS ({source}), c2 AS ({observed or source}),
+    pr AS (SELECT *, len(r) AS m, len(o) AS n FROM ({matched})),
     dp(ref_id, i, j, prev, cur, k) AS (
       SELECT ref_id, 0, 0, CAST([] AS {kind}[]), CAST([{head0}] AS {kind}[]), CAST({k0} AS {kind}) FROM pr
       UNION ALL
@@ -203,3 +292,66 @@ ORACLES = {
     "q_haversine": """SELECT id, round(2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(0.5) / 2), 2) + cos(radians(lat)) * cos(radians(lat + 0.5)) * pow(sin(radians(0.25) / 2), 2)))), 3) AS metres
       FROM (SELECT c_custkey AS id, (c_custkey * 37) % 140 - 70.0 AS lat FROM customer)""",
 }
+
+_FRECHET = f"greatest({_MIN3}, abs(p - q))"
+ORACLES["q_filter_frechet"] = _dp(_ORDERS, _FRECHET, _INFTY, _INFTY, "round(cur[m + 1], 6)", "d", observed=_smoothed(_ORDERS))
+
+_UP, _LEFT, _DIAGONAL = "cur[i2]", "prev2[i2 + 1]", "prev2[i2]"
+_FARTHEST = f"{{'c': {_INFTY}, 'n': 0}}"
+_GROWN = lambda x: f"{{'c': {x}.c + abs(p - q), 'n': {x}.n + 1}}"
+ORACLES["q_dtw_normalized"] = _dp(
+    _ORDERS,
+    f"CASE WHEN {_DIAGONAL}.c <= {_UP}.c AND {_DIAGONAL}.c <= {_LEFT}.c THEN {_GROWN(_DIAGONAL)} WHEN {_UP}.c <= {_LEFT}.c THEN {_GROWN(_UP)} ELSE {_GROWN(_LEFT)} END",
+    _FARTHEST, _FARTHEST, "round(cur[m + 1].c / cur[m + 1].n, 8)", "d", k="{'c': 0.0, 'n': 0}", k0="{'c': 0.0, 'n': 0}", head0="{'c': 0.0, 'n': 0}", kind="STRUCT(c DOUBLE, n BIGINT)",
+)
+
+for _mode in ("delete", "insert", "both"):
+    ORACLES[f"q_witness_{_mode}"] = f"""SELECT ref_id, obs_id, CASE WHEN cost IS NULL THEN 'infeasible' ELSE 'optimal' END AS status, cost,
+      CAST(coalesce(cost, 0) AS BIGINT) AS n_edits, CASE WHEN cost IS NOT NULL THEN true END AS ok FROM ({_edit(_ORDERS, EPS, _mode)})"""
+ORACLES["q_status_counts"] = "SELECT mode, status, count(*) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS mode, CASE WHEN cost IS NULL THEN 'infeasible' ELSE 'optimal' END AS status FROM ({_edit(_ORDERS, EPS, m)})" for m in ("delete", "insert", "both")
+) + ") GROUP BY mode, status"
+
+_PLANE = """SELECT user_id AS id, list((epoch_us(ts) - t0) / 3.6e9 ORDER BY ts, event_id) AS x, list(value ORDER BY ts, event_id) AS y
+  FROM (SELECT *, min(epoch_us(ts)) OVER (PARTITION BY user_id) AS t0 FROM events) GROUP BY user_id"""
+ORACLES["q_curve_extent"] = f"""SELECT id, round(sqrt(pow(list_max(x) - list_min(x), 2) + pow(list_max(y) - list_min(y), 2)), 6) AS extent,
+  round(coalesce(list_max(list_transform(range(1, len(x)), lambda i: sqrt(pow(x[i + 1] - x[i], 2) + pow(y[i + 1] - y[i], 2)))), 0), 6) AS longest_step FROM ({_PLANE})"""
+_TANGENT = "({0}[least(i + 1, len({0}))] - {0}[greatest(i - 1, 1)]) / greatest(least(i + 1, len({0})) - greatest(i - 1, 1), 1)"
+ORACLES["q_corridor"] = f"""SELECT id, CAST(i - 1 AS BIGINT) AS idx, round(x[i] - 30 * ty / g, 4) AS x, round(y[i] + 30 * tx / g, 4) AS y
+  FROM (SELECT *, CASE WHEN tx = 0 AND ty = 0 THEN 1 ELSE sqrt(tx * tx + ty * ty) END AS g FROM (
+    SELECT *, {_TANGENT.format("x")} AS tx, {_TANGENT.format("y")} AS ty FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM ({_PLANE}))))"""
+ORACLES["q_gallery"] = f"""SELECT id || '-' || kind AS route_id, kind, CAST(len(x) + CASE WHEN kind = 'detour' THEN 3 ELSE 0 END AS BIGINT) AS n
+  FROM ({_PLANE}), (SELECT unnest(['base', 'corridor', 'shared_endpoint', 'partial_overlap', 'detour']) AS kind)"""
+
+ORACLES["q_arc_resample"] = f"""WITH c AS (SELECT *, list_transform(range(1, len(v) + 1), lambda i: coalesce(list_sum(list_transform(range(1, i), lambda j: abs(v[j + 1] - v[j]))), 0.0)) AS cum FROM ({_ORDERS}) WHERE len(v) >= 2),
+  t AS (SELECT *, k * cum[-1] / 9.0 AS t FROM (SELECT *, unnest(range(10)) AS k FROM c WHERE cum[-1] > 0)),
+  s AS (SELECT *, least(len(list_filter(cum, lambda y: y <= t)), len(v) - 1) AS i FROM t)
+  SELECT id, CAST(k AS BIGINT) AS idx, round(v[i] + CASE WHEN cum[i + 1] > cum[i] THEN least((t - cum[i]) / (cum[i + 1] - cum[i]), 1.0) ELSE 0 END * (v[i + 1] - v[i]), 6) AS v FROM s"""
+
+_BITS = lambda stream, index: f"CAST('0x' || substr(md5('{SEED}:{stream}:' || id || ':' || {index}), 1, 8) AS BIGINT)"
+_PICKED = lambda source, stream: f"""SELECT *, row_number() OVER (PARTITION BY id ORDER BY {_BITS(stream, 'idx')}, idx) AS place
+  FROM (SELECT id, v, unnest(range(1, len(v) - 1)) AS idx FROM ({source}))"""
+ORACLES["q_spike"] = f"""WITH hit AS (SELECT id, idx FROM ({_PICKED(_ORDERS, "spikes")}) WHERE place <= 2),
+  c AS (SELECT id, v, unnest(range(len(v))) AS idx FROM ({_ORDERS}) WHERE len(v) >= 4)
+  SELECT c.id, CAST(c.idx AS BIGINT) AS idx, round(v[c.idx + 1] + CASE WHEN hit.idx IS NULL THEN 0
+    WHEN cos(2 * pi() * ({_BITS("spikea", "c.idx || ':0'").replace("|| id ||", "|| c.id ||")} + 0.5) / 4294967296.0) > 0 THEN 1000.0 ELSE -1000.0 END, 6) AS v
+  FROM c LEFT JOIN hit ON hit.id = c.id AND hit.idx = c.idx"""
+ORACLES["q_drop_samples"] = f"""WITH gone AS (SELECT id, idx FROM ({_PICKED(_EVENTS, "drop")}) WHERE place <= round_even(0.2 * greatest(len(v) - 2, 0), 0))
+  SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY idx) - 1 AS BIGINT) AS idx, CAST(idx AS BIGINT) AS source
+  FROM (SELECT id, unnest(range(len(v))) AS idx FROM ({_EVENTS})) ANTI JOIN gone USING (id, idx)"""
+
+_AT = "k * (len(v) - 1) / {0}.0".format(GRID - 1)
+_FLOOR = f"greatest(0, least(CAST(floor({_AT}) AS INT), len(v) - 2))"
+_SAMPLED = f"SELECT id, list_transform(range({GRID}), lambda k: v[{_FLOOR} + 1] + (v[least({_FLOOR} + 2, len(v))] - v[{_FLOOR} + 1]) * ({_AT} - {_FLOOR})) AS v FROM ({_ORDERS})"
+ORACLES["q_free_space_grid"] = f"""WITH c AS ({_SAMPLED}) SELECT a.id AS ref_id, b.id AS obs_id,
+  CAST(list_sum(list_transform(b.v, lambda y: len(list_filter(a.v, lambda x: abs(y - x) <= {EPS})))) AS BIGINT) AS n_free FROM c a JOIN c b ON b.id = a.id + 1"""
+ORACLES["q_reachable_grid"] = _dp(_SAMPLED, f"CASE WHEN {_MATCH} THEN greatest({_MIN3.replace('least', 'greatest')}, 0) ELSE 0 END", "0", "0", "cur[m + 1]", "corner", head0="1", kind="BIGINT")
+
+_NATION_PAIRS = """SELECT q.id * 1000000000 + t.id AS ref_id, t.id AS obs_id, t.v AS r, q.v AS o FROM c q JOIN customer cq ON cq.c_custkey = q.id
+  JOIN customer ct ON ct.c_nationkey = cq.c_nationkey JOIN c t ON t.id = ct.c_custkey WHERE len(q.v) < 5 AND q.id <> t.id"""
+_EDR = _dp(_ORDERS, f"least(prev2[i2] + CASE WHEN {_MATCH} THEN 0 ELSE 1 END, prev2[i2 + 1] + 1, cur[i2] + 1)", "prev2[1] + 1", "cur[i2] + 1", "cur[m + 1]", "d", head0="0", kind="BIGINT", pairs=_NATION_PAIRS)
+ORACLES["q_retrieval"] = f"""WITH s AS (SELECT ref_id // 1000000000 AS query_id, obs_id AS t, d FROM ({_EDR})),
+  rel AS (SELECT query_id, arg_min(d, t) AS d FROM s GROUP BY query_id),
+  g AS (SELECT query_id, count(*) AS n_scored, min(s.d) AS top1_score, arg_min(t, (s.d, t)) AS top1, count_if(s.d < rel.d) AS before, count_if(s.d = rel.d) AS size FROM s JOIN rel USING (query_id) GROUP BY query_id)
+  SELECT CAST(query_id AS BIGINT) AS query_id, top1, n_scored, CAST(top1_score AS DOUBLE) AS top1_score, CASE WHEN before + size <= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit1_strict,
+    CASE WHEN before + 1 <= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit1_optimistic, round(1.0 / (before + size), 6) AS rr_strict, round(1.0 / (before + 1), 6) AS rr_optimistic FROM g"""
