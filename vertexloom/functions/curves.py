@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INF = 1_000_000
+EARTH = 6_371_008.8
 _FAR = float("inf")
 
 
@@ -295,13 +296,13 @@ def coupling_valid(ref: Column, curve: Column, coupling: Column, delta: Column |
     return (F.size(coupling) > 0) & ends & F.forall(flags, lambda x: x)
 
 
-def to_xy(lat: Column, lon: Column, lat0: Column, lon0: Column, radius: float = 6_371_008.8) -> Column:
+def to_xy(lat: Column, lon: Column, lat0: Column, lon0: Column, radius: float = EARTH) -> Column:
     """Local tangent plane, safe across the antimeridian."""
     east = F.pmod(lon - lon0 + 180, F.lit(360.0)) - 180
     return F.array(F.radians(east) * F.cos(F.radians(lat0)) * radius, F.radians(lat - lat0) * radius)
 
 
-def to_latlon(xy: Column, lat0: Column, lon0: Column, radius: float = 6_371_008.8) -> Column:
+def to_latlon(xy: Column, lat0: Column, lon0: Column, radius: float = EARTH) -> Column:
     lat = lat0 + F.degrees(F.element_at(xy, 2) / radius)
     lon = lon0 + F.degrees(F.element_at(xy, 1) / (radius * F.cos(F.radians(lat0))))
     return F.struct(lat.alias("lat"), (F.pmod(lon + 180, F.lit(360.0)) - 180).alias("lon"))

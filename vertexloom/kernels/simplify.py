@@ -53,3 +53,10 @@ def simplify_to(points: np.ndarray, most: int, tolerance: float, work: int = WOR
         why = "work budget used up" if work < 0 else f"moves more than {tolerance:.1f}"
         raise ValueError(f"a course of {len(points)} vertices can't be cut to {most}: {why}")
     return best
+
+
+def line_distances(points: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Distance of each point to a polyline, which may be a single vertex."""
+    if len(line) == 1:
+        return np.linalg.norm(points - line[0], axis=1)
+    return np.min([chord_distances(points, a, b) for a, b in zip(line[:-1], line[1:], strict=True)], axis=0)

@@ -43,6 +43,24 @@ def simplify(curves: DataFrame, pts: str, most: int, tolerance: float, name: str
     return curves.withColumn(name, cut(F.col(pts)))
 
 
+def distances(pairs: DataFrame, course: str, track: str) -> DataFrame:
+    """pairs with offsets (of track vertices to the course) and coverage (of course vertices to the track)."""
+    ship(pairs.sparkSession)
+
+    @F.pandas_udf("offsets array<double>, coverage array<double>")
+    def measure(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        import numpy as np
+
+        from vertexloom.kernels.simplify import line_distances
+
+        pts = lambda c: np.array([list(p) for p in c], dtype=np.float64)
+        both = [(pts(a), pts(b)) for a, b in zip(x, y, strict=True)]
+        return pd.DataFrame({"offsets": [line_distances(o, r).tolist() for r, o in both], "coverage": [line_distances(r, o).tolist() for r, o in both]})
+
+    d = pairs.withColumn("_near", measure(F.col(course), F.col(track)))
+    return d.withColumns({"offsets": F.col("_near.offsets"), "coverage": F.col("_near.coverage")}).drop("_near")
+
+
 def audit(pairs: DataFrame, delta: float) -> DataFrame:
     """pairs of course and track (array<struct<lat,lon>>) with problem, verdict, reasons, glitches and checks.
 
@@ -53,18 +71,21 @@ def audit(pairs: DataFrame, delta: float) -> DataFrame:
     """
     if not LEAST_DELTA <= delta <= MOST_DELTA:
         raise ValueError(f"delta must be from {LEAST_DELTA:g} to {MOST_DELTA:g} metres")
-    pairs = pairs.withColumn("problem", F.coalesce(fix_problems(F.col("course"), "course"), fix_problems(F.col("track"), "track")))
     both = F.concat("course", "track")
     first = F.element_at("course", 1)["lon"]
-    east = lambda lon: F.pmod(lon - first + 180, F.lit(360.0)) - 180
-    mid = lambda f: (F.array_max(F.transform(both, f)) + F.array_min(F.transform(both, f))) / 2
-    d = pairs.withColumns({"lat0": mid(lambda p: p["lat"]), "lon0": first + mid(lambda p: east(p["lon"]))})
+    lats, easts = F.transform(both, lambda p: p["lat"]), F.transform(both, lambda p: F.pmod(p["lon"] - first + 180, F.lit(360.0)) - 180)
+    sides = {"s": F.array_min(lats), "n": F.array_max(lats), "w": F.array_min(easts), "e": F.array_max(easts)}
+    d = pairs.withColumn("_box", F.struct(*[c.alias(k) for k, c in sides.items()]))
+    d = d.withColumns({"lat0": (F.col("_box.s") + F.col("_box.n")) / 2, "lon0": first + (F.col("_box.w") + F.col("_box.e")) / 2})
+    # The span comes from the box, not from projected fixes: the filter below is pushed under the projection and would repeat it.
+    east, north = F.radians(F.col("_box.e") - F.col("_box.w")) * F.cos(F.radians("lat0")), F.radians(F.col("_box.n") - F.col("_box.s"))
+    wide = F.sqrt(east * east + north * north) * C.EARTH > MOST_EXTENT
+    reasons = (fix_problems(F.col("course"), "course"), fix_problems(F.col("track"), "track"), F.when(wide, f"the two span more than {MOST_EXTENT / 1000:g} km"))
+    d = d.withColumn("problem", F.coalesce(*reasons)).drop("_box")
+    refused, d = d.where("problem is not null").select(*pairs.columns, "problem"), d.where("problem is null")
     xy = lambda c: F.transform(c, lambda p: C.to_xy(p["lat"], p["lon"], F.col("lat0"), F.col("lon0")))
     d = d.withColumns({"_r": xy("course"), "_o": xy("track")})
-    wide = C.extent(F.concat("_r", "_o")) > MOST_EXTENT
-    d = d.withColumn("problem", F.coalesce("problem", F.when(wide, f"the two span more than {MOST_EXTENT / 1000:g} km")))
     d = d.withColumn("scale_error", C.projection_scale_error(F.transform(both, lambda p: p["lat"]), F.col("lat0")))
-    refused, d = d.where("problem is not null").select(*pairs.columns), d.where("problem is null")
 
     d = simplify(d, "_r", MOST_COURSE, delta / 4, "_cut")
     n = F.size("track")
@@ -77,8 +98,7 @@ def audit(pairs: DataFrame, delta: float) -> DataFrame:
     inner = discrete_edits(d, "_r", "_t", delta, "delete")
     d = inner.withColumns({"discrete_cost": F.col("cost"), "discrete_status": F.col("status")}).drop("status", "cost", "witness_status", "edited_curve", "edits", "coupling", "detail")
     d = continuous_edits(d, "_r", "_t", delta, witness=True, max_deletions="glitch_budget")
-    near = lambda c, line: F.transform(c, lambda p: C.polyline_distance(p, F.col(line)))
-    d = d.withColumns({"offsets": near("_t", "_r"), "coverage": near("_r", "_t")})
+    d = distances(d, "_r", "_t")
     small = F.size("_r") * F.size("edited_curve") <= MOST_CELLS
     found = F.col("witness_status") == "certified"
     # Curves too long to check in time aren't handed to the checker at all.

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions import corruptions, grids
 from vertexloom.functions import curves as C
-from vertexloom.operators import audit, continuous, edits, gallery, retrieval
+from vertexloom.operators import continuous, edits, gallery, retrieval
+from vertexloom.session import deal
 
 DELTA, EPS, GRID, SEED = 100.0, 50000.0, 16, 7
 
@@ -73,7 +74,7 @@ def _values(pts):
 
 def _witness(mode: str):
     def query(spark, sf_dir):
-        pairs = neighbours(order_curves(spark, sf_dir)).repartition("ref_id")
+        pairs = deal(neighbours(order_curves(spark, sf_dir)), "ref_id")
         got = edits.verify(edits.discrete_edits(pairs, "ref", "obs", EPS, mode, witness=True), "ref", "obs", EPS, mode)
         return got.select("ref_id", "obs_id", "status", _big(F.col("cost")).alias("cost"), _big(F.size("edits")).alias("n_edits"), F.when(F.col("status") == "optimal", F.col("ok")).alias("ok"))
 
@@ -81,7 +82,7 @@ def _witness(mode: str):
 
 
 def q_continuous_delete(spark, sf_dir):
-    pairs = neighbours(order_curves(spark, sf_dir)).repartition("ref_id")
+    pairs = deal(neighbours(order_curves(spark, sf_dir)), "ref_id")
     got = edits.continuous_edits(pairs, "ref", "obs", EPS, witness=True, max_deletions=8)
     return got.select("ref_id", "obs_id", "status", _big(F.col("cost")).alias("cost"), _big(F.size("edits")).alias("n_edits"))
 
@@ -145,25 +146,16 @@ def q_gallery(spark, sf_dir):
 
 
 def q_continuous_frechet(spark, sf_dir):
-    pairs = neighbours(order_curves(spark, sf_dir)).repartition("ref_id")
+    pairs = deal(neighbours(order_curves(spark, sf_dir)), "ref_id")
     d = continuous.distance(pairs, "ref", "obs").withColumn("discrete", C.discrete_frechet(F.col("ref"), F.col("obs")))
     return d.select("ref_id", "obs_id", _r6("distance").alias("d"), (F.col("distance") <= F.col("discrete")).alias("below_discrete"))
 
 
 def q_continuous_within(spark, sf_dir):
-    pairs = neighbours(order_curves(spark, sf_dir)).repartition("ref_id")
+    pairs = deal(neighbours(order_curves(spark, sf_dir)), "ref_id")
     return continuous.within(pairs, "ref", "obs", EPS).select("ref_id", "obs_id", F.col("within"))
 
 
-def q_audit(spark, sf_dir):
-    """Each user's events as a walk of about 100 m a step, with two fixes thrown 500 m off, against the walk itself."""
-    c = event_curves(spark, sf_dir).withColumn("xy", F.transform("pts", lambda p, i: F.array(F.lit(100.0) * i, F.element_at(p, 1) / 10)))
-    c = c.withColumn("hurt", corruptions.spike(F.col("xy"), F.col("id"), SEED, 2, 500.0)["pts"])
-    fixes = lambda x: F.transform(x, lambda p: C.to_latlon(p, F.lit(48.0), F.lit(11.0)))
-    got = audit.audit(c.select("id", fixes(F.col("xy")).alias("course"), fixes(F.col("hurt")).alias("track")).repartition("id"), 60.0)
-    return got.select("id", "verdict", _big("cost").alias("cost"), _big(F.size("glitches")).alias("n_glitches"), "verification")
-
-
 def q_status_counts(spark, sf_dir):
     pairs = neighbours(order_curves(spark, sf_dir))
     modes = [F.when(C.edit_cost(F.col("ref"), F.col("obs"), EPS, m).isNull(), "infeasible").otherwise("optimal") for m in ("delete", "insert", "both")]
@@ -205,7 +197,6 @@ QUERIES = {
     "q_continuous_delete": q_continuous_delete,
     "q_continuous_frechet": q_continuous_frechet,
     "q_continuous_within": q_continuous_within,
-    "q_audit": q_audit,
     "q_status_counts": q_status_counts,
     "q_curve_extent": q_curve_extent,
     "q_arc_resample": _points(lambda s, d: order_curves(s, d).where(F.size("pts") >= 2), lambda p: C.arc_resample(p, 10)),
