@@ -95,6 +95,21 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_small_sources(spark):
+    sizes = {"a": 5_000_000, **{f"s{n:04}": n for n in (1, 50, 100, 257, 300, 600, 1000)}, None: 70}
+    targets = spark.createDataFrame([(s, n, 2.0 * n) for s, n in sizes.items()], "source string, source_size long, target double")
+    rows = mixing.schedule(targets, 256).collect()
+    assert len({r.slot for r in rows}) == len({(r.source, r.epoch, r.k) for r in rows}) == len(rows)
+    taken = Counter()
+    for r in rows:
+        taken[r.source] += r.take
+    assert taken == {s: 2 * n for s, n in sizes.items()}
+    big = spark.range(1000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', 3000)").alias("text"), F.lit("a").alias("source"))
+    small = spark.createDataFrame([(2000 + n, "v " * n, f"s{n}") for n in (50, 100, 300)], big.schema)
+    got = mixing.mix(big.unionByName(small)).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 0.5 for r in got)
+
+
 def test_passages(docs, empty):
     got = {r.doc_id: r for r in paragraph_dedup.repeated_passages(docs).collect()}
     assert got[10].n_removed == 0 and got[11].n_removed >= 40 and got[9].n_removed == 0 and got[0].text is None

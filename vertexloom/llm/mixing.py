@@ -54,26 +54,35 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
 
     Slot s is the golden-ratio point frac((s + 1) * phi), mapped through the cumulative targets to
     a source; the r-th slot of a source is block r of its shuffled stream, repeated in epochs. The
-    points are spread so evenly that each source has its slots after a few more than the total
-    needs; slots past a source's target are dropped and the last one is trimmed to it.
+    points are spread so evenly that most sources have their slots after a few more than the total
+    needs. A source needs a slot per block and one for the short last block of every epoch; those the
+    points left out come after them, counted in whole numbers. Slots past a source's target are
+    dropped and the last one is trimmed to it.
     """
     spark = targets.sparkSession
     t = targets.withColumn("goal", F.floor(F.col("target") + 0.5).cast("long")).where("goal > 0")
     order = W.orderBy(F.col("source").asc_nulls_last())
     t = t.withColumns({"hi": F.sum("goal").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)), "all": F.sum("goal").over(W.partitionBy())})
-    t = t.withColumn("lo", F.col("hi") - F.col("goal"))
+    whole = lambda x, by: F.expr(f"({x}) div {by}")
+    t = t.withColumns({"lo": F.col("hi") - F.col("goal"), "needed": whole("goal", "source_size") * whole(f"source_size + {block - 1}", block) + whole(f"goal % source_size + {block - 1}", block)})
     total, n = t.agg(F.max("all"), F.count("*")).first()
     if not total:
         return spark.createDataFrame([], "slot long, source string, epoch long, k long, take long")
-    # Extra slots: the deficit of a source after S slots is O(log S); whole rounds of points over all sources cover it.
+    # A few more points than the total needs; what a source still misses then is made up after them.
     slots = int(total / block) + 64 + 8 * n + int(total / block) // 16
     grid = 4096
     u = F.pmod((F.col("slot") + 1) * F.lit(GOLDEN), F.lit(1.0))
     s = spark.range(slots).withColumnRenamed("id", "slot").withColumn("x", u * F.lit(float(total))).withColumn("cell", F.floor(F.col("x") * grid / total).cast("long"))
     cells = t.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * grid / total).cast("long"), F.floor(F.col("hi") * grid / total).cast("long"))))
     s = s.join(cells.select("cell", "source", "lo", "hi", "goal", "source_size"), "cell").where("x >= lo and x < hi")
+    drawn = s.groupBy("source").agg(F.count("*").alias("drawn"))
+    short = t.alias("t").join(drawn.alias("n"), F.col("t.source").eqNullSafe(F.col("n.source")), "left")
+    short = short.select("t.source", "lo", "hi", "goal", "source_size", "needed", F.coalesce("drawn", F.lit(0)).alias("drawn")).where("drawn < needed")
+    short = short.withColumn("behind", F.sum(F.col("needed") - F.col("drawn")).over(order) - F.col("needed"))
+    more = short.withColumn("r", F.explode(F.sequence(F.col("drawn"), F.col("needed") - 1))).withColumn("slot", slots + F.col("behind") + F.col("r"))
     s = s.withColumns({"one": F.lit(1).cast("long"), "run": F.shiftright("slot", 14)})
     s = _running(s, ["source"], ["slot"], "one", "run").withColumnRenamed("before", "r")
+    s = s.select("slot", "source", "goal", "source_size", "r").unionByName(more.select("slot", "source", "goal", "source_size", "r"))
     blocks = F.ceil(F.col("source_size") / block)
     s = s.withColumns({"epoch": F.floor(F.col("r") / blocks).cast("long"), "k": F.pmod("r", blocks).cast("long")})
     length = F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("k") * block)
