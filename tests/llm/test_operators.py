@@ -116,6 +116,22 @@ def test_passages(docs, empty):
     assert paragraph_dedup.repeated_passages(empty).count() == 0
 
 
+def test_passages_inside_lines(spark):
+    rng = random.Random(3)
+    draw = lambda n, stop=0: " ".join(f"p{rng.randrange(9000)}" + ("." if stop and i % stop == stop - 1 else "") for i in range(n))
+    passages = [draw(51), draw(60, 4), draw(55, 9), draw(70, 25), draw(50)]
+    hosts = [[(draw(40 + 3 * j, stop), p, draw(45 + 7 * j, stop)) for j, stop in enumerate((0, 7, 23))] for p in passages]
+    rows = [(10 * k + j, " ".join(parts)) for k, three in enumerate(hosts) for j, parts in enumerate(three)]
+    rows += [(60, draw(30) + " " + passages[0].upper()), (None, passages[1] + " " + draw(20)), (61, (draw(60) + " ") * 3)]
+    got = {r.doc_id: r for r in paragraph_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for k, p in enumerate(passages):
+        n = len(p.split())
+        assert [got[10 * k + j].n_removed for j in range(3)] == [0, *([n, n] if n > 50 else [0, 0])]
+        if n > 50:
+            assert all(got[10 * k + j].text == f"{hosts[k][j][0]} {hosts[k][j][2]}" for j in (1, 2))
+    assert got[60].n_removed == 51 and got[None].n_removed == 60 and got[61].n_removed == 0
+
+
 def test_toxicity(docs, spark):
     rows = [(f"idiot {w} {v}", 1) for w, v in zip(WORDS[:40], WORDS[40:80], strict=True)] + [(f"{w} {v} path", 0) for w, v in zip(WORDS[:80], WORDS[80:160], strict=True)]
     lexicon = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"))

@@ -5,6 +5,11 @@ leaves. Its limits depend on nothing but itself, so a passage gives the same par
 is set in. Bands of one minwise value each, enough of them to miss a pair at the threshold
 about once in 600, bring paragraphs together; colliding ones are verified by exact Jaccard, linked
 into components, and of each component one occurrence stays.
+
+A passage set inside a line loses its ends to the host's paragraphs, or melts into one of them. So the words that
+are left are compared once more, by runs: of each RUN words in a row the least hash of their windows of WINDOW
+words is announced, which any two documents that share the run have in common. Around announced values
+that are repeated every window is looked up, so a shared run is found to its last word on both sides.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ from vertexloom.llm.base import Workspace, components
 from vertexloom.llm.chunks import bounds, bucket_of, buckets_for, chunked, items, with_answers
 
 SHINGLE, SENTENCE = 5, 10
+#: A shared run of RUN words or more goes, whatever stands around it.
+RUN, WINDOW = 51, 25
 _STOP = np.zeros(256, bool)
 _STOP[[ord("."), ord("!"), ord("?")]] = True
 
@@ -79,16 +86,101 @@ class Paragraphs:
         return np.unique(self.shingles[self.first[p] : self.end[p] - SHINGLE + 1])
 
 
+def _stretches(marked: np.ndarray, first_word: np.ndarray) -> np.ndarray:
+    """(from, end) of each longest run of marked words inside a document."""
+    cut = np.zeros(len(marked) + 1, bool)
+    cut[first_word] = True
+    on = np.append(marked, False)
+    begins = marked & (cut[:-1] | ~np.append(False, marked[:-1]))
+    ends = marked & (cut[1:] | ~on[1:])
+    return np.column_stack([np.flatnonzero(begins), np.flatnonzero(ends) + 1])
+
+
+def _marked(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of n words lie in a span start:end."""
+    step = np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1)
+    return np.cumsum(step)[:n] > 0
+
+
+def _long(marked: np.ndarray, first_word: np.ndarray, least: int) -> np.ndarray:
+    """marked without runs of under least words."""
+    got = _stretches(marked, first_word)
+    got = got[got[:, 1] - got[:, 0] >= least]
+    return _marked(len(marked), got[:, 0], got[:, 1])
+
+
+def _gone(w, drops, least_words: int) -> np.ndarray:
+    """Words of a chunk in marked paragraphs that go."""
+    got = np.array([(x["row"], x["word"], x["n"]) for x in drops.as_py() or []], np.int64).reshape(-1, 3)
+    at = w.first_word[got[:, 0]] + got[:, 1]
+    return _long(_marked(len(w.start), at, at + got[:, 2]), w.first_word, least_words)
+
+
+class Runs:
+    """Windows of WINDOW words of a chunk, and the least of those in each RUN words of a document that aren't gone altogether."""
+
+    def __init__(self, texts, drops, least_words: int):
+        from vertexloom.llm.textblocks import Words, _power, mix
+
+        self.words = w = Words(texts)
+        n = len(w.start)
+        self.doc = np.searchsorted(w.first_word, np.arange(n), side="right") - 1
+        self.windows, self.least, self.live = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        if n < RUN:
+            return
+        f, inverse = _power(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(w.hashes() * f[:n], out=sums[1:])
+            self.windows = mix((sums[WINDOW:] - sums[:-WINDOW]) * inverse[: n - WINDOW + 1])
+        low, size, group = self.windows, 1, RUN - WINDOW + 1
+        while size < group:
+            by = min(size, group - size)
+            low, size = np.minimum(low[:-by], low[by:]), size + by
+        gone = np.append(0, np.cumsum(_gone(w, drops, least_words)))
+        self.least, self.live = low, (self.doc[: n - RUN + 1] == self.doc[RUN - 1 :]) & (gone[RUN:] - gone[:-RUN] < RUN)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Announced values in order, and in how many documents each stands."""
+        key, doc = self.least[self.live], self.doc[: len(self.live)][self.live]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        key, doc = key[new], doc[new]
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        return np.unique(key[new], return_counts=True)
+
+    def around(self, repeated: np.ndarray) -> np.ndarray:
+        """Windows of the runs whose announced value is one of repeated."""
+        hit = np.append(0, np.cumsum(self.live & np.isin(self.least, repeated)))
+        at = np.arange(len(self.windows))
+        return np.flatnonzero(hit[np.minimum(at + 1, len(hit) - 1)] > hit[np.maximum(at - (RUN - WINDOW), 0)]) if len(at) else at
+
+
+def _said(cid: int, keys: np.ndarray, many: np.ndarray, count: int):
+    import pyarrow as pa
+
+    got = bounds(bucket_of(keys, count))
+    blob = lambda x: pa.array([x[a:b].tobytes() for _, a, b in got], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([cid] * len(got), pa.int64()), blob(keys), blob(many.astype(np.uint8))], ["bucket", "cid", "key", "many"])
+
+
 def _announce(bands: int, count: int):
     def run(batches):
-        import pyarrow as pa
-
         for cid, docs, _ in items(batches):
             keys, times = np.unique(Paragraphs(docs.field("text"), bands).bands.ravel(), return_counts=True)
-            many = (times > 1).astype(np.uint8)
-            got = bounds(bucket_of(keys, count))
-            blob = lambda x: pa.array([x[a:b].tobytes() for _, a, b in got], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([cid] * len(got), pa.int64()), blob(keys), blob(many)], ["bucket", "cid", "key", "many"])
+            yield _said(cid, keys, times > 1, count)
+
+    return run
+
+
+def _announce_runs(least_words: int, count: int):
+    def run(batches):
+        for cid, docs, more in items(batches):
+            keys, times = Runs(docs.field("text"), more["drops"], least_words).keys()
+            yield _said(cid, keys, times > 1, count)
 
     return run
 
@@ -105,6 +197,12 @@ def _repeated(t):
     return pa.table({"cid": t.column("cid"), "bucket": t.column("bucket"), "n": pa.array(np.diff(cuts), pa.int64()), "bits": pa.array([np.packbits(bits[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
 
+def _bits(answers) -> np.ndarray:
+    """The bits of a chunk's keys, in order of the keys."""
+    got = sorted(((x["bucket"], x["n"], x["bits"]) for x in answers.as_py() or []), key=lambda x: x[0])
+    return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for _, n, x in got]) if got else np.zeros(0, np.uint8)
+
+
 def _colliding(bands: int):
     """Occurrences of paragraphs of which a band is repeated, with the hashes of their sets."""
 
@@ -114,8 +212,7 @@ def _colliding(bands: int):
         for cid, docs, more in items(batches):
             p = Paragraphs(docs.field("text"), bands)
             keys, place = np.unique(p.bands.ravel(), return_inverse=True)
-            got = sorted(((x["bucket"], x["n"], x["bits"]) for x in more["answers"].as_py() or []), key=lambda x: x[0])
-            bits = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for _, n, x in got]) if got else np.zeros(0, np.uint8)
+            bits = _bits(more["answers"])
             hit = np.flatnonzero(bits[place].reshape(p.bands.shape).any(axis=0)) if len(keys) else []
             n = (p.end - p.first)[hit]
             rows = [np.full(len(hit), cid), p.doc[hit], p.first[hit] - p.words.first_word[p.doc[hit]] if len(hit) else p.doc[hit], n, p.content[hit].view(np.int64)]
@@ -156,6 +253,54 @@ def _verify(num: int, den: int):
     return run
 
 
+#: Of each looked-up window: null id, id, row and word of its document.
+_PLACE = np.dtype([("u", np.uint8), ("doc_id", np.int64), ("row", np.int32), ("word", np.int32)])
+
+
+def _windows(least_words: int, count: int):
+    """Windows around repeated announced values, with their places, by bucket."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for cid, docs, more in items(batches):
+            r = Runs(docs.field("text"), more["drops"], least_words)
+            at = r.around(r.keys()[0][_bits(more["answers"]).astype(bool)])
+            at = at[np.argsort(r.windows[at], kind="stable")]
+            ids, keys = docs.field("doc_id"), r.windows[at]
+            place = np.zeros(len(at), _PLACE)
+            place["row"] = r.doc[at]
+            place["word"] = at - r.words.first_word[r.doc[at]]
+            place["u"], place["doc_id"] = np.asarray(ids.is_null())[r.doc[at]], np.asarray(ids.fill_null(0))[r.doc[at]]
+            got = bounds(bucket_of(keys, count))
+            blob = lambda x: pa.array([x[a:b].tobytes() for _, a, b in got], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([cid] * len(got), pa.int64()), blob(keys), blob(place)], ["bucket", "cid", "key", "place"])
+
+    return run
+
+
+def _later(t):
+    """Windows that an earlier document holds, or their own document further up."""
+    import pyarrow as pa
+
+    key = np.frombuffer(b"".join(t.column("key").to_pylist()), np.uint64)
+    p = np.frombuffer(b"".join(t.column("place").to_pylist()), _PLACE)
+    cid = np.repeat(t.column("cid").to_numpy(), [len(x) // 8 for x in t.column("key").to_pylist()])
+    order = np.lexsort((p["word"], p["row"], cid, p["doc_id"], p["u"], key))
+    key, p, cid = key[order], p[order], cid[order]
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+    other = (p["u"] != p["u"][lead]) | (p["doc_id"] != p["doc_id"][lead]) | (cid != cid[lead]) | (p["row"] != p["row"][lead])
+    shared = np.bincount(lead, weights=other, minlength=len(key))[lead] > 0
+    drop = np.flatnonzero(shared & (other | (p["word"] >= p["word"][lead] + WINDOW)))
+    drop = drop[np.argsort(cid[drop], kind="stable")]
+    edges = [0, *(np.flatnonzero(np.diff(cid[drop])) + 1).tolist(), len(drop)] if len(drop) else [0]
+    got = list(zip(edges[:-1], edges[1:], strict=True))
+    blob = lambda x: pa.array([x[drop[a:b]].tobytes() for a, b in got], pa.binary())
+    return pa.table({"cid": pa.array([int(cid[drop[a]]) for a, _ in got], pa.int64()), "rows": blob(p["row"]), "words": blob(p["word"])})
+
+
 def _cut(least_words: int):
     def run(batches):
         import pyarrow as pa
@@ -164,27 +309,26 @@ def _cut(least_words: int):
 
         for _, docs, more in items(batches):
             w = Words(docs.field("text"))
+            later = more["later"].as_py() or []
+            row, word = (np.frombuffer(b"".join(x[k] for x in later), np.int32).astype(np.int64) for k in ("rows", "words"))
+            at = w.first_word[row] + word
+            marked = _gone(w, more["drops"], least_words) | _long(_marked(len(w.start), at, at + WINDOW), w.first_word, RUN)
+            got = _stretches(marked, w.first_word)
             drop: dict[int, list[tuple[int, int]]] = {}
-            for x in sorted((x["row"], x["word"], x["n"]) for x in more["drops"].as_py() or []):
-                runs = drop.setdefault(x[0], [])
-                if runs and runs[-1][1] == x[1]:
-                    runs[-1] = (runs[-1][0], x[1] + x[2])
-                else:
-                    runs.append((x[1], x[1] + x[2]))
+            for x, a, b in zip(np.searchsorted(w.first_word, got[:, 0], side="right") - 1, got[:, 0], got[:, 1], strict=True):
+                drop.setdefault(int(x), []).append((int(a), int(b)))
             texts, removed, spans = docs.field("text").to_pylist(), [0] * len(docs), [0] * len(docs)
             for row, runs in drop.items():
-                base, off = w.first_word[row], w.offsets[row]
+                off = w.offsets[row]
                 data, parts, at = w.raw[off : w.offsets[row + 1]].tobytes(), [], 0
                 for a, b in runs:
-                    if b - a >= least_words:
-                        lo, hi = int(w.start[base + a] - off), int(w.end[base + b - 1] - off)
-                        parts.append(data[at:lo])
-                        # The gap after a removed run goes with it.
-                        at = hi + len(data[hi:]) - len(data[hi:].lstrip(b" \t\n\x0b\x0c\r")) if hi < len(data) else hi
-                        removed[row] += b - a
-                        spans[row] += 1
-                if spans[row]:
-                    texts[row] = b"".join([*parts, data[at:]]).decode().rstrip(" \t\n\x0b\x0c\r")
+                    lo, hi = int(w.start[a] - off), int(w.end[b - 1] - off)
+                    parts.append(data[at:lo])
+                    # The gap after a removed run goes with it.
+                    at = hi + len(data[hi:]) - len(data[hi:].lstrip(b" \t\n\x0b\x0c\r")) if hi < len(data) else hi
+                    removed[row] += b - a
+                    spans[row] += 1
+                texts[row] = b"".join([*parts, data[at:]]).decode().rstrip(" \t\n\x0b\x0c\r")
             yield pa.RecordBatch.from_arrays([docs.field("doc_id"), pa.array(np.diff(w.first_word), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(texts, pa.string()), docs.field("rest")], ["doc_id", "n_words", "n_removed", "n_spans", "text", "rest"])
 
     return run
@@ -198,6 +342,9 @@ def repeated_passages(docs: DataFrame, num: int = 4, den: int = 5, bands: int =
     doc_id, then place) are marked, and marked runs of least_words words or more are removed from the texts, with
     the white space after them. Repeats inside a single document alone stay.
 
+    A run of RUN words or more, in lower case, that an earlier document holds word for word goes too, with
+    whatever stands around it, unless the earlier document's run is itself gone as paragraphs.
+
     Null texts stay null and empty ones empty; null ids sort last; rows that repeat an id are
     documents of their own; an empty table gives no rows. Equal paragraphs are one from the start,
     so only different ones are compared; a band of over `block` different ones is compared in
@@ -237,6 +384,18 @@ def repeated_passages(docs: DataFrame, num: int = 4, den: int = 5, bands: int =
     drops = occ.join(firsts, "kind").where(F.struct("who", "word") != F.col("keep")).select("cid", "row", "word", "n")
     drops = ws.keep(drops, "drops")
     ws.drop(occ, firsts)
-    done = with_answers(chunks, drops, "drops")
+    ws.tidy()
+    marked = ws.keep(with_answers(chunks, drops, "drops"), "marked")
+    ws.drop(chunks, drops)
+    ws.tidy()
+    said = marked.mapInArrow(_announce_runs(least_words, count), "bucket long, cid long, key binary, many binary")
+    answers = ws.keep(said.groupBy("bucket").applyInArrow(_repeated, "cid long, bucket long, n long, bits binary"), "answers")
+    ws.tidy()
+    near = ws.keep(with_answers(marked, answers, "answers").mapInArrow(_windows(least_words, count), "bucket long, cid long, key binary, place binary"), "windows")
+    ws.tidy()
+    later = ws.keep(near.groupBy("bucket").applyInArrow(_later, "cid long, rows binary, words binary"), "later")
+    ws.drop(answers, near)
+    ws.tidy()
+    done = with_answers(marked, later, "later")
     schema = f"doc_id long, n_words long, n_removed long, n_spans long, text string, rest {chunks.schema['items'].dataType.elementType['rest'].dataType.simpleString()}"
     return done.mapInArrow(_cut(least_words), schema)
