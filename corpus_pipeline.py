@@ -29,8 +29,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicates: of each component the document with the smallest id stays."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct().hint("shuffle_hash")
+    """Near-duplicates, from a similarity of 0.8 on: of each component the document with the smallest id stays."""
+    kept = near_dedup.near_duplicates(docs, num=80, den=100).where("kept").select("doc_id").distinct().hint("shuffle_hash")
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 

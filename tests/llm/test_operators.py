@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,21 @@ def test_near_dedup(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_pipeline_near_copies(spark):
+    rng, rows = random.Random(11), []
+    for i in range(24):
+        w = [f"n{rng.randrange(5000)}" for _ in range(200)]
+        edits = i % 8
+        copy = [f"e{rng.random()}" if j in {12 + 25 * e for e in range(edits)} else x for j, x in enumerate(w)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(copy))]
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(196)} for _, t in rows]
+    like = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(rows), 2)]
+    assert any(0.8 <= x < 0.85 for x in like) and any(0.75 < x < 0.8 for x in like)
+    expected = {i for i in range(len(rows)) if i % 2 == 0 or like[i // 2] < 0.8}
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {r.doc_id for r in kept} == expected
+
+
 def test_substrings(docs, empty):
     rows = substring_exact.remove_repeats(docs.dropDuplicates(["doc_id"]), 40).collect()
     data = [(t or "").encode() for t in TEXTS]

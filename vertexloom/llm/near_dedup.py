@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
 
     Within a node, rows are linked to its smallest row first, and confirmed on their full sets; then
     only rows across components need comparing: sketches single out the rows that are like one of
-    another component, and these are compared exhaustively on their full sets, inside the node, of which
+    another component (to 0.15 under the threshold, over four deviations of a sketch at 0.8), and these are compared exhaustively on their full sets, inside the node, of which
     only a spanning forest of links leaves. A node that stays large is compared in pairs of
     blocks, by many tasks.
 
@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
     # A row meets every block of its node once: side 0 from the lower block, 1 from the higher, 2 within one.
     side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
     wide = wide.select("rep", "comp", "sig", side.alias("side"), "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    open_ = wide.groupBy("node", "lo", "hi").applyInArrow(_alike(0.7), "rep long, comp long, side int, node long, lo long, hi long")
+    open_ = wide.groupBy("node", "lo", "hi").applyInArrow(_alike(num / den - 0.15), "rep long, comp long, side int, node long, lo long, hi long")
     open_ = ws.keep(open_, "open")
     ws.tidy()
     some = text.join(open_.select(F.col("rep").alias("u")).distinct().hint("shuffle_hash"), text.doc_id == F.col("u"), "left_semi")
