@@ -156,6 +156,14 @@ def test_toxicity(docs, spark):
     assert toxicity.fold("an 1dіot!") == " an idiot "
 
 
+def test_toxicity_of_a_minority(spark):
+    bad = [(f"idiot w{i}" if i >= 10 else f"bomenteci w{i}", 1) for i in range(1000)] + [("rarely", 1)] * 5
+    good = [(f"fine x{i}", 0) for i in range(3000)] + [("rarely", 0)] * 1
+    weights = toxicity.learn(spark.createDataFrame(bad + good, "text string, toxic int")).weights
+    assert " idiot " in weights and any(" bomenteci ".startswith(t) for t in weights)
+    assert not any(" rarely ".startswith(t) for t in weights)
+
+
 def test_sample_labels(spark):
     rows = [(i, i % 2) for i in range(3000)] + [(7, 0), (8, 1), (None, 1), (5, None)]
     labels = spark.createDataFrame(rows, "doc_id long, toxic int")

@@ -94,11 +94,12 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * raw))))
 
 
-def learn(labelled: DataFrame, most_terms: int = 2000, least_docs: int = 5, least_share: float = 0.02, least_odds: float = 8.0, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def learn(labelled: DataFrame, most_terms: int = 2000, least_docs: int = 5, least_odds: float = 8.0, least_bound: float = 4.0, z: float = 1.645, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon from rows of (text, toxic): terms far more frequent in toxic texts than in others.
 
     Counts cover all labelled rows; at most most_terms terms, the weightiest, reach the driver.
-    A term needs least_docs toxic texts and least_share of them. A stem enters only where
+    A term needs least_docs toxic texts, odds of least_odds and a lower bound of them (z standard errors of their
+    logarithm down) of least_bound, so a minority's terms aren't measured by all toxic texts. A stem enters only where
     it has half as many texts again as any one of its words, so that "path" isn't learnt
     from "pathetic" but unseen endings of an inflected insult still match.
     """
@@ -107,7 +108,9 @@ def learn(labelled: DataFrame, most_terms: int = 2000, least_docs: int = 5, leas
     n_bad, n_good = rows.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
     counts = rows.mapInArrow(_count_terms, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = ((F.col("bad") + 0.5) / (n_bad + 1)) / ((F.col("good") + 0.5) / (n_good + 1))
-    best = counts.where(F.col("bad") >= max(least_docs, math.ceil(least_share * n_bad))).withColumn("odds", odds).where(F.col("odds") >= least_odds)
+    error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5) - 1 / (n_bad + 1) - 1 / (n_good + 1))
+    best = counts.where(F.col("bad") >= least_docs).withColumn("odds", odds).where(F.col("odds") >= least_odds)
+    best = best.where(F.log("odds") - z * error >= math.log(least_bound))
     best = {r.term: r for r in best.orderBy(F.desc(F.log("odds") * F.sqrt("bad")), "term").limit(most_terms).collect()}
     stems: list[str] = []
     for t in sorted((t for t in best if not t.endswith(" ")), key=lambda t: (-len(t), t)):
