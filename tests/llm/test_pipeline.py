@@ -77,40 +77,45 @@ def shingled(w):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
-def paragraphs(text):
-    """(first word, end) of each paragraph of five words or more."""
-    spans = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
-    line = [text.count("\n", 0, m.start()) for m in spans]
-    starts = [i for i in range(len(spans)) if not i or line[i] != line[i - 1] or spans[i - 1].group()[-1] in ".!?"]
-    ends = [*starts[1:], len(spans)]
-    own = [a for a, b in zip(starts, ends) if b - a >= 10 or not a or line[a] != line[a - 1]]
-    return spans, [(a, b) for a, b in zip(own, [*own[1:], len(spans)]) if b - a >= 5]
+def shared_runs(docs):
+    """Words of a document that an earlier one holds in a run of 51 words or more."""
+    at = defaultdict(list)
+    for i in sorted(docs):
+        w = [x.lower() for x in found(docs[i])]
+        for k in range(len(w) - 50):
+            at[tuple(w[k : k + 51])].append((i, k))
+    return {(i, k + j) for places in at.values() for i, k in places if i > places[0][0] for j in range(51)}
 
 
 def without_passages(docs):
-    split = {i: paragraphs(t) for i, t in docs.items()}
-    content = {(i, a): tuple(m.group().lower() for m in split[i][0][a:b]) for i in split for a, b in split[i][1]}
+    spans = {i: list(re.finditer(r"[^\x20\x09-\x0D]+", t)) for i, t in docs.items()}
+    lines = {}
+    for i, ms in spans.items():
+        for k, m in enumerate(ms):
+            lines.setdefault((i, docs[i].count("\n", 0, m.start())), []).append(k)
+    content = {(i, ks[0]): tuple(spans[i][k].group().lower() for k in ks) for (i, _), ks in lines.items() if len(ks) >= 5}
     kind = groups({c: shingled(c) for c in set(content.values())}, 4, 5)
     held = defaultdict(list)
-    for at in sorted(content):
-        held[kind[content[at]]].append(at)
-    gone = {at for places in held.values() if len({i for i, _ in places}) > 1 for at in places[1:]}
+    for place in sorted(content):
+        held[kind[content[place]]].append(place)
+    gone = shared_runs(docs)
+    gone |= {(i, k + j) for places in held.values() for i, k in places if i > places[0][0] for j in range(len(content[i, k]))}
     out = {}
-    for i, (spans, pars) in split.items():
+    for i, ms in spans.items():
         runs = []
-        for a, b in pars:
-            if (i, a) in gone:
-                if runs and runs[-1][1] == a:
-                    runs[-1][1] = b
+        for k in range(len(ms)):
+            if (i, k) in gone:
+                if runs and runs[-1][1] == k:
+                    runs[-1][1] = k + 1
                 else:
-                    runs.append([a, b])
-        runs = [r for r in runs if r[1] - r[0] >= 25]
+                    runs.append([k, k + 1])
+        runs = [r for r in runs if r[1] - r[0] >= 51]
         text, at = "", 0
         for a, b in runs:
-            text += docs[i][at : spans[a].start()]
-            at = spans[b].start() if b < len(spans) else len(docs[i])
+            text += docs[i][at : ms[a].start()]
+            at = ms[b].start() if b < len(ms) else len(docs[i])
         text = (text + docs[i][at:]).rstrip(" \t\n\x0b\x0c\r") if runs else docs[i]
-        if sum(b - a for a, b in runs) < len(spans):
+        if sum(b - a for a, b in runs) < len(ms):
             out[i] = text
     return out
 
@@ -149,7 +154,7 @@ def test_equals_brute_force(result):
     rows, got = result
     docs = {i: c for i, t, *_ in rows if (c := cleaned(t)) is not None}
     assert {0, 1, 2, 3, 4}.isdisjoint(docs) and len(docs) < len(rows) - 5 and any(docs[i] != rows[i][1] for i in docs)
-    top = groups({i: shingled([w.lower() for w in found(t)]) for i, t in docs.items()}, 85, 100)
+    top = groups({i: shingled([w.lower() for w in found(t)]) for i, t in docs.items()}, 80, 100)
     single = {i: t for i, t in docs.items() if top[i] == i}
     assert len(single) == len(docs) - 4
     unique = without_passages(single)
@@ -183,4 +188,10 @@ def test_empty_and_null(spark, tmp_path):
     text = article(2)
     rows = [(None, text, None, None, None), (None, None, None, None, None), (9, text, "x", None, 5), (9, text, "x", None, 5)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/nulls/documents.parquet")
+    assert corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").count() == 3
+    clash = [c for c in ("kept", "n_words", "rest", "doc", "row", "cid", "leaf", "component_id")]
+    more = spark.createDataFrame([(*r, *clash) for r in rows], SCHEMA + "".join(f", {c} string" for c in clash))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        more = stage(spark, more, "")
+        assert more.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ") + clash, name
     assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/nulls").collect()} <= {None, 9}

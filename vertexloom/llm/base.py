@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and runs on one machine (tests) a temporary folder is set.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="vertexloom-shared")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -39,10 +42,13 @@ class Workspace:
     A lost executor costs only the tasks that ran on it: what is written stays readable.
     """
 
+    live: ClassVar[list[Workspace]] = []
+
     def __init__(self, spark: SparkSession, what: str):
         self.spark = ship(spark)
         self.root = f"{shared_dir(spark)}/vertexloom-{what}-{uuid.uuid4().hex}"
         self.made = 0
+        Workspace.live.append(self)
 
     def path(self, name: str) -> str:
         self.made += 1
@@ -65,6 +71,18 @@ class Workspace:
     def tidy(self) -> None:
         tidy(self.spark)
 
+    def clear(self) -> None:
+        """Delete the folder with all that is left in it."""
+        remove(self.spark, self.root)
+        if self in Workspace.live:
+            Workspace.live.remove(self)
+
+
+def sweep(*but: Workspace) -> None:
+    """Delete the intermediate tables of all operators run so far, once their results are written elsewhere."""
+    for ws in [x for x in Workspace.live if x not in but]:
+        ws.clear()
+
 
 def tidy(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that are no longer referenced."""

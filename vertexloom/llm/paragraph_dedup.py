@@ -1,15 +1,15 @@
 """Repeated passages by MinHash banding over paragraphs.
 
-A paragraph is a sentence of at least ten words with the shorter ones after it, or what a line
-leaves. Its limits depend on nothing but itself, so a passage gives the same paragraphs wherever it
-is set in. Bands of one minwise value each, enough of them to miss a pair at the threshold
-about once in 600, bring paragraphs together; colliding ones are verified by exact Jaccard, linked
-into components, and of each component one occurrence stays.
-
-A passage set inside a line loses its ends to the host's paragraphs, or melts into one of them. So the words that
-are left are compared once more, by runs: of each RUN words in a row the least hash of their windows of WINDOW
-words is announced, which any two documents that share the run have in common. Around announced values
-that are repeated every window is looked up, so a shared run is found to its last word on both sides.
+Paragraphs are of two kinds. A line is one, compared by its 5-word shingles: bands of one minwise value each, enough
+of them to miss a pair at the threshold about once in 600, bring lines together, and colliding ones are
+verified by exact Jaccard. The other kind doesn't depend on what stands around a passage: of each PASSAGE
+words in a row the 5-word shingle with the least hash is an anchor, and the HALF words before it and the HALF
+words from it on are paragraphs, one of which lies inside any run of PASSAGE words, wherever that is set
+in. Anchored paragraphs match word for word, so their one band is their content.
+
+Paragraphs linked into a component are one passage. Its first document keeps it; elsewhere its words are marked, and the ends
+of what is marked are moved outward word by word as long as the kept occurrence goes on alike.
+Marked runs of PASSAGE words or more are removed.
 """
 
 from __future__ import annotations
@@ -17,70 +17,94 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from vertexloom.llm.base import Workspace, components
 from vertexloom.llm.chunks import bounds, bucket_of, buckets_for, chunked, items, with_answers
 
-SHINGLE, SENTENCE = 5, 10
-#: A shared run of RUN words or more goes, whatever stands around it.
-RUN, WINDOW = 51, 25
-_STOP = np.zeros(256, bool)
-_STOP[[ord("."), ord("!"), ord("?")]] = True
+SHINGLE = 5
+#: A passage has over 50 words; HALF is the most that fits on one side of an anchor in every run of PASSAGE words.
+PASSAGE, HALF = 51, 26
+#: Words that an anchored paragraph can miss of a run on one side; BLOCK words' surroundings are kept together.
+REACH, BLOCK = PASSAGE - HALF, 64
+_SALT = np.uint64(0xA24BAED4963EE407)
+
+
+def _sliding(op, x: np.ndarray, k: int) -> np.ndarray:
+    """op over each k values in a row."""
+    size = 1
+    while size < k:
+        by = min(size, k - size)
+        x, size = op(x[:-by], x[by:]), size + by
+    return x
 
 
 class Paragraphs:
-    """Paragraphs of at least SHINGLE words of a chunk; paragraph p covers words first[p]:end[p] of document doc[p]."""
+    """Paragraphs of a chunk, lines first: p covers words first[p]:end[p] of document doc[p]."""
 
     def __init__(self, texts, bands: int):
-        from vertexloom.llm.textblocks import PLACE, Words, mix
+        from vertexloom.llm.textblocks import PLACE, Words, _power, mix, shingle_at
 
         self.words = w = Words(texts)
         n = len(w.start)
-        empty = np.zeros(0, np.int64)
-        self.first = self.end = self.doc = empty
-        self.content, self.bands, self.shingles = np.zeros(0, np.uint64), np.zeros((bands, 0), np.uint64), np.zeros(0, np.uint64)
-        if not n:
+        self.first = self.end = self.doc = np.zeros(0, np.int64)
+        self.content, self.bands, self.lines = np.zeros(0, np.uint64), np.zeros((bands, 0), np.uint64), 0
+        self.word_hash = h = w.hashes()
+        if n < SHINGLE:
             return
         doc = np.searchsorted(w.first_word, np.arange(n), side="right") - 1
-        lines = np.cumsum(w.raw == 10)
         at_line = np.ones(n, bool)
-        at_line[1:] = (lines[w.start[1:]] != lines[w.start[:-1]]) | (doc[1:] != doc[:-1])
-        at_sentence = at_line.copy()
-        at_sentence[1:] |= _STOP[w.raw[w.end[:-1] - 1]]
-        s = np.flatnonzero(at_sentence)
-        own = (np.diff(np.append(s, n)) >= SENTENCE) | at_line[s]
-        first = s[own]
+        breaks = np.cumsum(w.raw == 10)
+        at_line[1:] = (breaks[w.start[1:]] != breaks[w.start[:-1]]) | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(at_line)
         end = np.append(first[1:], n)
-        fit = end - first >= SHINGLE
-        self.first, self.end, self.doc = first[fit], end[fit], doc[first[fit]]
-        if not len(self.first):
-            return
-        h = w.hashes()
-        with np.errstate(over="ignore"):
-            sh = np.zeros(max(0, n - SHINGLE + 1), np.uint64)
-            for k in range(SHINGLE):
-                sh += h[k : n - SHINGLE + 1 + k] * PLACE[k]
-        self.shingles = sh = mix(sh)
-        # reduceat over [first, end - SHINGLE + 1) of each paragraph; the odd ranges between are dropped.
-        edges = np.column_stack([self.first, self.end - SHINGLE + 1]).ravel()
-        pad = np.append(sh, np.full(SHINGLE + 1, np.uint64(2**64 - 1)))
-        rng = np.random.default_rng(99)
-        got = []
+        first, end = first[end - first >= SHINGLE], end[end - first >= SHINGLE]
+        self.lines = len(first)
+        self.shingles = sh = shingle_at(h, SHINGLE)
+        if n >= PASSAGE:
+            span = PASSAGE - SHINGLE + 1
+            low = _sliding(np.minimum, sh, span)
+            low[doc[: len(low)] != doc[PASSAGE - 1 :]] = 0
+            edge = np.zeros(span - 1, np.uint64)
+            top = _sliding(np.maximum, np.concatenate([edge, low, edge]), span)
+            anchor = np.flatnonzero((top == sh) & (top > 0))
+            before = anchor[anchor - HALF >= w.first_word[doc[anchor]]]
+            after = anchor[anchor + HALF <= w.first_word[doc[anchor] + 1]]
+            a = np.sort(np.concatenate([before - HALF, after]))
+            a = a[np.append(True, a[1:] != a[:-1])] if len(a) else a
+            first, end = np.concatenate([first, a]), np.concatenate([end, a + HALF])
+        self.first, self.end, self.doc = first, end, doc[first]
+        f, inverse = _power(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
-            for _ in range(bands):
-                a = rng.integers(1, 2**63, dtype=np.uint64) | np.uint64(1)
-                got.append(mix(np.minimum.reduceat(mix(pad * a), edges)[::2] ^ a))
-            place = np.arange(n) - np.repeat(first, end - first)
-            weight = mix(h ^ mix(place.astype(np.uint64)))
-            self.content = mix(np.add.reduceat(weight, np.column_stack([self.first, np.minimum(self.end, n - 1)]).ravel())[::2])
-        last = self.end == n  # reduceat's last range ends one early
-        if last.any():
+            np.cumsum(h * f[:n], out=sums[1:])
+            self.content = mix((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64) * PLACE[16])
+        self.content[self.lines :] = mix(self.content[self.lines :] ^ _SALT)
+        if self.lines:
+            # reduceat over the shingles of each line; the odd ranges between are dropped.
+            edges = np.column_stack([first, end - SHINGLE + 1])[: self.lines].ravel()
+            pad = np.append(sh, np.full(SHINGLE, np.uint64(2**64 - 1)))
+            rng, got = np.random.default_rng(99), []
             with np.errstate(over="ignore"):
-                self.content[last] = mix(np.array([weight[a:n].sum(dtype=np.uint64) for a in self.first[last]], np.uint64))
-        self.bands = np.array(got)
+                for _ in range(bands):
+                    a = rng.integers(1, 2**63, dtype=np.uint64) | np.uint64(1)
+                    got.append(mix(np.minimum.reduceat(mix(pad * a), edges)[::2] ^ a))
+            self.bands = np.array(got)
 
-    def text(self, p: int) -> bytes:
-        return self.words.raw[self.words.start[self.first[p]] : self.words.end[self.end[p] - 1]].tobytes()
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Band keys, and the paragraph of each."""
+        every = np.arange(len(self.first))
+        return np.concatenate([self.bands.ravel(), self.content[self.lines :]]), np.concatenate([np.tile(every[: self.lines], len(self.bands)), every[self.lines :]])
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct band keys in order, and in how many documents of the chunk each stands."""
+        key, at = self.keys()
+        doc = self.doc[at]
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        return np.unique(key[new], return_counts=True)
 
     def set_of(self, p: int) -> np.ndarray:
         return np.unique(self.shingles[self.first[p] : self.end[p] - SHINGLE + 1])
@@ -96,103 +120,31 @@ def _stretches(marked: np.ndarray, first_word: np.ndarray) -> np.ndarray:
     return np.column_stack([np.flatnonzero(begins), np.flatnonzero(ends) + 1])
 
 
-def _marked(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Which of n words lie in a span start:end."""
-    step = np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1)
-    return np.cumsum(step)[:n] > 0
-
-
-def _long(marked: np.ndarray, first_word: np.ndarray, least: int) -> np.ndarray:
-    """marked without runs of under least words."""
-    got = _stretches(marked, first_word)
-    got = got[got[:, 1] - got[:, 0] >= least]
-    return _marked(len(marked), got[:, 0], got[:, 1])
-
-
-def _gone(w, drops, least_words: int) -> np.ndarray:
-    """Words of a chunk in marked paragraphs that go."""
-    got = np.array([(x["row"], x["word"], x["n"]) for x in drops.as_py() or []], np.int64).reshape(-1, 3)
-    at = w.first_word[got[:, 0]] + got[:, 1]
-    return _long(_marked(len(w.start), at, at + got[:, 2]), w.first_word, least_words)
-
-
-class Runs:
-    """Windows of WINDOW words of a chunk, and the least of those in each RUN words of a document that aren't gone altogether."""
-
-    def __init__(self, texts, drops, least_words: int):
-        from vertexloom.llm.textblocks import Words, _power, mix
-
-        self.words = w = Words(texts)
-        n = len(w.start)
-        self.doc = np.searchsorted(w.first_word, np.arange(n), side="right") - 1
-        self.windows, self.least, self.live = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
-        if n < RUN:
-            return
-        f, inverse = _power(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(w.hashes() * f[:n], out=sums[1:])
-            self.windows = mix((sums[WINDOW:] - sums[:-WINDOW]) * inverse[: n - WINDOW + 1])
-        low, size, group = self.windows, 1, RUN - WINDOW + 1
-        while size < group:
-            by = min(size, group - size)
-            low, size = np.minimum(low[:-by], low[by:]), size + by
-        gone = np.append(0, np.cumsum(_gone(w, drops, least_words)))
-        self.least, self.live = low, (self.doc[: n - RUN + 1] == self.doc[RUN - 1 :]) & (gone[RUN:] - gone[:-RUN] < RUN)
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Announced values in order, and in how many documents each stands."""
-        key, doc = self.least[self.live], self.doc[: len(self.live)][self.live]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        key, doc = key[new], doc[new]
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        return np.unique(key[new], return_counts=True)
-
-    def around(self, repeated: np.ndarray) -> np.ndarray:
-        """Windows of the runs whose announced value is one of repeated."""
-        hit = np.append(0, np.cumsum(self.live & np.isin(self.least, repeated)))
-        at = np.arange(len(self.windows))
-        return np.flatnonzero(hit[np.minimum(at + 1, len(hit) - 1)] > hit[np.maximum(at - (RUN - WINDOW), 0)]) if len(at) else at
-
-
-def _said(cid: int, keys: np.ndarray, many: np.ndarray, count: int):
-    import pyarrow as pa
-
-    got = bounds(bucket_of(keys, count))
-    blob = lambda x: pa.array([x[a:b].tobytes() for _, a, b in got], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([cid] * len(got), pa.int64()), blob(keys), blob(many.astype(np.uint8))], ["bucket", "cid", "key", "many"])
-
-
 def _announce(bands: int, count: int):
     def run(batches):
-        for cid, docs, _ in items(batches):
-            keys, times = np.unique(Paragraphs(docs.field("text"), bands).bands.ravel(), return_counts=True)
-            yield _said(cid, keys, times > 1, count)
-
-    return run
-
+        import pyarrow as pa
 
-def _announce_runs(least_words: int, count: int):
-    def run(batches):
-        for cid, docs, more in items(batches):
-            keys, times = Runs(docs.field("text"), more["drops"], least_words).keys()
-            yield _said(cid, keys, times > 1, count)
+        for cid, docs, _ in items(batches):
+            keys, many = Paragraphs(docs.field("text"), bands).distinct()
+            got = bounds(bucket_of(keys, count))
+            blob = lambda x: pa.array([x[a:b].tobytes() for _, a, b in got], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([cid] * len(got), pa.int64()), blob(keys), blob((many > 1).astype(np.uint8))], ["bucket", "cid", "key", "many"])
 
     return run
 
 
 def _repeated(t):
-    """A bit for each key: whether it occurs twice or more."""
+    """A bit for each key: whether it stands in two documents or more."""
     import pyarrow as pa
 
     keys = np.frombuffer(b"".join(t.column("key").to_pylist()), np.uint64)
     many = np.frombuffer(b"".join(t.column("many").to_pylist()), np.uint8)
-    _, kind = np.unique(keys, return_inverse=True)
-    bits = (np.bincount(kind, weights=1 + many)[kind] > 1).astype(np.uint8)
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    kind = np.cumsum(new) - 1
+    bits = np.empty(len(keys), np.uint8)
+    bits[order] = (np.bincount(kind, weights=1 + many[order]) > 1)[kind]
     cuts = np.append(0, np.cumsum([len(x) // 8 for x in t.column("key").to_pylist()]))
     return pa.table({"cid": t.column("cid"), "bucket": t.column("bucket"), "n": pa.array(np.diff(cuts), pa.int64()), "bits": pa.array([np.packbits(bits[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
@@ -203,22 +155,54 @@ def _bits(answers) -> np.ndarray:
     return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for _, n, x in got]) if got else np.zeros(0, np.uint8)
 
 
+HITS = "cid long, row int, word int, n int, content long, u boolean, doc_id long, shingles binary, bands binary, around binary"
+
+
 def _colliding(bands: int):
-    """Occurrences of paragraphs of which a band is repeated, with the hashes of their sets."""
+    """A row for each paragraph of which a band is repeated, and one (content null, word the block) for the words around their ends.
+
+    The shingles of a line go with its first occurrence in the chunk alone.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         for cid, docs, more in items(batches):
             p = Paragraphs(docs.field("text"), bands)
-            keys, place = np.unique(p.bands.ravel(), return_inverse=True)
-            bits = _bits(more["answers"])
-            hit = np.flatnonzero(bits[place].reshape(p.bands.shape).any(axis=0)) if len(keys) else []
-            n = (p.end - p.first)[hit]
-            rows = [np.full(len(hit), cid), p.doc[hit], p.first[hit] - p.words.first_word[p.doc[hit]] if len(hit) else p.doc[hit], n, p.content[hit].view(np.int64)]
-            sets = pa.array([p.set_of(x).tobytes() for x in hit], pa.binary())
-            vals = pa.array([p.bands[:, x].tobytes() for x in hit], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in rows], sets, vals], ["cid", "row", "word", "n", "content", "shingles", "bands"])
+            key, at = p.keys()
+            bits = _bits(more["answers"]).astype(bool)
+            hit = np.unique(at[bits[np.searchsorted(p.distinct()[0], key)]]) if len(key) else np.zeros(0, np.int64)
+            if not len(hit):
+                continue
+            begin = p.words.first_word
+            ids = docs.field("doc_id")
+            lines = hit[hit < p.lines]
+            _, once = np.unique(p.content[lines], return_index=True)
+            shown = np.zeros(len(lines), bool)
+            shown[once] = True
+            sets = [p.set_of(x).tobytes() if s else None for x, s in zip(lines, shown, strict=True)]
+            vals = [p.bands[:, x].tobytes() if s else None for x, s in zip(lines, shown, strict=True)]
+            places = np.concatenate([p.first[hit], p.end[hit]]) - np.tile(begin[p.doc[hit]], 2)
+            block = np.unique(np.column_stack([np.tile(p.doc[hit], 2), places // BLOCK]), axis=0)
+            lo = np.maximum(block[:, 1] * BLOCK - REACH, 0)
+            hi = np.minimum(block[:, 1] * BLOCK + BLOCK + REACH, np.diff(begin)[block[:, 0]])
+            short = (p.word_hash >> np.uint64(32)).astype("<u4")
+            around = [short[begin[d] + a : begin[d] + b].tobytes() for d, a, b in zip(block[:, 0], lo, hi, strict=True)]
+            doc = np.concatenate([p.doc[hit], block[:, 0]])
+            none, rest = [None] * len(block), [None] * (len(hit) - len(lines))
+            columns = [
+                pa.array(np.full(len(doc), cid), pa.int64()),
+                pa.array(doc, pa.int32()),
+                pa.array(np.concatenate([p.first[hit] - begin[p.doc[hit]], block[:, 1]]), pa.int32()),
+                pa.array(np.concatenate([(p.end - p.first)[hit], lo]), pa.int32()),
+                pa.concat_arrays([pa.array(p.content[hit].view(np.int64)), pa.nulls(len(block), pa.int64())]),
+                ids.is_null().take(pa.array(doc)),
+                ids.take(pa.array(doc)),
+                pa.array([*sets, *rest, *none], pa.binary()),
+                pa.array([*vals, *rest, *none], pa.binary()),
+                pa.array([None] * len(hit) + around, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["cid", "row", "word", "n", "content", "u", "doc_id", "shingles", "bands", "around"])
 
     return run
 
@@ -253,115 +237,66 @@ def _verify(num: int, den: int):
     return run
 
 
-#: Of each looked-up window: null id, id, row and word of its document.
-_PLACE = np.dtype([("u", np.uint8), ("doc_id", np.int64), ("row", np.int32), ("word", np.int32)])
-
-
-def _windows(least_words: int, count: int):
-    """Windows around repeated announced values, with their places, by bucket."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for cid, docs, more in items(batches):
-            r = Runs(docs.field("text"), more["drops"], least_words)
-            at = r.around(r.keys()[0][_bits(more["answers"]).astype(bool)])
-            at = at[np.argsort(r.windows[at], kind="stable")]
-            ids, keys = docs.field("doc_id"), r.windows[at]
-            place = np.zeros(len(at), _PLACE)
-            place["row"] = r.doc[at]
-            place["word"] = at - r.words.first_word[r.doc[at]]
-            place["u"], place["doc_id"] = np.asarray(ids.is_null())[r.doc[at]], np.asarray(ids.fill_null(0))[r.doc[at]]
-            got = bounds(bucket_of(keys, count))
-            blob = lambda x: pa.array([x[a:b].tobytes() for _, a, b in got], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([cid] * len(got), pa.int64()), blob(keys), blob(place)], ["bucket", "cid", "key", "place"])
-
-    return run
-
-
-def _later(t):
-    """Windows that an earlier document holds, or their own document further up."""
+def _alike(own: np.ndarray, kept: np.ndarray) -> int:
+    """How many values agree from the start."""
+    n = min(len(own), len(kept))
+    other = np.flatnonzero(own[:n] != kept[:n])
+    return int(other[0]) if len(other) else n
+
+
+def _marked(w, drops) -> np.ndarray:
+    """Words of a chunk that lie in marked paragraphs or between these and their extended ends."""
+    step = np.zeros(len(w.start) + 1, np.int64)
+    short = None
+    for x in drops.as_py() or []:
+        lo, hi = w.first_word[x["row"]], w.first_word[x["row"] + 1]
+        a = lo + x["word"]
+        b = a + x["n"]
+        if x["around"]:
+            short = (w.hashes() >> np.uint64(32)).astype("<u4") if short is None else short
+            kept = np.frombuffer(x["around"], "<u4")
+            if x["side"]:
+                b += _alike(short[b : min(hi, b + REACH)], kept)
+            else:
+                a -= _alike(short[max(lo, a - REACH) : a][::-1], kept[::-1])
+        step[a] += 1
+        step[b] -= 1
+    return np.cumsum(step)[:-1] > 0
+
+
+def _cut(batches):
     import pyarrow as pa
 
-    key = np.frombuffer(b"".join(t.column("key").to_pylist()), np.uint64)
-    p = np.frombuffer(b"".join(t.column("place").to_pylist()), _PLACE)
-    cid = np.repeat(t.column("cid").to_numpy(), [len(x) // 8 for x in t.column("key").to_pylist()])
-    order = np.lexsort((p["word"], p["row"], cid, p["doc_id"], p["u"], key))
-    key, p, cid = key[order], p[order], cid[order]
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-    other = (p["u"] != p["u"][lead]) | (p["doc_id"] != p["doc_id"][lead]) | (cid != cid[lead]) | (p["row"] != p["row"][lead])
-    shared = np.bincount(lead, weights=other, minlength=len(key))[lead] > 0
-    drop = np.flatnonzero(shared & (other | (p["word"] >= p["word"][lead] + WINDOW)))
-    drop = drop[np.argsort(cid[drop], kind="stable")]
-    edges = [0, *(np.flatnonzero(np.diff(cid[drop])) + 1).tolist(), len(drop)] if len(drop) else [0]
-    got = list(zip(edges[:-1], edges[1:], strict=True))
-    blob = lambda x: pa.array([x[drop[a:b]].tobytes() for a, b in got], pa.binary())
-    return pa.table({"cid": pa.array([int(cid[drop[a]]) for a, _ in got], pa.int64()), "rows": blob(p["row"]), "words": blob(p["word"])})
-
-
-def _cut(least_words: int):
-    def run(batches):
-        import pyarrow as pa
-
-        from vertexloom.llm.textblocks import Words
-
-        for _, docs, more in items(batches):
-            w = Words(docs.field("text"))
-            later = more["later"].as_py() or []
-            row, word = (np.frombuffer(b"".join(x[k] for x in later), np.int32).astype(np.int64) for k in ("rows", "words"))
-            at = w.first_word[row] + word
-            marked = _gone(w, more["drops"], least_words) | _long(_marked(len(w.start), at, at + WINDOW), w.first_word, RUN)
-            got = _stretches(marked, w.first_word)
-            drop: dict[int, list[tuple[int, int]]] = {}
-            for x, a, b in zip(np.searchsorted(w.first_word, got[:, 0], side="right") - 1, got[:, 0], got[:, 1], strict=True):
-                drop.setdefault(int(x), []).append((int(a), int(b)))
-            texts, removed, spans = docs.field("text").to_pylist(), [0] * len(docs), [0] * len(docs)
+    from vertexloom.llm.textblocks import Words
+
+    for _, docs, more in items(batches):
+        w = Words(docs.field("text"))
+        got = _stretches(_marked(w, more["drops"]), w.first_word)
+        got = got[got[:, 1] - got[:, 0] >= PASSAGE]
+        drop: dict[int, list[tuple[int, int]]] = {}
+        for x, a, b in zip(np.searchsorted(w.first_word, got[:, 0], side="right") - 1, got[:, 0], got[:, 1], strict=True):
+            drop.setdefault(int(x), []).append((int(a), int(b)))
+        removed, spans = [0] * len(docs), [0] * len(docs)
+        texts = docs.field("text")
+        if drop:
+            texts = texts.to_pylist()
             for row, runs in drop.items():
                 off = w.offsets[row]
                 data, parts, at = w.raw[off : w.offsets[row + 1]].tobytes(), [], 0
                 for a, b in runs:
-                    lo, hi = int(w.start[a] - off), int(w.end[b - 1] - off)
-                    parts.append(data[at:lo])
+                    parts.append(data[at : int(w.start[a] - off)])
                     # The gap after a removed run goes with it.
-                    at = hi + len(data[hi:]) - len(data[hi:].lstrip(b" \t\n\x0b\x0c\r")) if hi < len(data) else hi
+                    at = int(w.start[b] - off) if b < w.first_word[row + 1] else len(data)
                     removed[row] += b - a
                     spans[row] += 1
                 texts[row] = b"".join([*parts, data[at:]]).decode().rstrip(" \t\n\x0b\x0c\r")
-            yield pa.RecordBatch.from_arrays([docs.field("doc_id"), pa.array(np.diff(w.first_word), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(texts, pa.string()), docs.field("rest")], ["doc_id", "n_words", "n_removed", "n_spans", "text", "rest"])
-
-    return run
-
-
-def repeated_passages(docs: DataFrame, num: int = 4, den: int = 5, bands: int = 4, least_words: int = 25, block: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, n_spans, text and rest (docs' other columns in a struct), one row per row of docs.
-
-    Paragraphs link with a Jaccard of at least num/den of their 5-word shingles, in lower case.
-    Of a component's occurrences in two documents or more, all but the first (smallest
-    doc_id, then place) are marked, and marked runs of least_words words or more are removed from the texts, with
-    the white space after them. Repeats inside a single document alone stay.
+            texts = pa.array(texts, pa.string())
+        yield pa.RecordBatch.from_arrays([docs.field("doc_id"), pa.array(np.diff(w.first_word), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), texts, docs.field("rest")], ["doc_id", "n_words", "n_removed", "n_spans", "text", "rest"])
 
-    A run of RUN words or more, in lower case, that an earlier document holds word for word goes too, with
-    whatever stands around it, unless the earlier document's run is itself gone as paragraphs.
 
-    Null texts stay null and empty ones empty; null ids sort last; rows that repeat an id are
-    documents of their own; an empty table gives no rows. Equal paragraphs are one from the start,
-    so only different ones are compared; a band of over `block` different ones is compared in
-    pairs of blocks.
-    """
-    ws = Workspace(docs.sparkSession, "passages")
-    others = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
-    rest = F.struct(*others) if others else F.struct(F.lit(None).cast("string").alias("none"))
-    chunks = chunked(ws, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest")))
-    count = buckets_for(chunks)
-    said = chunks.mapInArrow(_announce(bands, count), "bucket long, cid long, key binary, many binary")
-    answers = ws.keep(said.groupBy("bucket").applyInArrow(_repeated, "cid long, bucket long, n long, bits binary"), "answers")
-    ws.tidy()
-    hits = with_answers(chunks, answers, "answers").mapInArrow(_colliding(bands), "cid long, row long, word long, n long, content long, shingles binary, bands binary")
-    hits = ws.keep(hits, "hits")
-    ws.tidy()
-    kinds = ws.keep(hits.groupBy("content").agg(F.min(F.struct("shingles", "bands")).alias("x")).select("content", "x.*"), "kinds")
+def _links(ws: Workspace, hits: DataFrame, bands: int, block: int, num: int, den: int) -> DataFrame:
+    """(a, b) contents of lines that share a band and pass verification."""
+    kinds = ws.keep(hits.where("shingles is not null").groupBy("content").agg(F.min(F.struct("shingles", "bands")).alias("x")).select("content", "x.*"), "kinds")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.substring(F.col("bands"), i * 8 + 1, F.lit(8)))))
     banded = kinds.select("content", band.alias("band"))
     sizes = banded.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band", F.ceil(F.col("k") / block).cast("long").alias("parts"))
@@ -370,32 +305,72 @@ def repeated_passages(docs: DataFrame, num: int = 4, den: int = 5, bands: int =
     side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
     put = put.select("content", "shingles", side.alias("side"), "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     links = ws.keep(put.groupBy("band", "lo", "hi").applyInArrow(_verify(num, den), "a long, b long").distinct(), "links")
+    ws.drop(kinds)
     ws.tidy()
-    comp = components(ws, links)
-    occ = hits.select("cid", "row", "word", "n", "content").join(comp.withColumnRenamed("id", "content"), "content", "left")
-    ids = chunks.select("cid", F.posexplode(F.transform("items", lambda x: x["doc_id"])).alias("row", "doc_id"))
-    occ = occ.join(ids, ["cid", "row"]).withColumn("kind", F.coalesce("component", "content"))
-    occ = ws.keep(occ.select("cid", F.col("row").cast("long").alias("row"), "word", "n", "kind", F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "cid", "row").alias("who")), "occurrences")
-    ws.drop(hits, kinds, answers)
-    ws.tidy()
-    firsts = occ.groupBy("kind").agg(F.min("who").alias("who0"), F.max("who").alias("who1"), F.min(F.struct("who", "word")).alias("keep")).where("who0 <> who1")
+    return links
+
+
+def _drops(ws: Workspace, hits: DataFrame, comp: DataFrame) -> DataFrame:
+    """cid, row, word, n of marked paragraphs; and with n = 0 and side (0 left, 1 right) their ends at which no marked one goes on, with what the kept occurrence has around."""
+    occ = hits.where("content is not null").select("cid", "row", "word", "n", "content", F.struct("u", "doc_id", "cid", "row").alias("who"))
+    occ = occ.join(comp.withColumnRenamed("id", "content"), "content", "left").withColumn("kind", F.coalesce("component", "content")).drop("content", "component")
+    occ = ws.keep(occ, "occurrences")
+    firsts = occ.groupBy("kind").agg(F.min("who").alias("who0"), F.max("who").alias("who1"), F.min(F.struct("who", "word", "n")).alias("keep")).where("who0 <> who1")
     # Written first: a join whose sides both are shuffles can split a passage that very many documents hold.
     firsts = ws.keep(firsts.select("kind", "keep"), "firsts")
-    drops = occ.join(firsts, "kind").where(F.struct("who", "word") != F.col("keep")).select("cid", "row", "word", "n")
-    drops = ws.keep(drops, "drops")
-    ws.drop(occ, firsts)
-    ws.tidy()
-    marked = ws.keep(with_answers(chunks, drops, "drops"), "marked")
-    ws.drop(chunks, drops)
-    ws.tidy()
-    said = marked.mapInArrow(_announce_runs(least_words, count), "bucket long, cid long, key binary, many binary")
+    marked = occ.join(firsts, "kind").where(F.col("who") != F.col("keep.who")).select("cid", "row", "word", "n", "kind")
+    place, end = W.partitionBy("cid", "row").orderBy("word", "n"), F.col("word") + F.col("n")
+    ahead = F.max(end).over(place.rowsBetween(W.unboundedPreceding, -1))
+    behind = F.min("word").over(place.rowsBetween(1, W.unboundedFollowing))
+    marked = marked.withColumns({"left": F.coalesce(ahead < F.col("word"), F.lit(True)), "right": F.coalesce(behind > end, F.lit(True))})
+    marked = ws.keep(marked, "marked")
+    side = lambda i, at: F.struct(F.lit(i).alias("side"), at.alias("at"))
+    both = lambda word, n: F.explode(F.array(side(0, word), side(1, word + n)))
+    ends = marked.where("left or right").select("cid", "row", "kind", "left", "right", both(F.col("word"), F.col("n")).alias("e"))
+    ends = ends.where("if(e.side = 0, left, right)").select("cid", "row", "kind", "e.*")
+    asked = firsts.join(ends.select("kind").distinct(), "kind", "left_semi").select("kind", "keep.who.cid", "keep.who.row", both(F.col("keep.word"), F.col("keep.n")).alias("e"))
+    asked = asked.select("kind", "cid", "row", "e.*", F.expr(f"cast(e.at div {BLOCK} as int)").alias("block"))
+    blocks = hits.where("content is null").select("cid", "row", F.col("word").alias("block"), F.col("n").alias("lo"), "around")
+    before = F.expr(f"substring(around, (greatest(at - {REACH}, lo) - lo) * 4 + 1, (at - greatest(at - {REACH}, lo)) * 4)")
+    after = F.expr(f"substring(around, (at - lo) * 4 + 1, {REACH * 4})")
+    told = asked.join(blocks, ["cid", "row", "block"]).select("kind", "side", F.when(F.col("side") == 0, before).otherwise(after).alias("around"))
+    told = ws.keep(told, "told")
+    got = ends.join(told, ["kind", "side"]).select("cid", "row", F.col("at").alias("word"), F.lit(0).alias("n"), "side", "around")
+    none = marked.select("cid", "row", "word", "n", F.lit(None).cast("int").alias("side"), F.lit(None).cast("binary").alias("around"))
+    drops = ws.keep(got.unionByName(none), "drops")
+    ws.drop(occ, firsts, marked, told)
+    return drops
+
+
+def repeated_passages(docs: DataFrame, num: int = 4, den: int = 5, bands: int = 4, block: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed, n_spans, text and rest (docs' other columns in a struct), one row per row of docs.
+
+    Lines link with a Jaccard of at least num/den of their 5-word shingles, anchored paragraphs if they are equal, both in lower
+    case. Of a component that stands in two documents or more, the first (smallest doc_id, null last) keeps
+    its occurrences; in the others they are marked, and ends at which no other goes on move outward over the words that the kept
+    occurrence has there too, 25 at most. Marked runs of 51 words or more are removed, with the white space after them.
+    So every run of over 50 words that the first document of its paragraphs holds word for word goes,
+    whatever stands around it. Repeats inside a single document, and of 50 words or fewer, stay.
+
+    Null texts stay null and empty ones empty; null ids sort last; rows that repeat an id are
+    documents of their own; an empty table gives no rows. Texts are read whole, in chunks of about a megabyte, a longer text
+    alone. Equal paragraphs are one from the start, so only different ones are compared; a band of over `block`
+    different ones is compared in pairs of blocks.
+    """
+    ws = Workspace(docs.sparkSession, "passages")
+    others = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
+    rest = F.struct(*others) if others else F.struct(F.lit(None).cast("string").alias("none"))
+    chunks = chunked(ws, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest")))
+    count = buckets_for(chunks)
+    said = chunks.select("cid", "items").mapInArrow(_announce(bands, count), "bucket long, cid long, key binary, many binary")
     answers = ws.keep(said.groupBy("bucket").applyInArrow(_repeated, "cid long, bucket long, n long, bits binary"), "answers")
     ws.tidy()
-    near = ws.keep(with_answers(marked, answers, "answers").mapInArrow(_windows(least_words, count), "bucket long, cid long, key binary, place binary"), "windows")
+    hits = ws.keep(with_answers(chunks, answers, "answers").mapInArrow(_colliding(bands), HITS), "hits")
+    ws.drop(answers)
     ws.tidy()
-    later = ws.keep(near.groupBy("bucket").applyInArrow(_later, "cid long, rows binary, words binary"), "later")
-    ws.drop(answers, near)
+    comp = components(ws, _links(ws, hits, bands, block, num, den))
+    drops = _drops(ws, hits, comp)
+    ws.drop(hits)
     ws.tidy()
-    done = with_answers(marked, later, "later")
     schema = f"doc_id long, n_words long, n_removed long, n_spans long, text string, rest {chunks.schema['items'].dataType.elementType['rest'].dataType.simpleString()}"
-    return done.mapInArrow(_cut(least_words), schema)
+    return with_answers(chunks, drops, "drops").mapInArrow(_cut, schema)

@@ -136,16 +136,15 @@ def _verdict(text: Column, most_lost: float) -> Column:
 def quality(docs: DataFrame, most_lost: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """All columns' worth of a verdict, one row per row of docs, in a single narrow stage.
 
-    carry names columns of docs to pass on; they must not clash with the verdict's.
+    carry names columns of docs to return in a struct doc, so none clashes with the verdict's.
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and
     clean_text (failing lines removed) with lost (share of word characters in failing lines).
     A null text has no words and so fails the base rules. Ties and repeated rows are judged alike.
     Null ids pass through, an empty table gives no rows, other columns are not read. Texts of any
     length are judged whole, in time that grows as n log n with their words.
     """
-    also = [F.col(c) for c in carry or () if c != id_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
     # A generator is evaluated once, whatever is filtered on or selected from it later.
-    d = docs.select(F.col(id_col).alias("doc_id"), F.struct(*also, F.lit(0).alias("_")).alias("_also"), F.explode(F.array(let(text, lambda t: _verdict(t, most_lost)))).alias("_v"))
+    d = docs.select(F.col(id_col).alias("doc_id"), *([F.struct(*carry).alias("doc")] if carry else []), F.explode(F.array(let(text, lambda t: _verdict(t, most_lost)))).alias("_v"))
     found = [F.col("_v")[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost", "clean_text")]
-    return d.select("doc_id", *found, *[F.col("_also")[c].alias(c) for c in carry or () if c != id_col])
+    return d.select("doc_id", *found, *(["doc"] if carry else []))

@@ -111,6 +111,15 @@ def shingles(w: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
+def shingle_at(w: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words from each word on, wherever documents end."""
+    with np.errstate(over="ignore"):
+        h = np.zeros(max(0, len(w) - k + 1), np.uint64)
+        for i in range(k):
+            h += w[i : len(w) - k + 1 + i] * PLACE[i]
+    return mix(h)
+
+
 class MinHash:
     """count independent minwise values of a set of 64-bit hashes, 32 bits each."""
 
