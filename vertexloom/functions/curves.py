@@ -1,7 +1,8 @@
 """Curve measures and edit costs as Spark SQL expressions.
 
 A curve is array<array<double>>. The dynamic programs are folds with higher-order functions, so they run in
-the JVM; each is one Column of two curve Columns.
+the JVM; each is one Column of two curve Columns. A fold copies its column at every cell, so they suit short curves and
+places where only a Column fits; operators.measures computes the same for tables, many pairs at once and exactly at the limit.
 """
 
 from __future__ import annotations
@@ -38,24 +39,29 @@ def valid_curve(pts: Column, dim: Column) -> Column:
     return pts.isNotNull() & (F.size(pts) > 0) & (dim > 0) & fine
 
 
-def point_tier(d2: Column, delta: Column | float, dim: int) -> Column:
+def point_tier(d2: Column, delta: Column | float, dim: Column | int) -> Column:
     """Three-valued closeness from a squared distance: NULL where floating point can't tell."""
     limit = (F.lit(delta) if not isinstance(delta, Column) else delta) ** 2
     slack = 8.0 * (dim + 4) * 2.0**-53 * (d2 + limit) + dim * 8 * 2.0**-1070
     return F.when(d2 - limit > slack, False).when(limit - d2 > slack, True)
 
 
+def upto(n: Column) -> Column:
+    """1 to n; nothing for 0."""
+    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+
 def _columns(ref: Column, obs: Column, first: Column, cell, head) -> Column:
     """Fold over obs: the column of ref's cells. cell(prev, out, p, q, i) gives cell i (1-based) after the head."""
 
     def column(prev: Column, q: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.size(ref)), F.array(head(prev)), lambda out, i: F.concat(out, F.array(cell(prev, out, F.element_at(ref, i), q, i))))
+        return F.aggregate(upto(F.size(ref)), F.array(head(prev)), lambda out, i: F.concat(out, F.array(cell(prev, out, F.element_at(ref, i), q, i))))
 
     return F.aggregate(obs, first, column)
 
 
 def discrete_frechet(a: Column, b: Column) -> Column:
-    """Least maximal pair distance over monotone couplings; symmetric, so the longer curve is folded over."""
+    """Least maximal pair distance over monotone couplings; infinite if one curve alone has no vertex, 0 if both have none."""
 
     def cell(prev, out, p, q, i):
         # prev[0] and out[0] stand before the first vertex: only the first cell of the first column starts there.
@@ -128,7 +134,7 @@ def erp(a: Column, b: Column, gap: Column | None = None) -> Column:
     # The head of a column is the head before it and the gap cost of that column's vertex.
     def column(prev: Column, q: Column) -> Column:
         head = F.array(F.get(prev, F.lit(0)) + dist(q, g))
-        return F.aggregate(F.sequence(F.lit(1), F.size(a)), head, lambda out, i: F.concat(out, F.array(cell(prev, out, F.element_at(a, i), q, i))))
+        return F.aggregate(upto(F.size(a)), head, lambda out, i: F.concat(out, F.array(cell(prev, out, F.element_at(a, i), q, i))))
 
     return F.element_at(F.aggregate(b, first, column), -1)
 
@@ -143,7 +149,7 @@ def block_reach(ref: Column, delta: Column | float) -> Column:
         fits = lambda t: let(F.transform(F.sequence(t, i), x), lambda v: F.array_max(v) - F.array_min(v) <= 2 * d)
         return F.concat(out, F.array(F.element_at(F.filter(F.sequence(start, i), fits), 1)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(ref)), F.array().cast("array<int>"), step)
+    return F.aggregate(upto(F.size(ref)), F.array().cast("array<int>"), step)
 
 
 def edit_cost(ref: Column, obs: Column, delta: Column | float, mode: str, reach: Column | None = None) -> Column:
@@ -165,7 +171,7 @@ def edit_cost(ref: Column, obs: Column, delta: Column | float, mode: str, reach:
         return F.least(inf, 1 + F.array_min(F.slice(out, lo, i - lo + 1)))
 
     first = F.array(F.lit(0))
-    zero = F.aggregate(F.sequence(F.lit(1), F.size(ref)), first, lambda out, i: F.concat(out, F.array(inserted(out, i) if insert else inf)))
+    zero = F.aggregate(upto(F.size(ref)), first, lambda out, i: F.concat(out, F.array(inserted(out, i) if insert else inf)))
 
     def column(f: Column, q: Column) -> Column:
         start = F.struct(inf.alias("k"), F.array(F.least(inf, F.get(f, F.lit(0)) + 1) if delete else inf).alias("out"))
@@ -177,7 +183,7 @@ def edit_cost(ref: Column, obs: Column, delta: Column | float, mode: str, reach:
             best = lambda k: F.least(*ways(k)) if len(ways(k)) > 1 else k
             return let(k, lambda k: F.struct(k.alias("k"), F.concat(s["out"], F.array(best(k))).alias("out")))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(ref)), start, row, lambda s: s["out"])
+        return F.aggregate(upto(F.size(ref)), start, row, lambda s: s["out"])
 
     cost = F.element_at(F.aggregate(obs, zero, column), -1)
     return F.nullif(F.least(cost, inf), inf)
@@ -282,15 +288,16 @@ def edits_valid(obs: Column, edits: Column) -> Column:
 
 
 def coupling_valid(ref: Column, curve: Column, coupling: Column, delta: Column | float) -> Column:
-    """From corner to corner in steps (1,0), (0,1), (1,1), with every pair within delta."""
+    """From corner to corner in steps (1,0), (0,1), (1,1), with every pair within delta; NULL where only exact arithmetic can tell."""
     d = delta if isinstance(delta, Column) else F.lit(delta)
+    dim = F.size(F.get(ref, F.lit(0)))
     ends = (F.get(coupling, F.lit(0))["r"] == 0) & (F.get(coupling, F.lit(0))["e"] == 0) & (F.try_element_at(coupling, F.lit(-1))["r"] == F.size(ref) - 1) & (F.try_element_at(coupling, F.lit(-1))["e"] == F.size(curve) - 1)
 
     def fine(c: Column, i: Column) -> Column:
         before = F.get(coupling, i - 1)
         dr, de = c["r"] - before["r"], c["e"] - before["e"]
         step = F.when(i == 0, True).otherwise(dr.isin(0, 1) & de.isin(0, 1) & (dr + de > 0))
-        return step & (sq_dist(F.get(ref, c["r"]), F.get(curve, c["e"])) <= d * d * (1 + 1e-12))
+        return step & point_tier(sq_dist(F.get(ref, c["r"]), F.get(curve, c["e"])), d, dim)
 
     flags = F.transform(coupling, fine)
     return (F.size(coupling) > 0) & ends & F.forall(flags, lambda x: x)

@@ -13,31 +13,30 @@ from vertexloom.kernels.exact import Ambiguous, within
 MOST_POINTS = 48
 
 
-def _solve(a: list[list[Fraction]], b: list[Fraction]) -> list[Fraction] | None:
-    n = len(b)
-    m = [row[:] + [y] for row, y in zip(a, b, strict=True)]
-    for c in range(n):
-        p = next((r for r in range(c, n) if m[r][c]), None)
-        if p is None:
-            return None
-        m[c], m[p] = m[p], m[c]
-        m[c] = [x / m[c][c] for x in m[c]]
-        for r in range(n):
-            if r != c and m[r][c]:
-                m[r] = [x - m[r][c] * y for x, y in zip(m[r], m[c], strict=True)]
-    return [row[n] for row in m]
+def _dot(a, b) -> Fraction:
+    return sum((x * y for x, y in zip(a, b, strict=True)), Fraction(0))
 
 
 def _through(points: list[list[Fraction]]) -> tuple[list[Fraction], Fraction] | None:
-    """Smallest ball with all points on its surface; None if they are affinely dependent."""
-    o = points[0]
-    v = [[x - y for x, y in zip(p, o, strict=True)] for p in points[1:]]
-    dot = lambda a, b: sum((x * y for x, y in zip(a, b, strict=True)), Fraction(0))
-    c = _solve([[2 * dot(a, b) for b in v] for a in v], [dot(a, a) for a in v])
-    if c is None:
-        return None
-    shift = [sum((k * w[i] for k, w in zip(c, v, strict=True)), Fraction(0)) for i in range(len(o))]
-    return [x + y for x, y in zip(o, shift, strict=True)], dot(shift, shift)
+    """Smallest ball with all points on its surface; None if they are affinely dependent.
+
+    The centre starts at the first point and takes in one point after another: it moves at right angles to all directions
+    so far, which keeps it equally far from the points it has, until the new one is as far.
+    """
+    start, centre = points[0], points[0]
+    axes: list[list[Fraction]] = []
+    for p in points[1:]:
+        axis = [x - y for x, y in zip(p, start, strict=True)]
+        for u in axes:
+            share = _dot(axis, u) / _dot(u, u)
+            axis = [x - share * y for x, y in zip(axis, u, strict=True)]
+        square = _dot(axis, axis)
+        if not square:
+            return None
+        step = (_gap(p, centre) - _gap(start, centre)) / (2 * square)
+        centre = [x + step * y for x, y in zip(centre, axis, strict=True)]
+        axes.append(axis)
+    return centre, _gap(start, centre)
 
 
 def _gap(p, centre) -> Fraction:

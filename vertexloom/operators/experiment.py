@@ -10,55 +10,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.functions import curves as C
-from vertexloom.operators import edits, retrieval
+from vertexloom.operators import measures, retrieval
 
 INF = float("inf")
 #: Queries are copied to each block of routes; more blocks spread a larger gallery.
 BLOCKS = 16
 
 
-def column_methods(eps: float, window: int = 3) -> dict[str, object]:
-    """Scorers made of expressions: (template, query) -> Column, lower is better."""
-    return {
-        "frechet": C.discrete_frechet,
-        "filter_frechet": lambda t, q: C.discrete_frechet(t, C.smooth(q, window)),
-        "edr": lambda t, q: C.edr(t, q, eps),
-        "lcss": lambda t, q: C.lcss_distance(t, q, eps),
-        "dtw": C.dtw,
-        "erp": C.erp,
-    }
-
-
 EDIT_METHODS = {"fed_delete": "delete", "fed_insert": "insert", "fed_both": "both"}
-METHODS = (*EDIT_METHODS, "frechet", "filter_frechet", "edr", "lcss", "dtw", "erp")
+#: Method to (measure, whether the query is smoothed first); lower is better.
+MEASURES = {"frechet": ("frechet", False), "filter_frechet": ("frechet", True), "edr": ("edr", False), "lcss": ("lcss_distance", False), "dtw": ("dtw", False), "erp": ("erp", False)}
+METHODS = (*EDIT_METHODS, *MEASURES)
 
 
 def pairings(queries: DataFrame, gallery: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """query_id, template_id, query, template: the stated queries against all routes, joined on blocks of routes."""
+    also = [c for c in ("smooth",) if c in queries.columns]
     t = gallery.select(F.col("route_id").alias("template_id"), F.col("pts").alias("template"), F.pmod(F.xxhash64("route_id"), F.lit(blocks)).alias("_block"))
-    q = queries.select("query_id", F.col("pts").alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
+    q = queries.select("query_id", F.col("pts").alias("query"), *also, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
     return q.join(t, "_block").drop("_block")
 
 
 def scores(queries: DataFrame, gallery: DataFrame, delta: float, eps: float | None = None, methods: tuple[str, ...] = METHODS, window: int = 3) -> DataFrame:
     """query_id, method, template_id, score; infinite where infeasible, null where numerically ambiguous."""
-    pairs = pairings(queries, gallery)
-    known = column_methods(delta if eps is None else eps, window)
-    unknown = set(methods) - set(known) - set(EDIT_METHODS)
+    limit = delta if eps is None else eps
+    unknown = set(methods) - set(METHODS)
     if unknown:
         raise ValueError(f"unknown methods {sorted(unknown)}")
     made: list[str] = []
-    d = pairs
+    d = pairings(queries.withColumn("smooth", C.smooth(F.col("pts"), window)) if "filter_frechet" in methods else queries, gallery)
     for name, mode in EDIT_METHODS.items():
         if name in methods:
-            got = edits.discrete_edits(d, "template", "query", delta, mode)
-            value = F.when(F.col("status") == "optimal", F.col("cost").cast("double")).when(F.col("status") == "infeasible", F.lit(INF))
-            d = got.select(*d.columns, value.alias(name))
+            d = measures.edit_cost(d, "template", "query", delta, mode, name, ambiguous=-1)
+            d = d.withColumn(name, F.when(F.col(name).isNull(), F.lit(INF)).when(F.col(name) >= 0, F.col(name).cast("double")))
             made.append(name)
-    t, q = F.col("template"), F.col("query")
-    for name, score in known.items():
+    for name, (kind, smooth) in MEASURES.items():
         if name in methods:
-            d = d.withColumn(name, score(t, q).cast("double"))
+            needs = limit if kind in ("edr", "lcss_distance") else None
+            d = measures.measure(d, "template", "smooth" if smooth else "query", kind, name, needs).withColumn(name, F.col(name).cast("double"))
             made.append(name)
     rows = F.array(*[F.struct(F.lit(n).alias("method"), F.col(n).alias("score")) for n in made])
     return d.select("query_id", "template_id", F.explode(rows).alias("s")).select("query_id", "s.method", "template_id", "s.score")

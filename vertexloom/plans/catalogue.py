@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions import corruptions, grids
 from vertexloom.functions import curves as C
-from vertexloom.operators import continuous, edits, gallery, retrieval
+from vertexloom.operators import continuous, edits, gallery, measures, retrieval
 from vertexloom.session import deal
 
 DELTA, EPS, GRID, SEED = 100.0, 50000.0, 16, 7
@@ -37,10 +37,20 @@ def neighbours(curves: DataFrame) -> DataFrame:
     return ref.join(curves.select(F.col("id").alias("obs_id"), F.col("pts").alias("obs")), "obs_id")
 
 
-def _measure(source, value, name: str):
+def _measure(source, kind: str, digits: int | None = 6, eps: float | None = None, smooth: int | None = None):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pairs = neighbours(source(spark, sf_dir))
-        return pairs.select("ref_id", "obs_id", value(F.col("ref"), F.col("obs")).alias(name))
+        pairs = deal(neighbours(source(spark, sf_dir)), "ref_id")
+        pairs = pairs if smooth is None else pairs.withColumn("obs", C.smooth(F.col("obs"), smooth))
+        d = measures.measure(pairs, "ref", "obs", kind, "d", eps)
+        return d.select("ref_id", "obs_id", "d" if digits is None else F.round("d", digits).alias("d"))
+
+    return query
+
+
+def _cost(source, delta: float, mode: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pairs = deal(neighbours(source(spark, sf_dir)), "ref_id")
+        return measures.edit_cost(pairs, "ref", "obs", delta, mode).select("ref_id", "obs_id", "cost")
 
     return query
 
@@ -157,10 +167,12 @@ def q_continuous_within(spark, sf_dir):
 
 
 def q_status_counts(spark, sf_dir):
-    pairs = neighbours(order_curves(spark, sf_dir))
-    modes = [F.when(C.edit_cost(F.col("ref"), F.col("obs"), EPS, m).isNull(), "infeasible").otherwise("optimal") for m in ("delete", "insert", "both")]
-    rows = F.array(*[F.struct(F.lit(m).alias("mode"), s.alias("status")) for m, s in zip(("delete", "insert", "both"), modes, strict=True)])
-    return pairs.select(F.explode(rows).alias("r")).groupBy("r.mode", "r.status").agg(F.count("*").alias("n"))
+    d = deal(neighbours(order_curves(spark, sf_dir)), "ref_id")
+    modes = ("delete", "insert", "both")
+    for m in modes:
+        d = measures.edit_cost(d, "ref", "obs", EPS, m, m)
+    rows = F.array(*[F.struct(F.lit(m).alias("mode"), F.when(F.col(m).isNull(), "infeasible").otherwise("optimal").alias("status")) for m in modes])
+    return d.select(F.explode(rows).alias("r")).groupBy("r.mode", "r.status").agg(F.count("*").alias("n"))
 
 
 def q_haversine(spark, sf_dir):
@@ -179,18 +191,18 @@ QUERIES = {
     "q_median_filter": _points(event_curves, lambda p: C.smooth(p, 5, median=True)),
     "q_resample_up": _points(order_curves, lambda p: C.resample(p, 3)),
     "q_resample_down": _points(order_curves, lambda p: C.resample(p, 0.4)),
-    "q_delete_1d": _measure(event_curves, lambda r, o: _big(C.edit_cost(r, o, DELTA, "delete")), "cost"),
-    "q_delete_orders": _measure(order_curves, lambda r, o: _big(C.edit_cost(r, o, EPS, "delete")), "cost"),
-    "q_insert_orders": _measure(order_curves, lambda r, o: _big(C.edit_cost(r, o, EPS, "insert")), "cost"),
-    "q_both_orders": _measure(order_curves, lambda r, o: _big(C.edit_cost(r, o, EPS, "both")), "cost"),
-    "q_frechet": _measure(order_curves, lambda r, o: _r6(C.discrete_frechet(r, o)), "d"),
-    "q_filter_frechet": _measure(order_curves, lambda r, o: _r6(C.discrete_frechet(r, C.smooth(o, 3))), "d"),
-    "q_dtw": _measure(order_curves, lambda r, o: F.round(C.dtw(r, o), 4), "d"),
-    "q_dtw_normalized": _measure(order_curves, lambda r, o: F.round(C.dtw_normalized(r, o), 8), "d"),
-    "q_edr": _measure(order_curves, lambda r, o: _big(C.edr(r, o, EPS)), "d"),
-    "q_lcss": _measure(order_curves, lambda r, o: _big(C.lcss(r, o, EPS)), "d"),
-    "q_lcss_distance": _measure(order_curves, lambda r, o: _r6(C.lcss_distance(r, o, EPS)), "d"),
-    "q_erp": _measure(order_curves, lambda r, o: F.round(C.erp(r, o), 4), "d"),
+    "q_delete_1d": _cost(event_curves, DELTA, "delete"),
+    "q_delete_orders": _cost(order_curves, EPS, "delete"),
+    "q_insert_orders": _cost(order_curves, EPS, "insert"),
+    "q_both_orders": _cost(order_curves, EPS, "both"),
+    "q_frechet": _measure(order_curves, "frechet"),
+    "q_filter_frechet": _measure(order_curves, "frechet", smooth=3),
+    "q_dtw": _measure(order_curves, "dtw", 4),
+    "q_dtw_normalized": _measure(order_curves, "dtw_normalized", 8),
+    "q_edr": _measure(order_curves, "edr", None, EPS),
+    "q_lcss": _measure(order_curves, "lcss", None, EPS),
+    "q_lcss_distance": _measure(order_curves, "lcss_distance", 6, EPS),
+    "q_erp": _measure(order_curves, "erp", 4),
     "q_witness_delete": _witness("delete"),
     "q_witness_insert": _witness("insert"),
     "q_witness_both": _witness("both"),
