@@ -99,79 +99,86 @@ def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1)
 
 
-def _assign(tree: Tree):
+def _assign(tree: Tree, unit: int):
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            leaf = tree.assign(_matrix(b.column("v"))) if b.num_rows else []
+            leaf = tree.assign(np.ldexp(_matrix(b.column("v")), unit)) if b.num_rows else []
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(leaf, pa.int64())], ["id", "v", "leaf"])
 
     return run
 
 
-def _visit(tree: Tree, most: int):
+def _visit(tree: Tree, unit: int, most: int):
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            lists = [tree.visits(q, most) for q in _matrix(b.column("v"))]
-            n = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            leaf = [x for one in lists for x in one]
-            order = [i for one in lists for i in range(len(one))]
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(n)), b.column("v").take(pa.array(n)), pa.array(leaf, pa.int64()), pa.array(order, pa.int32())], ["qid", "qv", "leaf", "visit"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                lists = [tree.visits(q, most) for q in np.ldexp(_matrix(b.column("v")), unit)]
+                n = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+                leaf = [x for one in lists for x in one]
+                order = [i for one in lists for i in range(len(one))]
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(n) for c in ("key", "id", "v")], pa.array(leaf, pa.int64()), pa.array(order, pa.int32())], ["key", "qid", "qv", "leaf", "visit"])
 
     return run
 
 
-def _scan(k: int):
-    """One cogroup: the rows of a block of a leaf, and the queries that visit it."""
+def _scan(k: int, unit: int):
+    """One cogroup: the rows of a block of a leaf, and a block of the queries that visit it.
+
+    Products are taken of vectors brought below 1 by a power of two, which changes no digit and can't overflow.
+    """
 
     def run(rows, queries):
         import pyarrow as pa
 
-        names, kinds = ["query_id", "vec_id", "score", "visit"], [pa.int64(), pa.int64(), pa.float64(), pa.int32()]
-        out = [[], [], [], []]
+        names, kinds = ["key", "query_id", "vec_id", "score", "visit"], [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()]
+        out = [[], [], [], [], []]
         if rows.num_rows and queries.num_rows:
-            x, ids = _matrix(rows.column("v").combine_chunks()), rows.column("id").to_numpy()
+            x, ids = np.ldexp(_matrix(rows.column("v").combine_chunks()), unit), rows.column("id").to_numpy()
             by_id = np.argsort(ids, kind="stable")
             x, ids = x[by_id], ids[by_id]
-            qs, qid, visit = _matrix(queries.column("qv").combine_chunks()), queries.column("qid").to_numpy(), queries.column("visit").to_numpy()
+            qs = np.ldexp(_matrix(queries.column("qv").combine_chunks()), unit)
+            key, qid, visit = (queries.column(c).to_numpy() for c in ("key", "qid", "visit"))
             for at in range(0, len(qs), 256):
                 near = qs[at : at + 256] @ x.T
                 for j, row in enumerate(near):
                     i = at + j
-                    row[ids == qid[i]] = -np.inf
-                    if len(row) > k:
+                    lo, hi = np.searchsorted(ids, qid[i]), np.searchsorted(ids, qid[i], side="right")
+                    row[lo:hi] = -np.inf
+                    some = np.arange(len(row))
+                    if len(row) - (hi - lo) > k:
                         cut = np.partition(row, len(row) - k)[len(row) - k]
                         some = np.flatnonzero(row >= cut - 1e-9 * max(1.0, abs(cut)))
-                    else:
-                        some = np.flatnonzero(row > -np.inf)
+                    some = some[(some < lo) | (some >= hi)]
                     score = _exact(x[some], qs[i])
                     best = np.lexsort((ids[some], -score))[:k]
-                    for column, y in zip(out, (np.full(len(best), qid[i]), ids[some][best], score[best], np.full(len(best), visit[i])), strict=True):
+                    n = len(best)
+                    for column, y in zip(out, (np.full(n, key[i]), np.full(n, qid[i]), ids[some][best], score[best], np.full(n, visit[i])), strict=True):
                         column.append(y)
         return pa.table([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, kinds, strict=True)], names=names)
 
     return run
 
 
-FOUND = "query_id long, vec_id long, score double, visit int"
+FOUND = "key long, query_id long, vec_id long, score double, visit int"
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float = 0.97, sample_rows: int = 20000, calibrate: int = 200, branch: int = 16, leaf_rows: int = 64, most_leaves: int = 1024, block_rows: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float = 0.96, sample_rows: int = 20000, calibrate: int = 200, branch: int = 16, leaf_rows: int = 64, most_leaves: int = 1024, block_rows: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query, largest inner product first.
 
     The tree is fitted on at most sample_rows rows and has at most most_leaves leaves, so what
     is broadcast is bounded; every row is indexed. Up to calibrate sampled queries are answered
     exactly over all rows, in blocks, and the visits are widened until the leaves that hold
     target of their true neighbours are reached. A leaf of many rows (such as one vector held by
-    a third of all rows) is cut into blocks of about block_rows. Ties go to the smaller id.
+    a third of all rows) is cut into blocks of about block_rows, and so are the queries that visit one. Ties go to the smaller id.
     Vectors that are null, zero, or hold nulls or non-finite values take no part, nor do rows
-    without id or of another length than most; repeated ids are separate candidates, and a query is
-    never its own neighbour. Fewer candidates than k give fewer rows; an empty table gives none.
+    without id or of another length than most; of a repeated id each row is a candidate, and as a query has results of its
+    own; rows of a query's own id are never among them. Fewer candidates than k give fewer rows; an empty table gives none.
+    Columns other than the two named are not read. A score that exceeds double precision is infinite, in its right place.
     """
     spark = vectors.sparkSession
     ws = Workspace(spark, "ann")
@@ -182,33 +189,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
         return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(fine(F.col("v")))
 
     x, q = usable(vectors), usable(queries)
-    stats = x.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y)).alias("m")).orderBy(F.desc("n"), "d").first()
+    stats = x.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("m")).orderBy(F.desc("n"), "d").first()
     if stats is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, n, longest = stats.d, stats.n, math.sqrt(stats.m)
+    d, n, unit = stats.d, stats.n, -math.frexp(stats.m)[1]
     x, q = x.where(F.size("v") == d), q.where(F.size("v") == d)
+    least = math.ldexp(1.0, max(-1022, min(1023, unit)))
+    longest = x.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, y: a + (y * least) * (y * least)))).first()[0]
     some = x.orderBy(F.xxhash64("id")).limit(sample_rows) if n > sample_rows else x
-    tree = Tree(np.array([r.v for r in some.select("v").collect()], np.float64), longest, branch, leaf_rows, most_leaves)
-    leafed = ws.keep(x.mapInArrow(_assign(tree), "id long, v array<double>, leaf long"), "rows")
+    tree = Tree(np.ldexp(np.array([r.v for r in some.select("v").collect()], np.float64), unit), math.sqrt(longest), branch, leaf_rows, most_leaves)
+    leafed = ws.keep(x.mapInArrow(_assign(tree, unit), "id long, v array<double>, leaf long"), "rows")
     counts = leafed.groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))  # at most most_leaves rows
-    rows = leafed.join(counts, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks")
-
-    def meet(visits: DataFrame) -> DataFrame:
-        v = visits.join(counts, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long")))).drop("blocks")
-        return rows.groupBy("leaf", "block").cogroup(v.groupBy("leaf", "block")).applyInArrow(_scan(k), FOUND)
-
-    def nearest(found: DataFrame) -> DataFrame:
-        w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    q = ws.keep(q.withColumn("key", F.monotonically_increasing_id()), "queries")  # written, so keys stay
+    parts = max(1, -(-q.count() // block_rows))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")))
+    rows = leafed.join(counts, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks").withColumn("part", each(F.lit(parts)))
+
+    def meet(asked: DataFrame, most: int) -> DataFrame:
+        v = asked.mapInArrow(_visit(tree, unit, most), "key long, qid long, qv array<double>, leaf long, visit int")
+        v = v.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+        v = v.join(counts, "leaf").withColumn("block", each(F.col("blocks"))).drop("blocks")
+        where = ("leaf", "block", "part")
+        found = rows.groupBy(*where).cogroup(v.groupBy(*where)).applyInArrow(_scan(k, unit), FOUND)
+        w = W.partitionBy("key").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    visit_schema = "qid long, qv array<double>, leaf long, visit int"
-    trial = q.orderBy(F.xxhash64("id", F.lit(11))).limit(calibrate)
-    truth = nearest(meet(trial.mapInArrow(_visit(tree, tree.leaves), visit_schema)))
-    need = truth.groupBy("visit").count().orderBy("visit").collect()  # at most one row a leaf
+    trial = q.orderBy(F.xxhash64("id", F.lit(11)), "key").limit(calibrate)
+    need = meet(trial, tree.leaves).groupBy("visit").count().orderBy("visit").collect()  # at most one row a leaf
     total, seen, most = sum(r["count"] for r in need), 0, 1
     for r in need:
         if seen >= target * total:
             break
         seen, most = seen + r["count"], r.visit + 1
-    out = nearest(meet(q.mapInArrow(_visit(tree, most), visit_schema)))
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    grow = math.ldexp(1.0, max(-1022, min(1023, -unit)))
+    score = F.col("score") * F.lit(grow) * F.lit(grow)
+    return meet(q, most).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
