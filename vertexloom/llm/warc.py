@@ -86,20 +86,25 @@ def write_warc(pages: DataFrame, path: str, least: int = 1000, level: int = 4, i
 
     Of rows with equal payloads of at least least bytes, that with the largest id is a response
     and the others are revisits of it; all smaller ones are responses. Payloads are UTF-8, null
-    ones empty. Only ids and digests are compared, with a combinable maximum, and a payload is
-    sent over once, for groups with copies.
+    ones empty. Only ids and digests are compared, with a combinable maximum; what is found is joined
+    to the payloads by id, so copies of one payload don't meet in one task. A payload of any length is one record,
+    held by the task that writes it; columns other than id, uri and payload are not read.
     """
-    ship(pages.sparkSession)
+    ws = Workspace(pages.sparkSession, "warc-copies")
     p = pages.select(F.col(id_col).alias("id"), F.col(uri_col).alias("uri"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     p = p.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
-    big = p.where(F.col("size") >= least)
-    last = big.groupBy("digest").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
+    slim = ws.keep(p.where(F.col("size") >= least).select("id", "digest"), "digests")
+    # Written, so that the join's sides both are shuffles, which can be split where a payload is very common.
+    last = ws.keep(slim.groupBy("digest").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last"), "last")
     # A repeated row of the largest id is a response too: it can't revisit itself.
-    p = p.join(last, "digest", "left").withColumn("revisit", (F.col("size") >= least) & F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last")))
+    again = slim.join(last, "digest").where(F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last"))).select("id", "digest", "last").distinct()
+    again = again.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "last")
+    p = p.join(again, p.id.eqNullSafe(F.col("_id")) & (p.digest == F.col("_digest")), "left").withColumn("revisit", F.col("last").isNotNull())
     p = p.withColumns({"record_type": F.when(F.col("revisit"), "revisit").otherwise("response"), "refers_to": F.when(F.col("revisit"), F.col("last"))})
     p = p.withColumn("payload", F.when(~F.col("revisit"), F.col("payload")))
     blobs = p.select("id", "uri", "payload", "digest", "size", "record_type", "refers_to").mapInArrow(_members(level), "blob binary")
     blobs.select(F.col("blob").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    ws.clear()
 
 
 def _open(path: str):
@@ -146,7 +151,7 @@ def scan(f, size: int, begin: int, end: int, window: int = 1 << 20):
         at = base + k
         if at >= end:
             return
-        got = _decode(f, size, at, buf[k:])
+        got = _decode(f, size, at, memoryview(buf)[k:])
         if got is None:
             at += 1
             continue
@@ -158,21 +163,28 @@ def scan(f, size: int, begin: int, end: int, window: int = 1 << 20):
             buf, base = b"", at
 
 
-def _decode(f, size: int, at: int, ahead: bytes):
-    """(data, length of the member), or None if no valid member starts at at."""
+def _decode(f, size: int, at: int, ahead, piece: int = 1 << 16):
+    """(data, length of the member), or None if no valid member starts at at.
+
+    Compressed bytes are fed in small pieces, so no more than one of them is copied beyond the member's end.
+    """
     z = zlib.decompressobj(31)
+    ahead = memoryview(ahead)
+    fed, out, checked = 0, [], False
     try:
-        out = [z.decompress(ahead)]
-        if out[0] and not b"WARC/1.".startswith(out[0][:7]) and not out[0].startswith(b"WARC/1."):
-            return None
-        fed = len(ahead)
         while not z.eof:
-            f.seek(at + fed)
-            more = f.read(1 << 20)
-            if not more:
-                return None
-            fed += len(more)
-            out.append(z.decompress(more))
+            part = ahead[fed : fed + piece]
+            if not len(part):
+                f.seek(at + fed)
+                part = f.read(1 << 20)
+                if not part:
+                    return None
+            fed += len(part)
+            out.append(z.decompress(part))
+            if not checked and out[-1]:
+                checked = True
+                if not b"WARC/1.".startswith(out[-1][:7]) and not out[-1].startswith(b"WARC/1."):
+                    return None
     except zlib.error:
         return None
     return b"".join(out), fed - len(z.unused_data)
@@ -209,18 +221,21 @@ def _read(batches):
                 yield out(rows)
 
 
-def read_warc(spark: SparkSession, path: str, split: int = 4 << 20) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, split: int = 4 << 20, task_bytes: int = 64 << 20) -> DataFrame:
     """Records of all files under path, one row each (RECORD_SCHEMA).
 
     Files are listed by Spark without being read and cut into ranges of split bytes; a task
-    owns the records that start in its ranges, wherever they end. Local paths and stores that
-    pyarrow knows are opened at an offset.
+    owns the records that start in its ranges, wherever they end. The ranges are dealt to a stated number of tasks, so
+    that adaptive execution, which judges them by their few bytes, doesn't merge them: one for
+    task_bytes of archives, or more for few archives. Local paths and stores that pyarrow knows are opened at an offset.
     """
     ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     begin = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split).cast("long")))
     ranges = files.where("length > 0").select("path", "length", begin.alias("begin")).withColumn("end", F.least(F.col("begin") + split, F.col("length")))
-    return ranges.repartition("path", "begin").mapInArrow(_read, RECORD_SCHEMA)
+    n, total = ranges.agg(F.count("*"), F.sum(F.col("end") - F.col("begin"))).first()
+    tasks = max(1, min(n, max(4 * spark.sparkContext.defaultParallelism, -(-(total or 0) // task_bytes))))
+    return ranges.repartition(tasks, "path", "begin").mapInArrow(_read, RECORD_SCHEMA)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
