@@ -192,6 +192,7 @@ def test_empty_and_null(spark, tmp_path):
     clash = [c for c in ("kept", "n_words", "rest", "doc", "row", "cid", "leaf", "component_id")]
     more = spark.createDataFrame([(*r, *clash) for r in rows], SCHEMA + "".join(f", {c} string" for c in clash))
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        more = stage(spark, more, "")
+        stage(spark, more, "").write.parquet(f"{tmp_path}/clash-{name}")
+        more = spark.read.parquet(f"{tmp_path}/clash-{name}")
         assert more.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ") + clash, name
     assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/nulls").collect()} <= {None, 9}

@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import ClassVar
 
 import pyarrow as pa
@@ -44,20 +45,22 @@ class Workspace:
 
     live: ClassVar[list[Workspace]] = []
 
-    def __init__(self, spark: SparkSession, what: str):
+    def __init__(self, spark: SparkSession, what: str, lasting: bool = False):
         self.spark = ship(spark)
         self.root = f"{shared_dir(spark)}/vertexloom-{what}-{uuid.uuid4().hex}"
         self.made = 0
-        Workspace.live.append(self)
+        if not lasting:
+            Workspace.live.append(self)
 
     def path(self, name: str) -> str:
         self.made += 1
         return f"{self.root}/{self.made:03d}-{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and read it back."""
+    def keep(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+        """Write df as Parquet and read it back. batch: rows that Arrow functions in it get at once, fewer for large rows."""
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+        with arrow_rows(self.spark, batch):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._kept_at = path
         return out
@@ -78,12 +81,25 @@ class Workspace:
             Workspace.live.remove(self)
 
 
-def sweep(*but: Workspace) -> None:
+def sweep() -> None:
     """Delete the intermediate tables of all operators run so far, once their results are written elsewhere."""
-    for ws in [x for x in Workspace.live if x not in but]:
+    for ws in list(Workspace.live):
         ws.clear()
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int | None):
+    """What is run meanwhile hands Arrow functions at most so many rows at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if rows is not None:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that are no longer referenced."""
     gc.collect()
@@ -96,7 +112,7 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about most_bytes of text (a single longer row stays whole)."""
     import numpy as np
     import pyarrow.compute as pc

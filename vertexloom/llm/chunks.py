@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from vertexloom.llm.base import Workspace, slices
 
 CHUNK_BYTES = 1 << 20
+#: Chunks, or answers of a bucket, that a function gets at once.
+AT_ONCE = 8
 BUCKET_BYTES = 12 << 20
 
 
@@ -34,7 +36,7 @@ def _pack(batches):
 def chunked(ws: Workspace, docs: DataFrame) -> DataFrame:
     """(cid, size, items array<struct of docs' columns>) of docs, which must have a column text; written once, so cids stay."""
     schema = T.StructType([T.StructField("cid", T.LongType()), T.StructField("size", T.LongType()), T.StructField("items", T.ArrayType(docs.schema))])
-    return ws.keep(docs.mapInArrow(_pack, schema), "chunks")
+    return ws.keep(docs.mapInArrow(_pack, schema), "chunks", 512)
 
 
 def buckets_for(chunks: DataFrame) -> int:

@@ -117,9 +117,12 @@ def _link(k: int, num: int, den: int):
         from vertexloom.llm.textblocks import Words, shingles
 
         rep, comp = t.column("rep").to_numpy(), t.column("comp").to_numpy()
-        w = Words(t.column("text").combine_chunks())
-        h = w.hashes()
-        sets = [np.unique(shingles(h[w.first_word[i] : w.first_word[i + 1]], k)) for i in range(len(w))]
+        sets = []
+        for b in t.select(["text"]).combine_chunks().to_batches():
+            for part in slices(b, "text"):
+                w = Words(part.column("text"))
+                h = w.hashes()
+                sets += [np.unique(shingles(h[w.first_word[i] : w.first_word[i + 1]], k)) for i in range(len(w))]
         size = np.array([len(s) for s in sets])
         row = np.repeat(np.arange(len(sets)), size)
         _, word, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -200,29 +203,32 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
     ws = Workspace(spark, "near")
     again = den / num - 1
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sk = ws.keep(d.mapInArrow(_sketch(k), SKETCH), "sketches")
+    sk = ws.keep(d.mapInArrow(_sketch(k), SKETCH), "sketches", 256)
     linkable = sk.where("n_shingles > 0 and doc_id is not null")
     classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     mine = sk.select("digest", F.col("doc_id").alias("rep"), "sig").join(classes.hint("shuffle_hash"), ["digest", "rep"], "left_semi")
     reps = ws.keep(mine.dropDuplicates(["rep", "digest"]).select("rep", "sig"), "reps")
 
     grown = []
-    rows = ws.keep(reps.mapInArrow(_paths(trials, start, again), "node long, rep long"), "paths")
+    rows = ws.keep(reps.mapInArrow(_paths(trials, start, again), "node long, rep long"), "paths", 2048)
     for depth in range(start, deepest + 1, 2):
         sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1")
+        # Written first: a join whose sides both are shuffles can split a node that very many rows are at.
+        sizes = ws.keep(sizes, "sizes")
         live = ws.keep(rows.join(sizes, "node"), "nodes")
-        ws.drop(rows)
+        ws.drop(rows, sizes)
         if depth + 2 > deepest:
             grown.append(live)
             break
-        grown.append(live.where(F.col("n") <= leaf))
+        grown.append(live)
         big = live.where(F.col("n") > leaf).select("node", "rep")
         if big.isEmpty():
             break
         rows = ws.keep(big.join(reps.dropDuplicates(["rep"]), "rep").mapInArrow(_deeper(2, again), "node long, rep long"), "paths")
-    nodes = grown[0]
-    for more in grown[1:]:
-        nodes = nodes.unionByName(more)
+    # Of all but the last level only the small nodes count; large ones have branched on.
+    nodes = grown[-1]
+    for more in grown[:-1]:
+        nodes = nodes.unionByName(more.where(F.col("n") <= leaf))
 
     text = d.where("doc_id is not null")
 
@@ -232,7 +238,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
         some = text.join(used, text.doc_id == F.col("u"), "left_semi")
         ta = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
         both = ta.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        out = ws.keep(both.mapInArrow(_confirm(k, num, den), "a long, b long").distinct(), "links")
+        out = ws.keep(both.mapInArrow(_confirm(k, num, den), "a long, b long").distinct(), "links", 128)
+        ws.drop(pairs)
         ws.tidy()
         return out
 
@@ -250,16 +257,20 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
     side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
     wide = wide.select("rep", "comp", "sig", side.alias("side"), "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     open_ = wide.groupBy("node", "lo", "hi").applyInArrow(_alike(num / den - 0.15), "rep long, comp long, side int, node long, lo long, hi long")
-    open_ = ws.keep(open_, "open")
+    open_ = ws.keep(open_, "open", 1024)
     ws.tidy()
     some = text.join(open_.select(F.col("rep").alias("u")).distinct().hint("shuffle_hash"), text.doc_id == F.col("u"), "left_semi")
     full = open_.join(some.select(F.col("doc_id").alias("rep"), "text"), "rep")
     more = full.groupBy("node", "lo", "hi").applyInArrow(_link(k, num, den), "a long, b long").distinct()
-    links = links.union(ws.keep(more, "links"))
+    links = links.union(ws.keep(more, "links", 256))
+    ws.drop(open_, torn, comp, reps, *grown)
     ws.tidy()
     comp = components(ws, links)
     named = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = sk.join(named, "digest", "left")
+    out = sk.select("doc_id", "n_shingles", "digest").join(ws.keep(named, "named"), "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
-    return ws.keep(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result")
+    out = ws.keep(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result")
+    ws.drop(sk)
+    ws.tidy()
+    return out

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from vertexloom.llm.base import Workspace, components
-from vertexloom.llm.chunks import bounds, bucket_of, buckets_for, chunked, items, with_answers
+from vertexloom.llm.chunks import AT_ONCE, bounds, bucket_of, buckets_for, chunked, items, with_answers
 
 SHINGLE = 5
 #: A passage has over 50 words; HALF is the most that fits on one side of an anchor in every run of PASSAGE words.
@@ -304,7 +304,7 @@ def _links(ws: Workspace, hits: DataFrame, bands: int, block: int, num: int, den
     put = put.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
     put = put.select("content", "shingles", side.alias("side"), "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    links = ws.keep(put.groupBy("band", "lo", "hi").applyInArrow(_verify(num, den), "a long, b long").distinct(), "links")
+    links = ws.keep(put.groupBy("band", "lo", "hi").applyInArrow(_verify(num, den), "a long, b long").distinct(), "links", 1024)
     ws.drop(kinds)
     ws.tidy()
     return links
@@ -363,9 +363,9 @@ def repeated_passages(docs: DataFrame, num: int = 4, den: int = 5, bands: int =
     chunks = chunked(ws, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest")))
     count = buckets_for(chunks)
     said = chunks.select("cid", "items").mapInArrow(_announce(bands, count), "bucket long, cid long, key binary, many binary")
-    answers = ws.keep(said.groupBy("bucket").applyInArrow(_repeated, "cid long, bucket long, n long, bits binary"), "answers")
+    answers = ws.keep(said.groupBy("bucket").applyInArrow(_repeated, "cid long, bucket long, n long, bits binary"), "answers", AT_ONCE)
     ws.tidy()
-    hits = ws.keep(with_answers(chunks, answers, "answers").mapInArrow(_colliding(bands), HITS), "hits")
+    hits = ws.keep(with_answers(chunks, answers, "answers").mapInArrow(_colliding(bands), HITS), "hits", AT_ONCE)
     ws.drop(answers)
     ws.tidy()
     comp = components(ws, _links(ws, hits, bands, block, num, den))

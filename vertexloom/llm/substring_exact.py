@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.llm.base import Workspace
-from vertexloom.llm.chunks import bounds, bucket_of, buckets_for, chunked, items, with_answers
+from vertexloom.llm.chunks import AT_ONCE, bounds, bucket_of, buckets_for, chunked, items, with_answers
 
 TRIGGER, KEY, PERIOD = 16, 40, np.uint64(32)
 
@@ -228,12 +228,19 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False,
     chunks = chunked(ws, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     count = buckets_for(chunks)
     said = chunks.mapInArrow(_announce(length, count), "bucket long, cid long, key binary, sig binary, many binary")
-    settled = ws.keep(said.groupBy("bucket").applyInArrow(_settle, "cid long, bucket long, flags binary"), "settled")
+    settled = ws.keep(said.groupBy("bucket").applyInArrow(_settle, "cid long, bucket long, flags binary"), "settled", AT_ONCE)
     ws.tidy()
     one = with_answers(chunks, settled, "settled")
     sent = one.mapInArrow(_contexts(length, count), "bucket long, cid long, key binary, place binary, size binary, short binary, data binary")
-    ordered = ws.keep(sent.groupBy("bucket").applyInArrow(_suffix_order(length), "cid long, place binary, bits binary"), "ordered")
+    ordered = ws.keep(sent.groupBy("bucket").applyInArrow(_suffix_order(length), "cid long, place binary, bits binary"), "ordered", AT_ONCE)
     ws.tidy()
     two = with_answers(with_answers(chunks, settled, "settled"), ordered, "ordered")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return two.mapInArrow(_remove(length, with_text), schema)
+    out = two.mapInArrow(_remove(length, with_text), schema)
+    if with_text:
+        return out
+    # Without texts the result is small: written, so that all else can go.
+    out = ws.keep(out, "result", AT_ONCE)
+    ws.drop(chunks, settled, ordered)
+    ws.tidy()
+    return out
