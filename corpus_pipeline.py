@@ -1,7 +1,8 @@
 """A corpus from raw documents: clean, deduplicate twice, mix, pack.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is
-written as Parquet and read again as the next one's docs.
+written as Parquet and read again as the next one's docs. So a stage begins by deleting what the operators of
+the stages before it left in the shared folder.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ def _documents(rows: DataFrame, text: Column, columns: list[str]) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: failing lines go from the texts, and documents that the rules reject go."""
+    sweep()
     judged = quality.quality(docs, carry=docs.columns)
     return _documents(judged.where("kept"), F.col("clean_text"), docs.columns)
 
@@ -31,6 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of rows that repeat an id, which are judged together, one stays: the one whose text comes first.
     """
+    sweep()
     kept = near_dedup.near_duplicates(docs, num=80, den=100).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     # Written: ids that stand once, nearly all, need no text to be compared.
     kept = Workspace(spark, "kept").keep(kept, "kept")
@@ -43,6 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup: repeated passages go from the texts; a document left without a word goes."""
+    sweep()
     got = paragraph_dedup.repeated_passages(docs.select("doc_id", "text", F.struct(*docs.columns).alias("doc")))
     got = got.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).select("text", "rest.doc")
     return _documents(got, F.col("text"), docs.columns)
@@ -50,6 +54,7 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: a document is repeated as often as its source's target takes it, to the nearest whole."""
+    sweep()
     taken = mixing.mix(docs, carry=docs.columns)
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     return taken.where("size > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), times))).where("_copy > 0").select("doc.*")
@@ -57,6 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: one row per piece, with its sequence and its place there."""
+    sweep()
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
@@ -67,10 +73,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ws = Workspace(spark, "pipeline")
+    ws = Workspace(spark, "pipeline", lasting=True)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         done, docs = docs, ws.keep(stage(spark, docs, sf_dir), name)
         ws.drop(done)
-        sweep(ws)
+    sweep()
     return docs
