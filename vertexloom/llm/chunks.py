@@ -1,6 +1,6 @@
 """Chunks of documents, and a compact exchange of 64-bit keys between them.
 
-A chunk is one row that holds about a megabyte of documents. Keys of its content go out in
+A chunk is one row that holds about half a megabyte of documents. Keys of its content go out in
 blobs, eight bytes each, to buckets that see all equal keys; a few bits a key come back to the chunk.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from vertexloom.llm.base import Workspace, slices
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Chunks, or answers of a bucket, that a function gets at once.
 AT_ONCE = 8
 BUCKET_BYTES = 12 << 20
@@ -67,8 +67,11 @@ def bounds(sorted_buckets: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(sorted_buckets[a]), a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def with_answers(chunks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
-    """chunks with a column: the answers of all buckets, array<struct>, one row a chunk."""
-    columns = [c for c in answers.columns if c != "cid"]
-    mine = answers.groupBy("cid").agg(F.collect_list(F.struct(*columns)).alias(name))
-    return chunks.join(mine.hint("shuffle_hash"), "cid", "left")
+def beside(chunks: DataFrame, answers: DataFrame, work, schema) -> DataFrame:
+    """work(cid, documents of a chunk as a struct array, table of its answers) for each chunk, one at a time; it gives a table."""
+
+    def each(left, right):
+        # Every answer is one to a chunk, so the left side always has its row.
+        return work(left.column("cid")[0].as_py(), left.column("items").combine_chunks().flatten(), right)
+
+    return chunks.select("cid", "items").groupBy("cid").cogroup(answers.groupBy("cid")).applyInArrow(each, schema)

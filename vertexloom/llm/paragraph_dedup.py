@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from vertexloom.llm.base import Workspace, components
-from vertexloom.llm.chunks import AT_ONCE, bounds, bucket_of, buckets_for, chunked, items, with_answers
+from vertexloom.llm.chunks import AT_ONCE, beside, bounds, bucket_of, buckets_for, chunked, items
 
 SHINGLE = 5
 #: A passage has over 50 words; HALF is the most that fits on one side of an anchor in every run of PASSAGE words.
@@ -151,7 +151,7 @@ def _repeated(t):
 
 def _bits(answers) -> np.ndarray:
     """The bits of a chunk's keys, in order of the keys."""
-    got = sorted(((x["bucket"], x["n"], x["bits"]) for x in answers.as_py() or []), key=lambda x: x[0])
+    got = sorted(zip(*(answers.column(c).to_pylist() for c in ("bucket", "n", "bits")), strict=True))
     return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for _, n, x in got]) if got else np.zeros(0, np.uint8)
 
 
@@ -164,47 +164,43 @@ def _colliding(bands: int):
     The shingles of a line go with its first occurrence in the chunk alone.
     """
 
-    def run(batches):
+    def work(cid, docs, answers):
         import pyarrow as pa
 
-        for cid, docs, more in items(batches):
-            p = Paragraphs(docs.field("text"), bands)
-            key, at = p.keys()
-            bits = _bits(more["answers"]).astype(bool)
-            hit = np.unique(at[bits[np.searchsorted(p.distinct()[0], key)]]) if len(key) else np.zeros(0, np.int64)
-            if not len(hit):
-                continue
-            begin = p.words.first_word
-            ids = docs.field("doc_id")
-            lines = hit[hit < p.lines]
-            _, once = np.unique(p.content[lines], return_index=True)
-            shown = np.zeros(len(lines), bool)
-            shown[once] = True
-            sets = [p.set_of(x).tobytes() if s else None for x, s in zip(lines, shown, strict=True)]
-            vals = [p.bands[:, x].tobytes() if s else None for x, s in zip(lines, shown, strict=True)]
-            places = np.concatenate([p.first[hit], p.end[hit]]) - np.tile(begin[p.doc[hit]], 2)
-            block = np.unique(np.column_stack([np.tile(p.doc[hit], 2), places // BLOCK]), axis=0)
-            lo = np.maximum(block[:, 1] * BLOCK - REACH, 0)
-            hi = np.minimum(block[:, 1] * BLOCK + BLOCK + REACH, np.diff(begin)[block[:, 0]])
-            short = (p.word_hash >> np.uint64(32)).astype("<u4")
-            around = [short[begin[d] + a : begin[d] + b].tobytes() for d, a, b in zip(block[:, 0], lo, hi, strict=True)]
-            doc = np.concatenate([p.doc[hit], block[:, 0]])
-            none, rest = [None] * len(block), [None] * (len(hit) - len(lines))
-            columns = [
-                pa.array(np.full(len(doc), cid), pa.int64()),
-                pa.array(doc, pa.int32()),
-                pa.array(np.concatenate([p.first[hit] - begin[p.doc[hit]], block[:, 1]]), pa.int32()),
-                pa.array(np.concatenate([(p.end - p.first)[hit], lo]), pa.int32()),
-                pa.concat_arrays([pa.array(p.content[hit].view(np.int64)), pa.nulls(len(block), pa.int64())]),
-                ids.is_null().take(pa.array(doc)),
-                ids.take(pa.array(doc)),
-                pa.array([*sets, *rest, *none], pa.binary()),
-                pa.array([*vals, *rest, *none], pa.binary()),
-                pa.array([None] * len(hit) + around, pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["cid", "row", "word", "n", "content", "u", "doc_id", "shingles", "bands", "around"])
-
-    return run
+        p = Paragraphs(docs.field("text"), bands)
+        key, at = p.keys()
+        bits = _bits(answers).astype(bool)
+        hit = np.unique(at[bits[np.searchsorted(p.distinct()[0], key)]]) if len(key) else np.zeros(0, np.int64)
+        begin = p.words.first_word
+        lines = hit[hit < p.lines]
+        _, once = np.unique(p.content[lines], return_index=True)
+        shown = np.zeros(len(lines), bool)
+        shown[once] = True
+        sets = [p.set_of(x).tobytes() if s else None for x, s in zip(lines, shown, strict=True)]
+        vals = [p.bands[:, x].tobytes() if s else None for x, s in zip(lines, shown, strict=True)]
+        places = np.concatenate([p.first[hit], p.end[hit]]) - np.tile(begin[p.doc[hit]], 2)
+        block = np.unique(np.column_stack([np.tile(p.doc[hit], 2), places // BLOCK]), axis=0)
+        lo = np.maximum(block[:, 1] * BLOCK - REACH, 0)
+        hi = np.minimum(block[:, 1] * BLOCK + BLOCK + REACH, np.diff(begin)[block[:, 0]])
+        short = (p.word_hash >> np.uint64(32)).astype("<u4")
+        around = [short[begin[d] + a : begin[d] + b].tobytes() for d, a, b in zip(block[:, 0], lo, hi, strict=True)]
+        doc = np.concatenate([p.doc[hit], block[:, 0]])
+        rest, none = [None] * (len(hit) - len(lines)), [None] * len(block)
+        columns = [
+            pa.array(np.full(len(doc), cid), pa.int64()),
+            pa.array(doc, pa.int32()),
+            pa.array(np.concatenate([p.first[hit] - begin[p.doc[hit]], block[:, 1]]), pa.int32()),
+            pa.array(np.concatenate([(p.end - p.first)[hit], lo]), pa.int32()),
+            pa.concat_arrays([pa.array(p.content[hit].view(np.int64)), pa.nulls(len(block), pa.int64())]),
+            docs.field("doc_id").is_null().take(pa.array(doc)),
+            docs.field("doc_id").take(pa.array(doc)),
+            pa.array([*sets, *rest, *none], pa.binary()),
+            pa.array([*vals, *rest, *none], pa.binary()),
+            pa.array([None] * len(hit) + around, pa.binary()),
+        ]
+        return pa.table(columns, ["cid", "row", "word", "n", "content", "u", "doc_id", "shingles", "bands", "around"])
+
+    return work
 
 
 def _verify(num: int, den: int):
@@ -246,52 +242,51 @@ def _alike(own: np.ndarray, kept: np.ndarray) -> int:
 
 def _marked(w, drops) -> np.ndarray:
     """Words of a chunk that lie in marked paragraphs or between these and their extended ends."""
-    step = np.zeros(len(w.start) + 1, np.int64)
-    short = None
-    for x in drops.as_py() or []:
-        lo, hi = w.first_word[x["row"]], w.first_word[x["row"] + 1]
-        a = lo + x["word"]
-        b = a + x["n"]
-        if x["around"]:
-            short = (w.hashes() >> np.uint64(32)).astype("<u4") if short is None else short
-            kept = np.frombuffer(x["around"], "<u4")
-            if x["side"]:
-                b += _alike(short[b : min(hi, b + REACH)], kept)
+    row, word, n = (drops.column(c).to_numpy().astype(np.int64) for c in ("row", "word", "n"))
+    at = w.first_word[row] + word
+    end = at + n
+    edges = np.flatnonzero(n == 0)
+    if len(edges):
+        short = (w.hashes() >> np.uint64(32)).astype("<u4")
+        told = drops.select(["side", "around"]).take(edges)
+        for k, side, around in zip(edges, *(told.column(c).to_pylist() for c in ("side", "around")), strict=True):
+            kept = np.frombuffer(around or b"", "<u4")
+            if side:
+                end[k] += _alike(short[at[k] : min(w.first_word[row[k] + 1], at[k] + REACH)], kept)
             else:
-                a -= _alike(short[max(lo, a - REACH) : a][::-1], kept[::-1])
-        step[a] += 1
-        step[b] -= 1
-    return np.cumsum(step)[:-1] > 0
+                at[k] -= _alike(short[max(w.first_word[row[k]], at[k] - REACH) : at[k]][::-1], kept[::-1])
+    size = len(w.start) + 1
+    return np.cumsum(np.bincount(at, minlength=size) - np.bincount(end, minlength=size))[:-1] > 0
 
 
-def _cut(batches):
+def _cut(cid, docs, drops):
     import pyarrow as pa
 
     from vertexloom.llm.textblocks import Words
 
-    for _, docs, more in items(batches):
-        w = Words(docs.field("text"))
-        got = _stretches(_marked(w, more["drops"]), w.first_word)
+    texts = docs.field("text")
+    w = Words(texts)
+    removed, spans = [0] * len(docs), [0] * len(docs)
+    if drops.num_rows:
+        got = _stretches(_marked(w, drops), w.first_word)
         got = got[got[:, 1] - got[:, 0] >= PASSAGE]
         drop: dict[int, list[tuple[int, int]]] = {}
         for x, a, b in zip(np.searchsorted(w.first_word, got[:, 0], side="right") - 1, got[:, 0], got[:, 1], strict=True):
             drop.setdefault(int(x), []).append((int(a), int(b)))
-        removed, spans = [0] * len(docs), [0] * len(docs)
-        texts = docs.field("text")
-        if drop:
-            texts = texts.to_pylist()
-            for row, runs in drop.items():
-                off = w.offsets[row]
-                data, parts, at = w.raw[off : w.offsets[row + 1]].tobytes(), [], 0
-                for a, b in runs:
-                    parts.append(data[at : int(w.start[a] - off)])
-                    # The gap after a removed run goes with it.
-                    at = int(w.start[b] - off) if b < w.first_word[row + 1] else len(data)
-                    removed[row] += b - a
-                    spans[row] += 1
-                texts[row] = b"".join([*parts, data[at:]]).decode().rstrip(" \t\n\x0b\x0c\r")
-            texts = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_arrays([docs.field("doc_id"), pa.array(np.diff(w.first_word), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), texts, docs.field("rest")], ["doc_id", "n_words", "n_removed", "n_spans", "text", "rest"])
+        texts = texts.to_pylist()
+        for row, runs in drop.items():
+            off = w.offsets[row]
+            data, parts, at = w.raw[off : w.offsets[row + 1]].tobytes(), [], 0
+            for a, b in runs:
+                parts.append(data[at : int(w.start[a] - off)])
+                # The gap after a removed run goes with it.
+                at = int(w.start[b] - off) if b < w.first_word[row + 1] else len(data)
+                removed[row] += b - a
+                spans[row] += 1
+            texts[row] = b"".join([*parts, data[at:]]).decode().rstrip(" \t\n\x0b\x0c\r")
+        texts = pa.array(texts, pa.string())
+    columns = [docs.field("doc_id"), pa.array(np.diff(w.first_word), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), texts, docs.field("rest")]
+    return pa.table(columns, ["doc_id", "n_words", "n_removed", "n_spans", "text", "rest"])
 
 
 def _links(ws: Workspace, hits: DataFrame, bands: int, block: int, num: int, den: int) -> DataFrame:
@@ -353,7 +348,7 @@ def repeated_passages(docs: DataFrame, num: int = 4, den: int = 5, bands: int =
     whatever stands around it. Repeats inside a single document, and of 50 words or fewer, stay.
 
     Null texts stay null and empty ones empty; null ids sort last; rows that repeat an id are
-    documents of their own; an empty table gives no rows. Texts are read whole, in chunks of about a megabyte, a longer text
+    documents of their own; an empty table gives no rows. Texts are read whole, in chunks of about half a megabyte, a longer text
     alone. Equal paragraphs are one from the start, so only different ones are compared; a band of over `block`
     different ones is compared in pairs of blocks.
     """
@@ -365,7 +360,7 @@ def repeated_passages(docs: DataFrame, num: int = 4, den: int = 5, bands: int =
     said = chunks.select("cid", "items").mapInArrow(_announce(bands, count), "bucket long, cid long, key binary, many binary")
     answers = ws.keep(said.groupBy("bucket").applyInArrow(_repeated, "cid long, bucket long, n long, bits binary"), "answers", AT_ONCE)
     ws.tidy()
-    hits = ws.keep(with_answers(chunks, answers, "answers").mapInArrow(_colliding(bands), HITS), "hits", AT_ONCE)
+    hits = ws.keep(beside(chunks, answers, _colliding(bands), HITS), "hits")
     ws.drop(answers)
     ws.tidy()
     comp = components(ws, _links(ws, hits, bands, block, num, den))
@@ -373,4 +368,4 @@ def repeated_passages(docs: DataFrame, num: int = 4, den: int = 5, bands: int =
     ws.drop(hits)
     ws.tidy()
     schema = f"doc_id long, n_words long, n_removed long, n_spans long, text string, rest {chunks.schema['items'].dataType.elementType['rest'].dataType.simpleString()}"
-    return with_answers(chunks, drops, "drops").mapInArrow(_cut, schema)
+    return beside(chunks, drops, _cut, schema)

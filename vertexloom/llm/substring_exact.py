@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.llm.base import Workspace
-from vertexloom.llm.chunks import AT_ONCE, bounds, bucket_of, buckets_for, chunked, items, with_answers
+from vertexloom.llm.chunks import AT_ONCE, beside, bounds, bucket_of, buckets_for, chunked, items
 
 TRIGGER, KEY, PERIOD = 16, 40, np.uint64(32)
 
@@ -114,30 +114,28 @@ def _settle(t):
 
 
 def _flags(answers) -> np.ndarray:
-    got = sorted((x["bucket"], x["flags"]) for x in answers.as_py() or [])
+    got = sorted((b, x) for b, x in zip(answers.column("bucket").to_pylist(), answers.column("flags").to_pylist(), strict=True) if x is not None)
     return np.frombuffer(b"".join(x for _, x in got), np.uint8)
 
 
 def _contexts(length: int, count: int):
-    def run(batches):
+    def work(cid, docs, answers):
         import pyarrow as pa
 
-        for cid, docs, more in items(batches):
-            e = Entries(docs.field("text"), length)
-            first, _, _ = e.distinct()
-            flags = _flags(more["settled"])
-            send = np.flatnonzero(flags & 2)
-            entry = first[send]
-            got = bounds(bucket_of(e.key[entry], count))
-            rows = [[], [], [], [], [], [], []]
-            for bucket, a, b in got:
-                parts = [e.buf[e.lo[x] : e.hi[x] + length].tobytes() for x in entry[a:b]]
-                for column, x in zip(rows, (bucket, cid, e.key[entry[a:b]].tobytes(), send[a:b].astype(np.uint32).tobytes(), np.array([len(p) for p in parts], np.uint32).tobytes(), e.short[entry[a:b]].astype(np.uint32).tobytes(), b"".join(parts)), strict=True):
-                    column.append(x)
-            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["bucket", "cid", "key", "place", "size", "short", "data"])
+        e = Entries(docs.field("text"), length)
+        first, _, _ = e.distinct()
+        flags = _flags(answers)
+        send = np.flatnonzero(flags & 2)
+        entry = first[send]
+        rows = [[], [], [], [], [], [], []]
+        for bucket, a, b in bounds(bucket_of(e.key[entry], count)):
+            parts = [e.buf[e.lo[x] : e.hi[x] + length].tobytes() for x in entry[a:b]]
+            for column, x in zip(rows, (bucket, cid, e.key[entry[a:b]].tobytes(), send[a:b].astype(np.uint32).tobytes(), np.array([len(p) for p in parts], np.uint32).tobytes(), e.short[entry[a:b]].astype(np.uint32).tobytes(), b"".join(parts)), strict=True):
+                column.append(x)
+        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
+        return pa.table([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["bucket", "cid", "key", "place", "size", "short", "data"])
 
-    return run
+    return work
 
 
 def _suffix_order(length: int):
@@ -174,45 +172,45 @@ def _suffix_order(length: int):
 
 
 def _remove(length: int, with_text: bool):
-    def run(batches):
+    def work(cid, docs, answers):
         import hashlib
 
         import pyarrow as pa
 
-        for _, docs, more in items(batches):
-            e = Entries(docs.field("text"), length)
-            first, _, place = e.distinct()
-            flags = _flags(more["settled"])
-            turn = np.zeros(len(e.buf) + 1, np.int64)
-            whole = np.flatnonzero(flags[place] & 1) if len(place) else []
-            np.add.at(turn, e.lo[whole], 1)
-            np.add.at(turn, e.hi[whole] + length, -1)
-            for answer in more["ordered"].as_py() or []:
-                used = 0
-                for x in np.frombuffer(answer["place"], np.uint32):
-                    lo, hi = e.lo[first[x]], e.hi[first[x]]
-                    n = hi - lo + 1
-                    bits = np.unpackbits(np.frombuffer(answer["bits"], np.uint8, -(-n // 8), used), count=n)
-                    used += -(-n // 8)
-                    at = lo + np.flatnonzero(bits)
-                    np.add.at(turn, at, 1)
-                    np.add.at(turn, at + length, -1)
-            gone = np.cumsum(turn[:-1]) > 0
-            removed, spans, digests, texts = [], [], [], []
-            for a, b in zip(e.off[:-1], e.off[1:], strict=True):
-                g = gone[a:b]
-                removed.append(int(g.sum()))
-                spans.append(int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()))
-                left = e.buf[a:b][~g].tobytes()
-                digests.append(hashlib.sha256(left).hexdigest())
-                if with_text:
-                    texts.append(left)
-            columns = {"doc_id": docs.field("doc_id"), "n_bytes": pa.array(np.diff(e.off), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+        e = Entries(docs.field("text"), length)
+        first, _, place = e.distinct()
+        flags = _flags(answers)
+        turn = np.zeros(len(e.buf) + 1, np.int64)
+        whole = np.flatnonzero(flags[place] & 1) if len(place) else []
+        np.add.at(turn, e.lo[whole], 1)
+        np.add.at(turn, e.hi[whole] + length, -1)
+        for places, bits in zip(answers.column("place").to_pylist(), answers.column("bits").to_pylist(), strict=True):
+            if places is None:
+                continue
+            used = 0
+            for x in np.frombuffer(places, np.uint32):
+                lo, hi = e.lo[first[x]], e.hi[first[x]]
+                n = hi - lo + 1
+                at = lo + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8, -(-n // 8), used), count=n))
+                used += -(-n // 8)
+                np.add.at(turn, at, 1)
+                np.add.at(turn, at + length, -1)
+        gone = np.cumsum(turn[:-1]) > 0
+        removed, spans, digests, texts = [], [], [], []
+        for a, b in zip(e.off[:-1], e.off[1:], strict=True):
+            g = gone[a:b]
+            removed.append(int(g.sum()))
+            spans.append(int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()))
+            left = e.buf[a:b][~g].tobytes()
+            digests.append(hashlib.sha256(left).hexdigest())
             if with_text:
-                columns["kept"] = pa.array(texts, pa.binary())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+                texts.append(left)
+        columns = {"doc_id": docs.field("doc_id"), "n_bytes": pa.array(np.diff(e.off), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+        if with_text:
+            columns["kept"] = pa.array(texts, pa.binary())
+        return pa.table(columns)
 
-    return run
+    return work
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,13 +228,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False,
     said = chunks.mapInArrow(_announce(length, count), "bucket long, cid long, key binary, sig binary, many binary")
     settled = ws.keep(said.groupBy("bucket").applyInArrow(_settle, "cid long, bucket long, flags binary"), "settled", AT_ONCE)
     ws.tidy()
-    one = with_answers(chunks, settled, "settled")
-    sent = one.mapInArrow(_contexts(length, count), "bucket long, cid long, key binary, place binary, size binary, short binary, data binary")
+    sent = beside(chunks, settled, _contexts(length, count), "bucket long, cid long, key binary, place binary, size binary, short binary, data binary")
     ordered = ws.keep(sent.groupBy("bucket").applyInArrow(_suffix_order(length), "cid long, place binary, bits binary"), "ordered", AT_ONCE)
     ws.tidy()
-    two = with_answers(with_answers(chunks, settled, "settled"), ordered, "ordered")
+    answers = settled.unionByName(ordered, allowMissingColumns=True)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    out = two.mapInArrow(_remove(length, with_text), schema)
+    out = beside(chunks, answers, _remove(length, with_text), schema)
     if with_text:
         return out
     # Without texts the result is small: written, so that all else can go.
