@@ -23,16 +23,39 @@ class _Cut:
 def _le(a, b) -> bool:
     if isinstance(a, Q) and isinstance(b, Q):
         return a <= b
-    if isinstance(a, _Cut) and isinstance(b, _Cut) and (a.m, a.d) == (b.m, b.d):
+    if isinstance(a, _Cut) and isinstance(b, _Cut) and a.d and (a.m, a.d) == (b.m, b.d):
         return a.s <= b.s
-    get = lambda x, k: x.bounds(k) if isinstance(x, _Cut) else (x, x)
-    for k in (64, 256, 1024, 4096):
-        (a0, a1), (b0, b1) = get(a, k), get(b, k)
+    for bits in (64, 256, 1024):
+        (a0, a1), (b0, b1) = (x.bounds(bits) if isinstance(x, _Cut) else (x, x) for x in (a, b))
         if a1 <= b0:
             return True
         if a0 > b1:
             return False
-    return True  # equal as far as can be told; closed comparison
+    return _difference_sign(a, b) <= 0
+
+
+def _difference_sign(a, b) -> int:
+    """Exact sign of a - b: of x + u*sqrt(p) + v*sqrt(q) with u, v of -1, 0, 1.
+
+    With A = x + u*sqrt(p) and B = -v*sqrt(q) it is that of A - B; where both have one sign, that of A*A - B*B, which holds
+    one root, decides, and that again by squares.
+    """
+    root = lambda z: (z.m, z.s, z.d) if isinstance(z, _Cut) else (z, 0, Q(0))
+    (m, u, p), (n, v, q) = root(a), root(b)
+
+    def one(x: Q, c: Q, y: Q) -> int:  # sign of x + c*sqrt(y)
+        c = c if y else Q(0)
+        if c == 0 or x == 0 or (x > 0) == (c > 0):
+            lead = x if x else c
+            return (lead > 0) - (lead < 0)
+        gap = x * x - c * c * y
+        return ((gap > 0) - (gap < 0)) * (1 if x > 0 else -1)
+
+    x = m - n
+    left, right = one(x, Q(u), p), (v if q else 0)
+    if left != right or left == 0:
+        return (left > right) - (left < right)
+    return left * one(x * x + u * u * p - v * v * q, 2 * x * u, p)
 
 
 def _free(p, q, c, r2):

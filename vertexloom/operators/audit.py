@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vertexloom.functions import curves as C
 from vertexloom.operators import continuous
 from vertexloom.operators.edits import continuous_edits, discrete_edits
-from vertexloom.session import ship
+from vertexloom.session import deal, ship
 
 MOST_COURSE, MOST_TRACK, MOST_GLITCHES, MOST_CELLS = 150, 600, 25, 40_000
 MOST_FIXES, MOST_LATITUDE, MOST_EXTENT = 50_000, 80.0, 100_000.0
@@ -61,13 +61,13 @@ def distances(pairs: DataFrame, course: str, track: str) -> DataFrame:
     return d.withColumns({"offsets": F.col("_near.offsets"), "coverage": F.col("_near.coverage")}).drop("_near")
 
 
-def audit(pairs: DataFrame, delta: float) -> DataFrame:
+def audit(pairs: DataFrame, delta: float, deal_by: str | None = None) -> DataFrame:
     """pairs of course and track (array<struct<lat,lon>>) with problem, verdict, reasons, glitches and checks.
 
     Both are projected to a plane around the middle of their common box. The course is simplified within a quarter of
     delta, long tracks are thinned. on_course: nothing to delete; on_course_after_cleaning: a few fixes deleted;
     off_course, with reasons; pairs that can't be audited keep only a problem. glitches and off_corridor name fixes of
-    the whole track.
+    the whole track. deal_by names a column that spreads the pairs over the kernels' tasks; without it they are dealt in turn.
     """
     if not LEAST_DELTA <= delta <= MOST_DELTA:
         raise ValueError(f"delta must be from {LEAST_DELTA:g} to {MOST_DELTA:g} metres")
@@ -83,6 +83,8 @@ def audit(pairs: DataFrame, delta: float) -> DataFrame:
     reasons = (fix_problems(F.col("course"), "course"), fix_problems(F.col("track"), "track"), F.when(wide, f"the two span more than {MOST_EXTENT / 1000:g} km"))
     d = d.withColumn("problem", F.coalesce(*reasons)).drop("_box")
     refused, d = d.where("problem is not null").select(*pairs.columns, "problem"), d.where("problem is null")
+    # Rows are small and kernels costly: a stated number of partitions, which adaptive execution leaves alone.
+    d = deal(d, *([deal_by] if deal_by else []))
     xy = lambda c: F.transform(c, lambda p: C.to_xy(p["lat"], p["lon"], F.col("lat0"), F.col("lon0")))
     d = d.withColumns({"_r": xy("course"), "_o": xy("track")})
     d = d.withColumn("scale_error", C.projection_scale_error(F.transform(both, lambda p: p["lat"]), F.col("lat0")))

@@ -6,7 +6,7 @@ import json
 import tomllib
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.functions import curves as C
@@ -87,11 +87,25 @@ def write_run(outcomes: DataFrame, summary: DataFrame, folder: str) -> None:
     summary.write.mode("overwrite").json(f"{folder}/summary", ignoreNullFields=False)
 
 
+def read_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, summary) of a run that write_run left; fails if either lacks a field the report needs."""
+    found = spark.read.json(f"{folder}/per_query"), spark.read.json(f"{folder}/summary")
+    for d, needed in zip(found, (("query_id", "method", "abstained"), _REQUIRED), strict=True):
+        if missing := [c for c in needed if c not in d.columns]:
+            raise ValueError(f"the run lacks {missing}")
+    return found
+
+
+def kind_counts(gallery: DataFrame) -> DataFrame:
+    """kind, n: routes of each kind."""
+    return gallery.groupBy("kind").agg(F.count("*").alias("n"))
+
+
 _REQUIRED = ("method", "n_queries", "coverage", "hit1_strict", "hit1_expected", "hit1_optimistic", "rr_strict", "rr_expected", "rr_optimistic")
 
 
-def report(summary: DataFrame, title: str = "Retrieval") -> str:
-    """Markdown of a summary (one row a method), best strict hit first; fails if a field is missing."""
+def report(summary: DataFrame, title: str = "Retrieval", gallery: DataFrame | None = None) -> str:
+    """Markdown of a summary (one row a method), best strict hit first, with the gallery's routes by kind; fails if a field is missing."""
     missing = [c for c in _REQUIRED if c not in summary.columns]
     if missing:
         raise ValueError(f"the summary lacks {missing}")
@@ -100,7 +114,10 @@ def report(summary: DataFrame, title: str = "Retrieval") -> str:
         raise ValueError("the summary has empty fields")
     number = lambda x: x if isinstance(x, str) else str(x) if isinstance(x, int) else f"{x:.3f}"
     lines = [f"# {title}", "", "| " + " | ".join(_REQUIRED) + " |", "|" + "-|" * len(_REQUIRED)]
-    return "\n".join(lines + ["| " + " | ".join(number(r[c]) for c in _REQUIRED) + " |" for r in rows]) + "\n"
+    lines += ["| " + " | ".join(number(r[c]) for c in _REQUIRED) + " |" for r in rows]
+    if gallery is not None:
+        lines += ["", "| kind | routes |", "|-|-|", *[f"| {r.kind} | {r.n} |" for r in kind_counts(gallery).orderBy("kind").collect()]]
+    return "\n".join(lines) + "\n"
 
 
 def result_json(columns: list[str]) -> Column:

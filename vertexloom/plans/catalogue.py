@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions import corruptions, grids
 from vertexloom.functions import curves as C
-from vertexloom.operators import continuous, edits, gallery, measures, retrieval
+from vertexloom.operators import continuous, edits, gallery, measures
 from vertexloom.session import deal
 
 DELTA, EPS, GRID, SEED = 100.0, 50000.0, 16, 7
@@ -93,21 +93,10 @@ def _witness(mode: str):
 
 def q_continuous_delete(spark, sf_dir):
     pairs = deal(neighbours(order_curves(spark, sf_dir)), "ref_id")
-    got = edits.continuous_edits(pairs, "ref", "obs", EPS, witness=True, max_deletions=8)
+    got = edits.continuous_edits(pairs, "ref", "obs", EPS, witness=True)
     return got.select("ref_id", "obs_id", "status", _big(F.col("cost")).alias("cost"), _big(F.size("edits")).alias("n_edits"))
 
 
-def q_retrieval(spark, sf_dir):
-    """Each customer of fewer than 5 orders is looked up among the curves of its nation by discrete distance; the next customer counts as relevant."""
-    c = order_curves(spark, sf_dir).join(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey"), "id")
-    q = c.where(F.size("pts") < 5).select(F.col("id").alias("query_id"), F.col("pts").alias("q"), "c_nationkey")
-    scored = q.join(c.select(F.col("id").alias("template_id"), "pts", "c_nationkey"), "c_nationkey").where("query_id <> template_id")
-    scored = scored.select("query_id", F.lit("edr").alias("method"), "template_id", C.edr(F.col("pts"), F.col("q"), EPS).cast("double").alias("score"))
-    relevant = scored.groupBy("query_id").agg(F.min("template_id").alias("template_id"))
-    out = retrieval.outcomes(scored, relevant)
-    return out.select("query_id", "top1", _big(F.col("n_scored")).alias("n_scored"), "top1_score", *[_r6(F.col(x)).alias(x) for x in ("hit1_strict", "hit1_optimistic", "rr_strict", "rr_optimistic")])
-
-
 def plane_curves(spark, sf_dir):
     """Per user (hours since the first event, value)."""
     e = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
@@ -163,7 +152,7 @@ def q_continuous_frechet(spark, sf_dir):
 
 def q_continuous_within(spark, sf_dir):
     pairs = deal(neighbours(order_curves(spark, sf_dir)), "ref_id")
-    return continuous.within(pairs, "ref", "obs", EPS).select("ref_id", "obs_id", F.col("within"))
+    return continuous.checked(continuous.within(pairs, "ref", "obs", EPS), "ref", "obs", EPS).select("ref_id", "obs_id", "within", "checked")
 
 
 def q_status_counts(spark, sf_dir):
@@ -219,7 +208,6 @@ QUERIES = {
     "q_free_space_grid": _grid("free"),
     "q_reachable_grid": _grid("reach"),
     "q_grid_path": _grid("path"),
-    "q_retrieval": q_retrieval,
     "q_haversine": q_haversine,
 }
 
@@ -350,11 +338,18 @@ ORACLES["q_free_space_grid"] = f"""WITH c AS ({_SAMPLED}) SELECT a.id AS ref_id,
   CAST(list_sum(list_transform(b.v, lambda y: len(list_filter(a.v, lambda x: abs(y - x) <= {EPS})))) AS BIGINT) AS n_free FROM c a JOIN c b ON b.id = a.id + 1"""
 ORACLES["q_reachable_grid"] = _dp(_SAMPLED, f"CASE WHEN {_MATCH} THEN greatest({_MIN3.replace('least', 'greatest')}, 0) ELSE 0 END", "0", "0", "cur[m + 1]", "corner", head0="1", kind="BIGINT")
 
-_NATION_PAIRS = """SELECT q.id * 1000000000 + t.id AS ref_id, t.id AS obs_id, t.v AS r, q.v AS o FROM c q JOIN customer cq ON cq.c_custkey = q.id
-  JOIN customer ct ON ct.c_nationkey = cq.c_nationkey JOIN c t ON t.id = ct.c_custkey WHERE len(q.v) < 5 AND q.id <> t.id"""
-_EDR = _dp(_ORDERS, f"least(prev2[i2] + CASE WHEN {_MATCH} THEN 0 ELSE 1 END, prev2[i2 + 1] + 1, cur[i2] + 1)", "prev2[1] + 1", "cur[i2] + 1", "cur[m + 1]", "d", head0="0", kind="BIGINT", pairs=_NATION_PAIRS)
-ORACLES["q_retrieval"] = f"""WITH s AS (SELECT ref_id // 1000000000 AS query_id, obs_id AS t, d FROM ({_EDR})),
-  rel AS (SELECT query_id, arg_min(d, t) AS d FROM s GROUP BY query_id),
-  g AS (SELECT query_id, count(*) AS n_scored, min(s.d) AS top1_score, arg_min(t, (s.d, t)) AS top1, count_if(s.d < rel.d) AS before, count_if(s.d = rel.d) AS size FROM s JOIN rel USING (query_id) GROUP BY query_id)
-  SELECT CAST(query_id AS BIGINT) AS query_id, top1, n_scored, CAST(top1_score AS DOUBLE) AS top1_score, CASE WHEN before + size <= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit1_strict,
-    CASE WHEN before + 1 <= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit1_optimistic, round(1.0 / (before + size), 6) AS rr_strict, round(1.0 / (before + 1), 6) AS rr_optimistic FROM g"""
+# Free parts of an edge a-b around c are [lo, hi]; h and v are where the reachable part of the edges that end in a grid vertex begins.
+_ENDS = lambda a, b, c: [f"({c} {sign} {EPS} - {a}) / nullif({b} - {a}, 0)" for sign in "-+"]
+_LO = lambda a, b, c: f"CASE WHEN {a} = {b} THEN CASE WHEN abs({a} - {c}) <= {EPS} THEN 0 ELSE {_INFTY} END ELSE greatest(0, least({', '.join(_ENDS(a, b, c))})) END"
+_HI = lambda a, b, c: f"CASE WHEN {a} = {b} THEN 1 ELSE least(1, greatest({', '.join(_ENDS(a, b, c))})) END"
+_ONWARD = lambda edge, beside, along: f"CASE WHEN ({_LO(*edge)}) > ({_HI(*edge)}) THEN {_INFTY} WHEN {beside} < {_INFTY} THEN {_LO(*edge)} WHEN {along} < {_INFTY} AND greatest({along}, {_LO(*edge)}) <= ({_HI(*edge)}) THEN greatest({along}, {_LO(*edge)}) ELSE {_INFTY} END"
+_NEAR_ALL = lambda xs, y: f"CASE WHEN len(list_filter({xs}, lambda x: abs(x - {y}) > {EPS})) = 0 THEN 0 ELSE {_INFTY} END"
+_H = f"CASE WHEN i2 = 1 THEN {_INFTY} WHEN j2 = 1 THEN {_NEAR_ALL('r[1:i2 - 1]', 'q')} ELSE {_ONWARD(('r[i2 - 1]', 'p', 'q'), 'cur[i2].v', 'prev2[i2 + 1].h')} END"
+_V = f"CASE WHEN j2 = 1 THEN {_INFTY} WHEN i2 = 1 THEN {_NEAR_ALL('o[1:j2 - 1]', 'p')} ELSE {_ONWARD(('o[j2 - 1]', 'q', 'p'), 'prev2[i2 + 1].h', 'cur[i2].v')} END"
+_NOWHERE = f"{{'h': {_INFTY}, 'v': {_INFTY}}}"
+_WITHIN = f"CASE WHEN m = 1 THEN len(list_filter(o, lambda x: abs(x - r[1]) > {EPS})) = 0 WHEN n = 1 THEN len(list_filter(r, lambda x: abs(x - o[1]) > {EPS})) = 0 ELSE abs(r[1] - o[1]) <= {EPS} AND abs(r[m] - o[n]) <= {EPS} AND (cur[m + 1].h < {_INFTY} OR cur[m + 1].v < {_INFTY}) END"
+ORACLES["q_continuous_within"] = "SELECT *, within AS checked FROM (" + _dp(_ORDERS, f"{{'h': {_H}, 'v': {_V}}}", _NOWHERE, _NOWHERE, _WITHIN, "within", k=_NOWHERE, k0=_NOWHERE, head0=_NOWHERE, kind="STRUCT(h DOUBLE, v DOUBLE)") + ")"
+
+#: Customers whose key is divisible by 100 against all others.
+_ASKED = "SELECT q.id * 1000000000 + t.id AS ref_id, t.id AS obs_id, t.v AS r, q.v AS o FROM c q JOIN c t ON q.id % 100 = 0 AND q.id <> t.id"
+_EDR_SQL = _dp(_ORDERS, f"least(prev2[i2] + CASE WHEN {_MATCH} THEN 0 ELSE 1 END, prev2[i2 + 1] + 1, cur[i2] + 1)", "prev2[1] + 1", "cur[i2] + 1", "cur[m + 1]", "d", head0="0", kind="BIGINT", pairs=_ASKED)
