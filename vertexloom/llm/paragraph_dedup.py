@@ -26,7 +26,7 @@ SHINGLE = 5
 #: A passage has over 50 words; HALF is the most that fits on one side of an anchor in every run of PASSAGE words.
 PASSAGE, HALF = 51, 26
 #: Words that an anchored paragraph can miss of a run on one side; BLOCK words' surroundings are kept together.
-REACH, BLOCK = PASSAGE - HALF, 64
+REACH, BLOCK = PASSAGE - HALF, 256
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -91,20 +91,27 @@ class Paragraphs:
                     got.append(mix(np.minimum.reduceat(mix(pad * a), edges)[::2] ^ a))
             self.bands = np.array(got)
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Band keys, and the paragraph of each."""
-        every = np.arange(len(self.first))
-        return np.concatenate([self.bands.ravel(), self.content[self.lines :]]), np.concatenate([np.tile(every[: self.lines], len(self.bands)), every[self.lines :]])
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct band keys in order, and in how many documents of the chunk each stands."""
-        key, at = self.keys()
-        doc = self.doc[at]
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
+    def line_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Band keys of lines, and the line of each."""
+        return self.bands.ravel(), np.tile(np.arange(self.lines), len(self.bands))
+
+    def anchored_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Contents of anchored paragraphs, and the paragraph of each."""
+        return self.content[self.lines :], np.arange(self.lines, len(self.first))
+
+    def distinct(self, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys in order; of each the content of one paragraph, and flags: 1 two documents or more, 2 two contents or more."""
+        doc, content = self.doc[at], self.content[at]
+        order = np.lexsort((content, key))
+        key, doc, content = key[order], doc[order], content[order]
         new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        return np.unique(key[new], return_counts=True)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        if not len(first):
+            return key, content, np.zeros(0, np.uint8)
+        several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        last = np.append(first[1:], len(key)) - 1
+        return key[first], content[first], several + 2 * (content[first] != content[last]).astype(np.uint8)
 
     def set_of(self, p: int) -> np.ndarray:
         return np.unique(self.shingles[self.first[p] : self.end[p] - SHINGLE + 1])
@@ -120,39 +127,63 @@ def _stretches(marked: np.ndarray, first_word: np.ndarray) -> np.ndarray:
     return np.column_stack([np.flatnonzero(begins), np.flatnonzero(ends) + 1])
 
 
+_SAID = "bucket long, cid long, lines boolean, key binary, content binary, flags binary"
+_ANSWER = "cid long, bucket long, lines boolean, n long, bits binary, apart binary"
+
+
 def _announce(bands: int, count: int):
+    """Distinct keys of a chunk by bucket; those of lines with the content of one line of each."""
+
     def run(batches):
         import pyarrow as pa
 
         for cid, docs, _ in items(batches):
-            keys, many = Paragraphs(docs.field("text"), bands).distinct()
-            got = bounds(bucket_of(keys, count))
-            blob = lambda x: pa.array([x[a:b].tobytes() for _, a, b in got], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([cid] * len(got), pa.int64()), blob(keys), blob((many > 1).astype(np.uint8))], ["bucket", "cid", "key", "many"])
+            p = Paragraphs(docs.field("text"), bands)
+            for lines in (True, False):
+                keys, content, flags = p.distinct(*(p.line_keys() if lines else p.anchored_keys()))
+                got = bounds(bucket_of(keys, count))
+                blob = lambda x: pa.array([x[a:b].tobytes() for _, a, b in got], pa.binary())  # noqa: B023, E731
+                told = blob(content) if lines else pa.nulls(len(got), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([cid] * len(got), pa.int64()), pa.array([lines] * len(got), pa.bool_()), blob(keys), told, blob(flags.astype(np.uint8))], ["bucket", "cid", "lines", "key", "content", "flags"])
 
     return run
 
 
 def _repeated(t):
-    """A bit for each key: whether it stands in two documents or more."""
+    """Two bits for each key: whether it stands in two documents or more, and whether paragraphs of two contents or more have it."""
     import pyarrow as pa
 
-    keys = np.frombuffer(b"".join(t.column("key").to_pylist()), np.uint64)
-    many = np.frombuffer(b"".join(t.column("many").to_pylist()), np.uint8)
-    order = np.argsort(keys, kind="stable")
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[order[1:]] != keys[order[:-1]]
-    kind = np.cumsum(new) - 1
-    bits = np.empty(len(keys), np.uint8)
-    bits[order] = (np.bincount(kind, weights=1 + many[order]) > 1)[kind]
-    cuts = np.append(0, np.cumsum([len(x) // 8 for x in t.column("key").to_pylist()]))
-    return pa.table({"cid": t.column("cid"), "bucket": t.column("bucket"), "n": pa.array(np.diff(cuts), pa.int64()), "bits": pa.array([np.packbits(bits[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
-
+    lines = t.column("lines").to_numpy()
+    parts = []
+    for kind in (True, False):
+        some = t.filter(pa.array(lines == kind))
+        join = lambda c, as_: np.frombuffer(b"".join(some.column(c).to_pylist()), as_)  # noqa: B023, E731
+        keys, flags = join("key", np.uint64), join("flags", np.uint8)
+        content = join("content", np.uint64) if kind else keys
+        order = np.argsort(keys, kind="stable")
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[order[1:]] != keys[order[:-1]]
+        first = np.flatnonzero(new)
+        place = np.cumsum(new) - 1
+        bits, apart = np.zeros(len(keys), np.uint8), np.zeros(len(keys), np.uint8)
+        if len(first):
+            c, f = content[order], flags[order]
+            times = np.add.reduceat(1 + (f & 1).astype(np.int64), first)
+            bits[order] = (times > 1)[place]
+            apart[order] = ((np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)) | (np.maximum.reduceat(f, first) > 1))[place]
+        cuts = np.append(0, np.cumsum([len(x) // 8 for x in some.column("key").to_pylist()]))
+        packed = lambda x: pa.array([np.packbits(x[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())  # noqa: B023, E731
+        parts.append(pa.table([some.column("cid"), some.column("bucket"), some.column("lines"), pa.array(np.diff(cuts), pa.int64()), packed(bits), packed(apart) if kind else pa.nulls(some.num_rows, pa.binary())], ["cid", "bucket", "lines", "n", "bits", "apart"]))
+    return pa.concat_tables(parts)
+
+
+def _bits(answers, lines: bool, name: str) -> np.ndarray:
+    """The bits of a chunk's keys of lines or anchored paragraphs, in order of the keys."""
+    import pyarrow as pa
 
-def _bits(answers) -> np.ndarray:
-    """The bits of a chunk's keys, in order of the keys."""
-    got = sorted(zip(*(answers.column(c).to_pylist() for c in ("bucket", "n", "bits")), strict=True))
-    return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for _, n, x in got]) if got else np.zeros(0, np.uint8)
+    some = answers.filter(pa.array(answers.column("lines").to_numpy() == lines)) if answers.num_rows else answers
+    got = sorted(zip(*(some.column(c).to_pylist() for c in ("bucket", "n", name)), strict=True))
+    return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for _, n, x in got]).astype(bool) if got else np.zeros(0, bool)
 
 
 HITS = "cid long, row int, word int, n int, content long, u boolean, doc_id long, shingles binary, bands binary, around binary"
@@ -161,21 +192,25 @@ HITS = "cid long, row int, word int, n int, content long, u boolean, doc_id long
 def _colliding(bands: int):
     """A row for each paragraph of which a band is repeated, and one (content null, word the block) for the words around their ends.
 
-    The shingles of a line go with its first occurrence in the chunk alone.
+    The shingles of a line go with its first occurrence in the chunk alone, and only if a line of another content has one of its bands.
     """
 
     def work(cid, docs, answers):
         import pyarrow as pa
 
         p = Paragraphs(docs.field("text"), bands)
-        key, at = p.keys()
-        bits = _bits(answers).astype(bool)
-        hit = np.unique(at[bits[np.searchsorted(p.distinct()[0], key)]]) if len(key) else np.zeros(0, np.int64)
         begin = p.words.first_word
-        lines = hit[hit < p.lines]
+
+        def told(of_lines: bool, name: str) -> np.ndarray:
+            key, at = p.line_keys() if of_lines else p.anchored_keys()
+            return np.unique(at[_bits(answers, of_lines, name)[np.searchsorted(p.distinct(key, at)[0], key)]]) if len(key) else at
+
+        lines = told(True, "bits")
+        hit = np.concatenate([lines, told(False, "bits")])
         _, once = np.unique(p.content[lines], return_index=True)
         shown = np.zeros(len(lines), bool)
         shown[once] = True
+        shown &= np.isin(lines, told(True, "apart"))
         sets = [p.set_of(x).tobytes() if s else None for x, s in zip(lines, shown, strict=True)]
         vals = [p.bands[:, x].tobytes() if s else None for x, s in zip(lines, shown, strict=True)]
         places = np.concatenate([p.first[hit], p.end[hit]]) - np.tile(begin[p.doc[hit]], 2)
@@ -294,13 +329,15 @@ def _links(ws: Workspace, hits: DataFrame, bands: int, block: int, num: int, den
     kinds = ws.keep(hits.where("shingles is not null").groupBy("content").agg(F.min(F.struct("shingles", "bands")).alias("x")).select("content", "x.*"), "kinds")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.substring(F.col("bands"), i * 8 + 1, F.lit(8)))))
     banded = kinds.select("content", band.alias("band"))
-    sizes = banded.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band", F.ceil(F.col("k") / block).cast("long").alias("parts"))
+    # Copies with few changes share all bands; bands of the same lines are looked at once.
+    sizes = banded.groupBy("band").agg(F.count("*").alias("k"), F.sum(F.xxhash64("content").cast("decimal(38,0)")).alias("h")).where("k > 1")
+    sizes = ws.keep(sizes.groupBy("k", "h").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("k") / block).cast("long").alias("parts")), "sizes")
     put = banded.join(sizes, "band").join(kinds.select("content", "shingles"), "content").withColumn("own", F.pmod(F.xxhash64("content"), F.col("parts")))
     put = put.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
     put = put.select("content", "shingles", side.alias("side"), "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     links = ws.keep(put.groupBy("band", "lo", "hi").applyInArrow(_verify(num, den), "a long, b long").distinct(), "links", 1024)
-    ws.drop(kinds)
+    ws.drop(kinds, sizes)
     ws.tidy()
     return links
 
@@ -357,8 +394,8 @@ def repeated_passages(docs: DataFrame, num: int = 4, den: int = 5, bands: int =
     rest = F.struct(*others) if others else F.struct(F.lit(None).cast("string").alias("none"))
     chunks = chunked(ws, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest")))
     count = buckets_for(chunks)
-    said = chunks.select("cid", "items").mapInArrow(_announce(bands, count), "bucket long, cid long, key binary, many binary")
-    answers = ws.keep(said.groupBy("bucket").applyInArrow(_repeated, "cid long, bucket long, n long, bits binary"), "answers", AT_ONCE)
+    said = chunks.select("cid", "items").mapInArrow(_announce(bands, count), _SAID)
+    answers = ws.keep(said.groupBy("bucket").applyInArrow(_repeated, _ANSWER), "answers", AT_ONCE)
     ws.tidy()
     hits = ws.keep(beside(chunks, answers, _colliding(bands), HITS), "hits")
     ws.drop(answers)
