@@ -4,10 +4,11 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vertexloom.llm import ann, mixing, near_dedup, packing, paragraph_dedup, quality, substring_exact, token_counts, toxicity, warc
+from vertexloom.llm import ann, mixing, near_dedup, packing, paragraph_dedup, quality, substring_exact, textblocks, token_counts, toxicity, warc
 from vertexloom.llm.queries import tokenizer_file
 
 RNG = random.Random(1)
@@ -56,18 +57,51 @@ def test_pipeline_near_copies(spark):
     assert {r.doc_id for r in kept} == expected
 
 
-def test_substrings(docs, empty):
-    rows = substring_exact.remove_repeats(docs.dropDuplicates(["doc_id"]), 40).collect()
-    data = [(t or "").encode() for t in TEXTS]
-    seen = Counter(t[i : i + 40] for t in data for i in range(len(t) - 39))
-    for r in rows:
-        t, gone = data[r.doc_id], [False] * len(data[r.doc_id])
-        for i in range(len(t) - 39):
-            if seen[t[i : i + 40]] > 1:
-                gone[i : i + 40] = [True] * 40
-        left = bytes(c for c, g in zip(t, gone, strict=True) if not g)
-        assert (r.n_bytes, r.n_removed, r.kept_sha256) == (len(t), sum(gone), hashlib.sha256(left).hexdigest())
+def substrings(data, length):
+    """By id: (bytes, removed, digest of the rest), every string looked up."""
+    seen = Counter(t[i : i + length] for _, t in data for i in range(len(t) - length + 1))
+    for k, t in data:
+        gone = [False] * len(t)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = [True] * length
+        yield k, len(t), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest()
+
+
+def equal_substrings(df, length):
+    data = [(r.doc_id, (r.text or "").encode()) for r in df.select("doc_id", "text").collect()]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_exact.remove_repeats(df, length).collect())
+    assert got == Counter(substrings(data, length))
+
+
+def test_substrings(docs, empty, spark):
+    equal_substrings(docs, 40)  # a repeated row among them
+    equal_substrings(docs, 200)
     assert substring_exact.remove_repeats(empty).count() == 0
+    rng = random.Random(4)
+    draw = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    common = [draw(n) for n in (150, 199, 200, 201, 230, 420)]
+    rows = [(None, draw(300)), (0, None), (0, "")] + [(10 * k + j, draw(rng.randrange(260)) + c + draw(rng.randrange(260))) for k, c in enumerate(common) for j in range(4)]
+    rows += [(100 + j, common[1][40:] + common[5][:60] + draw(40)) for j in range(3)] + [(200, "ab" * 900), (201, draw(90) + "ab" * 300)]
+    equal_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 200)
+
+
+def test_texts_made_for_equal_sums(spark):
+    odd = ["".join("ab"[bin(i).count("1") & 1 ^ f] for i in range(2048)) for f in (0, 1)]
+    blocks = ["x" * 40 + t + "y" * 40 for t in odd]
+    equal_substrings(spark.createDataFrame(list(enumerate(blocks)), "doc_id long, text string"), 200)
+    hashes = [textblocks.Hasher(np.frombuffer(t.encode(), np.uint8), strong=True) for t in odd]
+    ends = np.array([0]), np.array([2048])
+    assert hashes[0].spans(*ends) == hashes[1].spans(*ends) and hashes[0].strong_spans(*ends) != hashes[1].strong_spans(*ends)
+
+
+def test_prefix_ranks():
+    rng = random.Random(6)
+    for length in (1, 5, 8, 9, 20, 200):
+        t = bytes(rng.choices(b"ab", k=500)) + b"a" * 300
+        keys = [t[i : i + length] for i in range(len(t) - length + 1)]
+        rank = substring_exact.prefix_ranks(np.frombuffer(t, np.uint8), length)[: len(keys)]
+        assert np.unique(rank, return_inverse=True)[1].tolist() == [sorted(set(keys)).index(k) for k in keys]
 
 
 def test_packing(docs, empty):
@@ -194,8 +228,6 @@ def test_warc_ranges(tmp_path):
 
 
 def test_ann(spark):
-    import numpy as np
-
     x = np.random.default_rng(2).normal(size=(1500, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1500, None), (1501, [0.0] * 16), (1502, [float("nan")] * 16), (1503, x[0].tolist())]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

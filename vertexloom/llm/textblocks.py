@@ -21,6 +21,22 @@ _GAP[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
+#: A prime below 2^31, so that products of two residues fit in 64 bits.
+PRIME = np.uint64(2147483629)
+BYTE_RESIDUE = _RNG.integers(1, 2147483629, 256, dtype=np.uint64)
+_BASE = int(_RNG.integers(2, 2147483628))
+
+
+def _residues(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base modulo PRIME, and of its inverse."""
+    if "r" not in _powers or len(_powers["r"]) < n:
+        size = 1 << max(16, int(n - 1).bit_length())
+        for key, base in (("r", _BASE), ("b", pow(_BASE, -1, int(PRIME)))):
+            x = np.ones(1, np.uint64)
+            while len(x) < size:
+                x = np.concatenate([x, x * np.uint64(pow(base, len(x), int(PRIME))) % PRIME])
+            _powers[key] = x
+    return _powers["r"][:n], _powers["b"][:n]
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,19 +100,31 @@ class Words:
 
 
 class Hasher:
-    """64-bit hashes of any spans of a byte string, from one pass of prefix sums."""
+    """64-bit hashes of any spans of a byte string, from one pass of prefix sums.
 
-    def __init__(self, buf: np.ndarray):
+    Sums modulo 2^64 alone give equal values to some texts made for it; strong spans are mixed with a sum modulo a prime,
+    whose base is no power-of-two matter, so such texts differ too.
+    """
+
+    def __init__(self, buf: np.ndarray, strong: bool = False):
         f, self.inv = _power(len(buf) + 1)
         with np.errstate(over="ignore"):
             self.sums = np.zeros(len(buf) + 1, np.uint64)
             np.cumsum(BYTE_CODE[buf] * f[: len(buf)], out=self.sums[1:])
+        if strong:
+            f, self.back = _residues(len(buf) + 1)
+            self.rests = np.zeros(len(buf) + 1, np.uint64)
+            np.cumsum(BYTE_RESIDUE[buf] * f[: len(buf)] % PRIME, out=self.rests[1:])
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             h = (self.sums[end] - self.sums[start]) * self.inv[start]
             return mix(h + (end - start).astype(np.uint64) * PLACE[16])
 
+    def strong_spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        rest = (self.rests[end] - self.rests[start]) % PRIME * self.back[start] % PRIME
+        return mix(self.spans(start, end) ^ mix(rest))
+
 
 def shingles(w: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k consecutive words of one document; with fewer words, one of them all; none without words."""
