@@ -239,10 +239,10 @@ def _colliding(bands: int):
 
 
 def _verify(num: int, den: int):
-    """Pairs of different paragraphs of a band (or pair of its blocks) with enough in common.
+    """Links of different paragraphs of a band (or pair of its blocks) with enough in common: a spanning forest, so fewer than paragraphs.
 
     Only pairs that share one of the least (1 - num/den) of either set can reach the threshold, so an
-    index of those finds all without comparing every pair.
+    index of those finds all without comparing every pair; pairs that links connect already aren't compared.
     """
 
     def run(t):
@@ -250,19 +250,27 @@ def _verify(num: int, den: int):
 
         ids, side = t.column("content").to_numpy(), t.column("side").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        parent = list(range(len(sets)))
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
         index: dict[int, list[int]] = {}
-        pairs = set()
+        links = []
         for i in np.argsort([len(s) for s in sets], kind="stable"):
             s = sets[i]
             front = s[: len(s) - -(-num * len(s) // den) + 1].tolist()
             for j in {j for x in front for j in index.get(x, ())}:
-                if ids[i] != ids[j] and (side[i] == 2 or side[i] != side[j]) and den * len(sets[j]) >= num * len(s):
+                if ids[i] != ids[j] and (side[i] == 2 or side[i] != side[j]) and den * len(sets[j]) >= num * len(s) and top(i) != top(j):
                     both = len(np.intersect1d(s, sets[j], assume_unique=True))
                     if den * both >= num * (len(s) + len(sets[j]) - both):
-                        pairs.add((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+                        parent[top(i)] = top(j)
+                        links.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
             for x in front:
                 index.setdefault(x, []).append(i)
-        both = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        both = np.array(sorted(links), np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
 
     return run
