@@ -114,7 +114,8 @@ class Paragraphs:
         return key[first], content[first], several + 2 * (content[first] != content[last]).astype(np.uint8)
 
     def set_of(self, p: int) -> np.ndarray:
-        return np.unique(self.shingles[self.first[p] : self.end[p] - SHINGLE + 1])
+        """The shingles of a paragraph, 32 bits each."""
+        return np.unique((self.shingles[self.first[p] : self.end[p] - SHINGLE + 1] >> np.uint64(32)).astype(np.uint32))
 
 
 def _stretches(marked: np.ndarray, first_word: np.ndarray) -> np.ndarray:
@@ -249,7 +250,7 @@ def _verify(num: int, den: int):
         import pyarrow as pa
 
         ids, side = t.column("content").to_numpy(), t.column("side").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        sets = [np.frombuffer(x, np.uint32) for x in t.column("shingles").to_pylist()]
         parent = list(range(len(sets)))
 
         def top(x: int) -> int:
@@ -361,7 +362,7 @@ def _drops(ws: Workspace, hits: DataFrame, comp: DataFrame) -> DataFrame:
     marked = occ.join(firsts, "kind").where(F.col("who") != F.col("keep.who")).select("cid", "row", "word", "n", "kind")
     place, end = W.partitionBy("cid", "row").orderBy("word", "n"), F.col("word") + F.col("n")
     ahead = F.max(end).over(place.rowsBetween(W.unboundedPreceding, -1))
-    behind = F.min("word").over(place.rowsBetween(1, W.unboundedFollowing))
+    behind = F.lead("word").over(place)
     marked = marked.withColumns({"left": F.coalesce(ahead < F.col("word"), F.lit(True)), "right": F.coalesce(behind > end, F.lit(True))})
     marked = ws.keep(marked, "marked")
     side = lambda i, at: F.struct(F.lit(i).alias("side"), at.alias("at"))
@@ -385,7 +386,7 @@ def _drops(ws: Workspace, hits: DataFrame, comp: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, num: int = 4, den: int = 5, bands: int = 4, block: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, n_spans, text and rest (docs' other columns in a struct), one row per row of docs.
 
-    Lines link with a Jaccard of at least num/den of their 5-word shingles, anchored paragraphs if they are equal, both in lower
+    Lines link with a Jaccard of at least num/den of their 5-word shingles (hashes of 32 bits), anchored paragraphs if they are equal, both in lower
     case. Of a component that stands in two documents or more, the first (smallest doc_id, null last) keeps
     its occurrences; in the others they are marked, and ends at which no other goes on move outward over the words that the kept
     occurrence has there too, 25 at most. Marked runs of 51 words or more are removed, with the white space after them.
