@@ -127,12 +127,26 @@ def test_token_counts(docs, spark, tmp_path):
     assert spark.read.parquet(cache).count() == len({x or "" for x in TEXTS})
 
 
-def test_quality(docs, empty):
-    for r in quality.quality(docs).collect():
-        w = found(TEXTS[r.doc_id])
+LINES = ["(Click here) to go on with this page and see all of it today.", "[Skip to content]", "TERMS OF SERVICE apply to all that is on this page, as they do elsewhere.", "Politique de confidentialité", "home | about | news | contact", "what! no! why! how! this", "## $$ one", "A title without an end", "A sentence of its own.", 'He said "no."', "", "\t"]
+
+
+def test_quality(docs, empty, spark):
+    from test_pipeline import line_goes
+
+    body = "\n".join(" ".join(RNG.choices(WORDS, k=30)) + "." for _ in range(4))
+    more = [(100 + i, f"{body}\n{x}\n{body}") for i, x in enumerate(LINES)] + [(200, "\n".join(LINES * 3)), (201, f"{body}\n" * 2 + " ".join(["x"] * 4)), (None, body), (202, "w " * 60_000)]
+    texts = dict(enumerate(TEXTS)) | dict(more)
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    for r in quality.quality(every).collect():
+        t = texts[r.doc_id] or ""
+        w = found(t)
         c = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
-        assert (r.n_words, r.word_chars) == (len(w), sum(map(len, w)))
+        lines = [x for x in t.split("\n") if found(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) == (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)))
         assert r.n_repeat_words == len({j for i in range(len(w) - 4) if c[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)})
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+        left = "\n".join(x for x in t.split("\n") if not line_goes(x))
+        assert r.clean_text == left and r.kept == (not r.base_failed and 2 * len("".join(found(left))) >= r.word_chars)
     assert quality.quality(empty).count() == 0
 
 

@@ -42,12 +42,12 @@ def found(text):
 def line_goes(line):
     w, low = found(line), line.lower()
     seps = sum(x in ("|", "»", ">", "•", "/", "·") for x in w)
-    marked = any(f(k) in w for k in BOILERPLATE for f in (str.lower, str.title, str.upper))
-    return (
+    return bool(w) and (
         10 * sum(c in "#*$%&|<>" for c in line) > len(line)
         or (len(w) >= 4 and 2 * sum(c in "!?" for c in line) > len(w))
         or (seps >= 3 and 5 * seps > len(w))
-        or (len(w) < 40 and marked and any(p in low for p in BOILERPLATE.values()))
+        or (len(w) < 40 and any(p in low for p in BOILERPLATE))
+        or (len(w) < 12 and not re.search(r"""[.!?…:;,。！？]["'»”’)\]]*[\x20\x09-\x0D]*$""", line))
     )
 
 

@@ -14,26 +14,22 @@ from vertexloom.llm.base import WORD_GAP
 SYMBOLS = "#*$%&|<>"
 #: A line with a word.
 WORDED = "[^\\x20\\x09-\\x0D]"
-#: Fixed list: phrases of licence, cookie and site furniture lines, lower case, by a word that each must hold.
-BOILERPLATE = {
-    "rights": "all rights reserved",
-    "licensed": "licensed under",
-    "released": "released under the",
-    "terms": "terms of use",
-    "privacy": "privacy policy",
-    "cookie": "cookie policy",
-    "accept": "accept cookies",
-    "enable": "enable javascript",
-    "click": "click here",
-    "read": "read more",
-    "sign": "sign in",
-    "log": "log in",
-    "subscribe": "subscribe to our",
-    "share": "share this",
-    "skip": "skip to content",
-    "back": "back to top",
-    "lorem": "lorem ipsum",
-}
+#: Fixed list: phrases of licence, cookie and site furniture lines, in four languages.
+BOILERPLATE = (
+    "all rights reserved", "licensed under", "released under the", "terms of use", "terms of service", "privacy policy",
+    "cookie policy", "accept cookies", "enable javascript", "click here", "read more", "sign in", "log in", "subscribe to our",
+    "share this", "skip to content", "back to top", "lorem ipsum",
+    "alle rechte vorbehalten", "lizenziert unter", "nutzungsbedingungen", "datenschutzerklärung", "cookies akzeptieren", "hier klicken", "weiterlesen", "impressum",
+    "tous droits réservés", "sous licence", "conditions d'utilisation", "politique de confidentialité", "accepter les cookies", "cliquez ici", "lire la suite", "mentions légales",
+    "todos los derechos reservados", "bajo licencia", "términos de uso", "política de privacidad", "aceptar cookies", "haga clic aquí", "leer más", "aviso legal",
+)
+PHRASES = "(?iu)(?:" + "|".join(BOILERPLATE) + ")"
+#: Separators of menus, when they stand alone as words.
+SEPARATORS = ("|", "»", ">", "•", "/", "·")
+#: The end of a line that is a sentence, or leads to one.
+ENDED = "[.!?…:;,。！？][\"'»”’)\\]]*[\x20\x09-\x0D]*\\z"
+#: Without one of these and with a sentence's end, a line can fail by its phrases alone.
+MARKS = f"[{SYMBOLS}»•/·!?]"
 
 
 def let(value: Column, body) -> Column:
@@ -70,36 +66,26 @@ def repeated_words(ws: Column, k: int = 5) -> Column:
     return F.when(n > k, let(let(F.transform(ws, lambda w: F.xxhash64(w)), windows), judged)).otherwise(0)
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line of navigation, boilerplate, or hardly any words among symbols.
+def line_fails(line: Column, furnished: Column) -> Column:
+    """True for a line of navigation, boilerplate, shouting, or hardly any words among symbols. furnished: whether the text holds a boilerplate phrase at all.
 
-    Lines without a word don't count either way. A line fails if: it is short (under 40 words)
+    Lines without a word never fail. A line fails if: it is short (under 40 words)
     and holds a boilerplate phrase; it has 3 or more separators ('|', '»', '>' or '•') standing
     alone as words, over a fifth of its words; symbols are over a tenth of its characters;
-    most of its words end in '!' or '?' (at least 4 words).
+    most of its words end in '!' or '?' (at least 4 words); or it has under 12 words and doesn't end as sentences do.
     """
 
     def judged(ws: Column) -> Column:
         n, chars = F.size(ws), F.char_length(line)
-        boiler = (n < 40) & marked(ws) & let(F.lower(line), lambda low: F.exists(F.array(*[F.lit(b) for b in BOILERPLATE.values()]), lambda b: F.contains(low, b)))
-        seps = F.size(F.filter(ws, lambda w: w.isin("|", "»", ">", "•", "/", "·")))
+        boiler = (n < 40) & furnished & F.rlike(line, F.lit(PHRASES))
+        seps = F.size(F.filter(ws, lambda w: w.isin(*SEPARATORS)))
         navigation = let(seps, lambda k: (k >= 3) & (k * 5 > n))
         symbols = (chars - F.char_length(F.translate(line, SYMBOLS, ""))) * 10 > chars
         shouts = chars - F.char_length(F.translate(line, "!?", ""))
-        return symbols | ((n >= 4) & (shouts * 2 > n)) | navigation | boiler
+        return (n > 0) & (symbols | ((n >= 4) & (shouts * 2 > n)) | navigation | boiler | ((n < 12) & ~F.rlike(line, F.lit(ENDED))))
 
-    return let(words(line), judged)
-
-
-def marked(ws: Column) -> Column:
-    """Whether one of the words is that of a boilerplate phrase, in lower, title or upper case."""
-    keys = [f(w) for w in BOILERPLATE for f in (str.lower, str.title, str.upper)]
-    return F.arrays_overlap(ws, F.array(*[F.lit(k) for k in keys]))
-
-
-def may_fail(text: Column, ws: Column) -> Column:
-    """False only for texts none of whose lines can fail: what every rule needs is looked for in the whole text."""
-    return F.rlike(text, F.lit(f"[{SYMBOLS}»•/·!?]")) | marked(ws)
+    may = F.rlike(line, F.lit(MARKS)) | ~F.rlike(line, F.lit(ENDED)) | furnished
+    return F.when(may, let(words(line), judged)).otherwise(False)
 
 
 def gapless(text: Column) -> Column:
@@ -119,7 +105,7 @@ def _verdict(text: Column, most_lost: float) -> Column:
                 F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
                 worded.cast("long").alias("n_dup_lines"),
                 repeated_words(ws).cast("long").alias("n_repeat_words"),
-                F.when(may_fail(text, ws), F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x)), "\n")).alias("cleaned"),
+                let(F.rlike(text, F.lit(PHRASES)), lambda f: F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x, f)), "\n")).alias("cleaned"),
             ),
             judged,
         )

@@ -83,4 +83,32 @@ k AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS n, sha1(html) AS digest, m
 SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
 CASE WHEN n >= 1000 AND last <> page_id THEN last END AS refers_to FROM k"""
 
-ORACLES: dict[str, str] = {"op8_mixing": _OP8, "op10_warc": _OP10}
+_WORDS = lambda x: f"list_filter(regexp_split_to_array({x}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+_SEPS = ", ".join(_QUOTED(x) for x in quality.SEPARATORS)
+_SYMBOLS = f"len(regexp_extract_all({{}}, '[{quality.SYMBOLS}]'))"
+_OP6 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {_WORDS("t")} AS w FROM d),
+grams AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS times FROM (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w))),
+repeats AS (SELECT r, count(DISTINCT i + j) AS n FROM grams, (SELECT unnest(range(5)) AS j) WHERE times > 1 GROUP BY r),
+l AS (SELECT r, line, {_WORDS("line")} AS w FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
+worded AS (SELECT r, line, len(w) AS n, len(array_to_string(w, '')) AS chars, len(line) AS size, len(list_filter(w, lambda x: x IN ({_SEPS}))) AS seps, {_SYMBOLS.format("line")} AS symbols, len(regexp_extract_all(line, '[!?]')) AS shouts,
+  regexp_matches(line, {_QUOTED(quality.PHRASES.replace("(?iu)", "(?i)"))}) AS boiler, regexp_matches(line, {_QUOTED(quality.ENDED)}) AS ended FROM l WHERE len(w) > 0),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS dup, coalesce(sum(CASE WHEN symbols * 10 > size OR (n >= 4 AND shouts * 2 > n) OR (seps >= 3 AND seps * 5 > n) OR (n < 40 AND boiler) OR (n < 12 AND NOT ended) THEN 0 ELSE chars END), 0) AS kept_chars FROM worded GROUP BY r),
+v AS (SELECT doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(array_to_string(w.w, '')) AS BIGINT) AS word_chars, CAST({_SYMBOLS.format("t")} AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words, coalesce(kept_chars, 0) AS kept_chars
+  FROM w LEFT JOIN repeats USING (r) LEFT JOIN lines USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 2 * kept_chars >= word_chars AS kept FROM v"""
+
+#: op1: every pair that shares a shingle, and the closure of its links; for tables small enough to write out all such pairs.
+_OP1 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+c AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.c, doc_id) AS component_id, coalesce(c.c, doc_id) = doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = doc_id"""
+
+ORACLES: dict[str, str] = {"op1_near_dedup": _OP1, "op6_quality": _OP6, "op8_mixing": _OP8, "op10_warc": _OP10}
