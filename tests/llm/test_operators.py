@@ -256,3 +256,164 @@ def test_ann(spark):
         hits += len({r.vec_id for r in mine} & set(np.argsort(-row)[:10]))
     assert hits >= 0.9 * 150
     assert ann.search(v.limit(0), v.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids, repeated rows, nulls in every column, a very long text, and columns that clash with results."""
+    long = " ".join(RNG.choices(WORDS, k=150_000)) + "."
+    clash = ("doc_id2", "kept", "n_tokens", "target", "score", "piece", "rank", "component_id", "n_removed")
+    rows = [(None, BASE, "a"), (None, None, None), (1, BASE, "a"), (1, BASE, "a"), (2, long, "b"), (3, long, "b"), (4, "", None)]
+    return spark.createDataFrame([(*r, *[1] * len(clash)) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in clash)).repartition(3)
+
+
+def test_odd_rows_pass_every_operator(odd, spark, tmp_path):
+    byte, word = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("word_bpe_49k.json")
+    cache = f"file://{tmp_path}/cache"
+    near = near_dedup.near_duplicates(odd).collect()
+    assert len(near) == 7 and {r.component_id for r in near if r.doc_id in (2, 3)} == {2} and all(r.kept and r.component_id is None for r in near if r.doc_id is None)
+    counts = token_counts.count_tokens(odd, byte, cache).collect()
+    assert len(counts) == 7 and len({r.n_tokens for r in counts if r.doc_id in (2, 3)}) == 1 and {r.n_tokens for r in counts if r.doc_id == 4} == {0}
+    packed = packing.pack(odd, word).collect()
+    assert sum(r.piece == 0 for r in packed) == 7 and sum(r.length for r in packed if r.doc_id == 2) == sum(r.length for r in packed if r.doc_id == 3) > 150_000
+    assert quality.quality(odd).count() == 7
+    mixed = mixing.mix(odd).collect()
+    assert len(mixed) == 7 and all(0 <= r.taken <= 2 * r.size for r in mixed)
+    passages = {(r.doc_id, r.n_removed > 0) for r in paragraph_dedup.repeated_passages(odd).collect()}
+    assert (3, True) in passages and (2, False) in passages and (None, True) in passages
+    cut = substring_exact.remove_repeats(odd.where("doc_id is null or doc_id < 2 or doc_id = 4")).collect()
+    assert len(cut) == 5 and all(r.n_removed == r.n_bytes for r in cut)
+    assert toxicity.toxicity(odd, toxicity.Lexicon({" idiot ": 9.0})).count() == 7
+
+
+def test_empty_tables(empty, spark, tmp_path):
+    cache = f"file://{tmp_path}/cache"
+    assert token_counts.count_tokens(empty, tokenizer_file("byte_bpe_50k.json"), cache).count() == 0
+    lexicon = toxicity.learn(empty.select("text", F.lit(1).alias("toxic")))
+    assert not lexicon.weights and toxicity.toxicity(empty, lexicon).count() == 0
+
+
+def test_other_tokenizers(spark, tmp_path):
+    import sentencepiece
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    path = tokenizer_file("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    for r in token_counts.count_tokens(docs, path, f"file://{tmp_path}/pieces").collect():
+        assert (r.n_tokens, r.n_bytes) == (len(lib.encode(TEXTS[r.doc_id] or "")), len((TEXTS[r.doc_id] or "").encode()))
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(individual_digits=True), pre_tokenizers.ByteLevel(add_prefix_space=False)])
+    t.save(str(tmp_path / "other.json"))
+    for r in token_counts.count_tokens(docs, str(tmp_path / "other.json"), f"file://{tmp_path}/other").collect():
+        assert r.n_tokens == len(t.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids)
+
+
+def test_swaps_beat_best_fit():
+    assert (len(packing.best_fit([4, 4, 3, 3, 3, 3], 10)), len(packing.fill([4, 4, 3, 3, 3, 3], 10))) == (3, 2)
+    rng = random.Random(3)
+    triplets = [x for a, b in ((rng.randint(250, 400), rng.randint(250, 370)) for _ in range(300)) for x in (a, b, 1024 - a - b)]
+    assert len(packing.fill(triplets, 1024)) < len(packing.best_fit(triplets, 1024)) - 5
+
+
+def fewest(lengths, size):
+    """The least number of bins, by trying every placement."""
+    best = [len(lengths)]
+
+    def place(rest, bins):
+        if len(bins) >= best[0]:
+            return
+        if not rest:
+            best[0] = len(bins)
+            return
+        for room in {b for b in bins if b + rest[0] <= size}:
+            left = list(bins)
+            left[left.index(room)] += rest[0]
+            place(rest[1:], left)
+        place(rest[1:], [*bins, rest[0]])
+
+    place(sorted(lengths, reverse=True), [])
+    return best[0]
+
+
+def test_fill_against_every_placement():
+    rng, worse = random.Random(5), 0
+    for _ in range(400):
+        n = [rng.randint(1, 20) for _ in range(rng.randint(0, 10))]
+        bins = packing.fill(n, 24)
+        assert sorted(i for b in bins for i in b) == list(range(len(n))) and all(sum(n[i] for i in b) <= 24 for b in bins)
+        assert len(bins) <= len(packing.best_fit(n, 24))
+        worse += len(bins) > fewest(n, 24)
+    assert worse <= 2
+
+
+def test_near_dedup_recall(spark):
+    """Pairs at the threshold, among many like texts, so that nodes grow deep and are torn into blocks."""
+    rng = random.Random(13)
+    rows, sets = [], {}
+    stem = [f"s{i}" for i in range(400)]
+    for f in range(6):
+        base = [x if rng.random() < 0.55 else f"f{f}.{i}" for i, x in enumerate(stem)]
+        for j in range(60):
+            w = list(base)
+            for e in rng.sample(range(8), rng.choice([0, 2, 4, 6])):
+                w[25 + 48 * e] = f"e{f}.{j}.{e}"
+            rows.append((1000 * f + j, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(396)} for i, t in rows}
+    top = {i: i for i in sets}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                top[y] = x
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), leaf=8).collect()}
+    assert got == {i: root(i) for i in sets}
+
+
+def test_ann_odd_input(spark):
+    x = np.random.default_rng(4).normal(size=(30, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[3].tolist()), (40, x[7].tolist()), (41, x[7].tolist()), (None, x[1].tolist()), (50, [1e200] * 8), (51, [-1e200] * 8), (60, [1.0])]
+    v = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "vec_id long, embedding array<double>, rank int, score double")
+    got = ann.search(v, v.where("vec_id in (0, 7, 40, 50)"), k=20).collect()
+    assert not any(r.query_id == r.vec_id for r in got) and sum(r.query_id == 0 for r in got) == 40
+    own = sorted((r for r in got if r.query_id == 7), key=lambda r: r.rank)
+    assert [r.rank for r in own] == list(range(1, 21)) and own == sorted(own, key=lambda r: (-r.score, r.vec_id))
+    assert next(r.score for r in got if r.query_id == 50 and r.rank == 1) > 0
+    few = ann.search(v.where("vec_id in (0, 1, 2)"), v.where("vec_id = 0"), k=20).collect()
+    assert sorted({r.vec_id for r in few}) == [1, 2] and all(r.query_id == 0 for r in few)
+    assert all(r.score == float((x[7] * x[r.vec_id]).sum()) for r in own if 0 < r.vec_id < 30) and any(0 < r.vec_id < 30 for r in own)
+
+
+def test_warc_odd_input(spark):
+    big, other = "y" * 5000, "z" * 2000
+    rows = [(None, None, big), (5, "u", big), (5, "u", big), (9, None, big), (None, None, None), (11, "u", other), (11, "u", other), (12, "u", "w" * 3_000_000)]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, record_type string, refers_to int")
+    got = warc.round_trip(pages).collect()
+    assert len(got) == len(rows)
+    kinds = Counter((r.page_id, r.record_type, r.refers_to) for r in got)
+    assert kinds == Counter({(None, "revisit", 9): 1, (5, "revisit", 9): 2, (9, "response", None): 1, (None, "response", None): 1, (11, "response", None): 2, (12, "response", None): 1})
+
+
+def test_toxicity_held_out(spark):
+    """Sentences with insults drawn from a list, some texts copied many times: learnt on three quarters, judged on the rest."""
+    rng = random.Random(9)
+    insults, rows = ["blarg", "snorfel", "gromp"], []
+    for i in range(1600):
+        w = rng.choices(WORDS, k=60)
+        toxic = i % 8 == 0
+        if toxic:
+            w[rng.randrange(60)] = rng.choice(insults)
+        rows.append((i, " ".join(w), int(toxic)))
+    rows += [(2000 + j, "blarg qqcopied qqwords " + " ".join(WORDS[:40]), 1) for j in range(40)] + [(3000, "qqcopied qqwords " + " ".join(WORDS[50:90]), 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(docs.where("doc_id % 4 <> 2"))
+    assert not any("qq" in t for t in lexicon.weights)
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs.where("doc_id % 4 = 2 or doc_id = 3000"), lexicon).collect()}
+    assert all(got[i] == t for i, _, t in rows if i in got)

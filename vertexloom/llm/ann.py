@@ -129,19 +129,21 @@ def _visit(tree: Tree, unit: int, most: int):
 def _scan(k: int, unit: int):
     """One cogroup: the rows of a block of a leaf, and a block of the queries that visit it.
 
-    Products are taken of vectors brought below 1 by a power of two, which changes no digit and can't overflow.
+    Rows are picked by products of vectors brought below 1 by a power of two, which can't overflow, and ordered by the products of
+    the vectors as they are; fine orders those that exceed double precision.
     """
 
     def run(rows, queries):
         import pyarrow as pa
 
-        names, kinds = ["key", "query_id", "vec_id", "score", "visit"], [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()]
-        out = [[], [], [], [], []]
+        names, kinds = ["key", "query_id", "vec_id", "score", "fine", "visit"], [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32()]
+        out = [[], [], [], [], [], []]
         if rows.num_rows and queries.num_rows:
-            x, ids = np.ldexp(_matrix(rows.column("v").combine_chunks()), unit), rows.column("id").to_numpy()
+            vectors, ids = _matrix(rows.column("v").combine_chunks()), rows.column("id").to_numpy()
             by_id = np.argsort(ids, kind="stable")
-            x, ids = x[by_id], ids[by_id]
-            qs = np.ldexp(_matrix(queries.column("qv").combine_chunks()), unit)
+            vectors, ids = vectors[by_id], ids[by_id]
+            asked = _matrix(queries.column("qv").combine_chunks())
+            x, qs = np.ldexp(vectors, unit), np.ldexp(asked, unit)
             key, qid, visit = (queries.column(c).to_numpy() for c in ("key", "qid", "visit"))
             for at in range(0, len(qs), 256):
                 near = qs[at : at + 256] @ x.T
@@ -154,17 +156,21 @@ def _scan(k: int, unit: int):
                         cut = np.partition(row, len(row) - k)[len(row) - k]
                         some = np.flatnonzero(row >= cut - 1e-9 * max(1.0, abs(cut)))
                     some = some[(some < lo) | (some >= hi)]
-                    score = _exact(x[some], qs[i])
-                    best = np.lexsort((ids[some], -score))[:k]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        score = _exact(vectors[some], asked[i])
+                    beyond = ~np.isfinite(score)
+                    fine = np.where(beyond, _exact(x[some], qs[i]), 0.0)
+                    score = np.where(beyond, np.copysign(np.inf, fine), score)
+                    best = np.lexsort((ids[some], -fine, -score))[:k]
                     n = len(best)
-                    for column, y in zip(out, (np.full(n, key[i]), np.full(n, qid[i]), ids[some][best], score[best], np.full(n, visit[i])), strict=True):
+                    for column, y in zip(out, (np.full(n, key[i]), np.full(n, qid[i]), ids[some][best], score[best], fine[best], np.full(n, visit[i])), strict=True):
                         column.append(y)
         return pa.table([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, kinds, strict=True)], names=names)
 
     return run
 
 
-FOUND = "key long, query_id long, vec_id long, score double, visit int"
+FOUND = "key long, query_id long, vec_id long, score double, fine double, visit int"
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float = 0.96, sample_rows: int = 20000, calibrate: int = 200, branch: int = 16, leaf_rows: int = 64, most_leaves: int = 1024, block_rows: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -211,7 +217,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
         v = v.join(counts, "leaf").withColumn("block", each(F.col("blocks"))).drop("blocks")
         where = ("leaf", "block", "part")
         found = rows.groupBy(*where).cogroup(v.groupBy(*where)).applyInArrow(_scan(k, unit), FOUND)
-        w = W.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+        w = W.partitionBy("key").orderBy(F.desc("score"), F.desc("fine"), "vec_id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
     trial = q.orderBy(F.xxhash64("id", F.lit(11)), "key").limit(calibrate)
@@ -221,6 +227,4 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
         if seen >= target * total:
             break
         seen, most = seen + r["count"], r.visit + 1
-    grow = math.ldexp(1.0, max(-1022, min(1023, -unit)))
-    score = F.col("score") * F.lit(grow) * F.lit(grow)
-    return meet(q, most).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
+    return meet(q, most).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -97,6 +97,7 @@ def mix(docs: DataFrame, block: int = 256, share: float = 1.5, most: float = 2.0
     taken is what the schedule's blocks take of a document, repeats counted. Every source takes its
     target to the word. Null sources are one source, last in order; documents without words take
     nothing; carry names columns of docs to return in a struct doc; null ids and repeated rows keep their rows (ties in the order are settled by size).
+    An empty table gives no rows. Texts are read whole, however long; one longer than a block has a row a block while it is placed.
     """
     ws = Workspace(docs.sparkSession, "mix")
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.coalesce(F.col(text_col), F.lit("")))).cast("long").alias("size"), *([F.struct(*carry).alias("doc")] if carry else []))

@@ -196,7 +196,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
     blocks, by many tasks.
 
     Null, empty and wordless texts have no shingles and link with nothing. Rows with a null id are
-    returned with null component and kept; rows that repeat an id are judged together. An empty
+    returned with null component and kept; rows that repeat an id are judged together. Of texts that link, the
+    smallest id names the class, so there are no ties. An empty
     table gives no rows; other columns are not read. Texts are read whole.
     """
     spark = docs.sparkSession

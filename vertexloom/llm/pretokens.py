@@ -18,6 +18,14 @@ _PLAIN = re.compile("[\t-\r -~\xa1-\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf\xaa\xb5\xb
 #: The fixed patterns of the two vocabularies, with letters and digits spelt out for plain text.
 _BYTE_LEVEL = f"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+"
 _WORD_LEVEL = f"[{_LETTER}]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\\s{_LETTER}0-9]+"
+#: Fixed descriptions, as the library gives them, of the normalizers and pre-tokenizers that the two patterns stand for.
+_KNOWN_AS = {
+    ("None", "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"): _BYTE_LEVEL,
+    (
+        'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\\s+"), content=" "), Lowercase()])',
+        'Sequence(pretokenizers=[Split(pattern=Regex("\'s|\'t|\'re|\'ve|\'m|\'ll|\'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"), behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])',
+    ): _WORD_LEVEL,
+}
 #: White space after which a text can't be cut at single spaces and line ends without the pattern.
 _ODD = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 #: Entries after which a worker's table of known pre-tokens starts anew; bounds memory, never results.
@@ -61,9 +69,11 @@ class Encoder:
 
     def __init__(self, path: str):
         self.lib = t = tokenizer(path)
-        kind = repr(t.normalizer) + repr(t.pre_tokenizer)
-        self.lower = "Lowercase" in kind
-        self.find = re.compile(_WORD_LEVEL if self.lower else _BYTE_LEVEL).findall
+        pattern = _KNOWN_AS.get((repr(t.normalizer), repr(t.pre_tokenizer)))
+        #: Vocabularies of another kind go to the library whole.
+        self.known = pattern is not None
+        self.lower = pattern is _WORD_LEVEL
+        self.find = re.compile(pattern or "").findall
         self.specials = [x.content for x in t.get_added_tokens_decoder().values()]
         self.visible = _visible()
         self.model = t.model
@@ -80,7 +90,7 @@ class Encoder:
 
     def _split(self, text: str):
         """Units of whole pre-tokens, or None if only the library may do it."""
-        if _PLAIN(text) is None or any(s in text for s in self.specials):
+        if not self.known or _PLAIN(text) is None or any(s in text for s in self.specials):
             return None
         if self.lower:
             return text.lower().split()
@@ -98,11 +108,26 @@ class Encoder:
         return self._ids(text) if parts is None else b"".join(map(self.codes.__getitem__, parts))
 
 
-_encoders: dict[str, Encoder] = {}
+class Pieces:
+    """Counts or ids of texts by a sentencepiece model, without begin and end."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def count(self, text: str) -> int:
+        return len(self.lib.encode(text))
+
+    def ids(self, text: str) -> bytes:
+        return np.asarray(self.lib.encode(text), "<u4").tobytes()
+
+
+_encoders: dict[str, Encoder | Pieces] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a worker and file."""
+def encoder(path: str) -> Encoder | Pieces:
+    """One encoder a worker and file; .model files are sentencepiece's."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Pieces(path) if path.endswith(".model") else Encoder(path)
     return _encoders[path]

@@ -271,7 +271,8 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, id_col:
     """doc_id, score, predicted (1 if score >= threshold), one row per row of docs, whole texts.
 
     Null and empty texts match nothing and get the lowest score; null and repeated ids keep
-    their rows; an empty table gives none; other columns are not read.
+    their rows; an empty table gives none; other columns are not read. Texts of any length are folded and matched whole, by one
+    task in time that grows with them.
     """
     ship(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
