@@ -57,9 +57,9 @@ class Workspace:
         return f"{self.root}/{self.made:03d}-{name}"
 
     def keep(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
-        """Write df as Parquet and read it back. batch: rows that Arrow functions in it get at once, fewer for large rows."""
+        """Write df as Parquet and read it back. batch: rows that readers and Arrow functions in it take at once, fewer for large rows."""
         path = self.path(name)
-        with arrow_rows(self.spark, batch):
+        with rows_at_once(self.spark, batch):
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._kept_at = path
@@ -88,16 +88,17 @@ def sweep() -> None:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int | None):
-    """What is run meanwhile hands Arrow functions at most so many rows at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    if rows is not None:
-        spark.conf.set(name, rows)
+def rows_at_once(spark: SparkSession, rows: int | None):
+    """What is run meanwhile reads Parquet, and hands rows to Arrow functions, at most so many at once."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names if rows is not None else ():
+        spark.conf.set(name, min(rows, int(before[name])))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def tidy(spark: SparkSession) -> None:

@@ -23,13 +23,14 @@ def _pack(batches):
     import os
 
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     for batch in batches:
         for b in slices(batch, "text", CHUNK_BYTES):
             n = b.num_rows
             items = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), b.to_struct_array())
             cid = int.from_bytes(os.urandom(8), "little") >> 1
-            size = sum(len(x) for x in b.column("text").buffers() if x is not None)
+            size = pc.sum(pc.binary_length(b.column("text"))).as_py() or 0
             yield pa.RecordBatch.from_arrays([pa.array([cid], pa.int64()), pa.array([size], pa.int64()), items], ["cid", "size", "items"])
 
 
@@ -40,8 +41,7 @@ def chunked(ws: Workspace, docs: DataFrame) -> DataFrame:
 
 
 def buckets_for(chunks: DataFrame) -> int:
-    total = chunks.agg(F.sum(F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.octet_length(x["text"]), F.lit(0))))).first()[0] or 0
-    return max(1, -(-total // BUCKET_BYTES))
+    return max(1, -(-(chunks.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES))
 
 
 def items(batches):

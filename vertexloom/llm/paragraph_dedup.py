@@ -406,7 +406,7 @@ def repeated_passages(docs: DataFrame, num: int = 4, den: int = 5, bands: int =
     said = chunks.select("cid", "items").mapInArrow(_announce(bands, count), _SAID)
     answers = ws.keep(said.groupBy("bucket").applyInArrow(_repeated, _ANSWER), "answers", AT_ONCE)
     ws.tidy()
-    hits = ws.keep(beside(chunks, answers, _colliding(bands), HITS), "hits")
+    hits = ws.keep(beside(chunks, answers, _colliding(bands), HITS), "hits", AT_ONCE)
     ws.drop(answers)
     ws.tidy()
     comp = components(ws, _links(ws, hits, bands, block, num, den))
@@ -414,4 +414,8 @@ def repeated_passages(docs: DataFrame, num: int = 4, den: int = 5, bands: int =
     ws.drop(hits)
     ws.tidy()
     schema = f"doc_id long, n_words long, n_removed long, n_spans long, text string, rest {chunks.schema['items'].dataType.elementType['rest'].dataType.simpleString()}"
-    return beside(chunks, drops, _cut, schema)
+    # Written a few chunks at a time, so that all else can go.
+    out = ws.keep(beside(chunks, drops, _cut, schema), "result", AT_ONCE)
+    ws.drop(chunks, drops)
+    ws.tidy()
+    return out

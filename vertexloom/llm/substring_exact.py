@@ -287,11 +287,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False,
     ws.tidy()
     answers = settled.unionByName(ordered, allowMissingColumns=True)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    out = beside(chunks, answers, _remove(length, with_text), schema)
-    if with_text:
-        return out
-    # Without texts the result is small: written, so that all else can go.
-    out = ws.keep(out, "result", AT_ONCE)
+    # Written a few chunks at a time, so that all else can go.
+    out = ws.keep(beside(chunks, answers, _remove(length, with_text), schema), "result", AT_ONCE)
     ws.drop(chunks, settled, ordered)
     ws.tidy()
     return out
