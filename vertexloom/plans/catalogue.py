@@ -232,14 +232,14 @@ def _dp(source: str, cell: str, head: str, cell0: str, value: str, name: str, k:
     SELECT ref_id, obs_id, {value} AS {name} FROM dp JOIN pr USING (ref_id) WHERE i = m AND j = n"""
 
 
-def _edit(source: str, delta: float, mode: str) -> str:
+def _edit(source: str, delta: float, mode: str, pairs: str | None = None) -> str:
     insert = f"(SELECT 1 + min(cur[t]) FROM range(1, i2 + 1) s(t) WHERE list_max(r[t:i2]) - list_min(r[t:i2]) <= 2 * {delta})"
     ways = ["k2"] + ([insert] if mode != "delete" else []) + (["prev2[i2 + 1] + 1"] if mode != "insert" else [])
     cell = f"least(1000000, {', '.join(ways)})"
     head = "prev2[1] + 1" if mode != "insert" else "1000000"
     k = f"CASE WHEN q IS NOT NULL AND abs(p - q) <= {delta} THEN least(k, prev2[i2], prev2[i2 + 1]) ELSE 1000000 END"
     cell0 = f"least(1000000, {insert})" if mode != "delete" else "1000000"
-    return _dp(source, cell, head, cell0, "CASE WHEN cur[m + 1] < 1000000 THEN CAST(cur[m + 1] AS BIGINT) END", "cost", k=k, k0="1000000", head0="0", kind="BIGINT")
+    return _dp(source, cell, head, cell0, "CASE WHEN cur[m + 1] < 1000000 THEN CAST(cur[m + 1] AS BIGINT) END", "cost", k=k, k0="1000000", head0="0", kind="BIGINT", pairs=pairs)
 
 
 _INFTY = "CAST('inf' AS DOUBLE)"
@@ -352,4 +352,16 @@ ORACLES["q_continuous_within"] = "SELECT *, within AS checked FROM (" + _dp(_ORD
 
 #: Customers whose key is divisible by 100 against all others.
 _ASKED = "SELECT q.id * 1000000000 + t.id AS ref_id, t.id AS obs_id, t.v AS r, q.v AS o FROM c q JOIN c t ON q.id % 100 = 0 AND q.id <> t.id"
-_EDR_SQL = _dp(_ORDERS, f"least(prev2[i2] + CASE WHEN {_MATCH} THEN 0 ELSE 1 END, prev2[i2 + 1] + 1, cur[i2] + 1)", "prev2[1] + 1", "cur[i2] + 1", "cur[m + 1]", "d", head0="0", kind="BIGINT", pairs=_ASKED)
+_EDR_CELL = f"least(prev2[i2] + CASE WHEN {_MATCH} THEN 0 ELSE 1 END, prev2[i2 + 1] + 1, cur[i2] + 1)"
+_LCSS_CELL = f"CASE WHEN {_MATCH} THEN prev2[i2] + 1 ELSE greatest(prev2[i2 + 1], cur[i2]) END"
+_EDR_SQL = _dp(_ORDERS, _EDR_CELL, "prev2[1] + 1", "cur[i2] + 1", "cur[m + 1]", "d", head0="0", kind="BIGINT", pairs=_ASKED)
+#: Scores of the nine methods for the asked pairs.
+_NINE = {
+    "frechet": _dp(_ORDERS, _FRECHET, _INFTY, _INFTY, "cur[m + 1]", "d", pairs=_ASKED),
+    "filter_frechet": _dp(_ORDERS, _FRECHET, _INFTY, _INFTY, "cur[m + 1]", "d", observed=_smoothed(_ORDERS), pairs=_ASKED.replace("FROM c q", "FROM c2 q")),
+    "edr": _EDR_SQL,
+    "lcss": _dp(_ORDERS, _LCSS_CELL, "0", "0", "1 - cur[m + 1] / least(m, n)", "d", head0="0", kind="BIGINT", pairs=_ASKED),
+    "dtw": _dp(_ORDERS, f"{_MIN3} + abs(p - q)", _INFTY, _INFTY, "cur[m + 1]", "d", pairs=_ASKED),
+    "erp": _dp(_ORDERS, "least(prev2[i2] + abs(p - q), prev2[i2 + 1] + abs(q), cur[i2] + abs(p))", "prev2[1] + abs(o[j2])", "cur[i2] + abs(p)", "cur[m + 1]", "d", pairs=_ASKED),
+    **{f"fed_{m}": f"SELECT ref_id, obs_id, coalesce(CAST(cost AS DOUBLE), {_INFTY}) AS d FROM ({_edit(_ORDERS, EPS, m, _ASKED)})" for m in ("delete", "insert", "both")},
+}

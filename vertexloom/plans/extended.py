@@ -16,6 +16,7 @@ from vertexloom.plans.catalogue import (
     _EVENTS,
     _INFTY,
     _MIN3,
+    _NINE,
     _ORDERS,
     _PICKED,
     _PLANE,
@@ -138,12 +139,12 @@ def q_frechet_plane(spark, sf_dir):
     return measures.measure(pairs, "ref", "obs", "frechet", "d").select("ref_id", "obs_id", _r6("d").alias("d"))
 
 
-def _retrieved(spark, sf_dir):
-    """Customers whose key is divisible by 100 against all curves, in blocks, by edit distance on real sequences; the next customer is relevant."""
+def _retrieved(spark, sf_dir, methods=("edr",)):
+    """Customers whose key is divisible by 100 against all curves, in blocks; the next customer is relevant."""
     c = order_curves(spark, sf_dir)
     queries = c.where("id % 100 = 0").select(F.col("id").alias("query_id"), "pts")
     routes = c.select(F.col("id").alias("route_id"), "pts")
-    scored = experiment.scores(queries, routes, EPS, methods=("edr",)).where("query_id <> template_id")
+    scored = experiment.scores(queries, routes, EPS, methods=methods).where("query_id <> template_id")
     relevant = queries.select("query_id", (F.col("query_id") + 1).alias("template_id"))
     return retrieval.outcomes(scored, relevant)
 
@@ -156,14 +157,20 @@ def q_retrieval(spark, sf_dir):
     return out.select("query_id", "top1", _big("n_scored").alias("n_scored"), "top1_score", "top1_tied", *[_r6(x).alias(x) for x in _HITS])
 
 
+def q_retrieval_methods(spark, sf_dir):
+    """All nine methods for the same queries."""
+    out = _retrieved(spark, sf_dir, experiment.METHODS)
+    return out.select("method", "query_id", "abstained", _big("n_scored").alias("n_scored"), _big("n_infeasible").alias("n_infeasible"), "top1", *[_r6(x).alias(x) for x in _HITS])
+
+
 def q_retrieval_summary(spark, sf_dir):
     out = _retrieved(spark, sf_dir)
     d = retrieval.aggregate(out).join(retrieval.thresholds(out), "method")
     return d.select("method", _big("n_queries").alias("n_queries"), "coverage", *[_r6(x).alias(x) for x in ("hit1_strict", "hit1_optimistic", "rr_strict", "rr_optimistic")], _r6("threshold").alias("threshold"))
 
 
-def q_retrieval_methods(spark, sf_dir):
-    """Nine methods on damaged walks and look-alike galleries: one row a method."""
+def q_experiment(spark, sf_dir):
+    """Nine methods on damaged walks and look-alike galleries, with validation families, thresholds and strangers: one row a method."""
     g = gallery.gallery(gallery.bases(spark, 12, 30, SEED), SEED)
     q = gallery.queries(g, per_route=1, n_open=3, n_points=30, seed=SEED)
     _, summary = experiment.evaluate(q, g, experiment.scores(q, g, 25.0), n_validation=2)
@@ -212,6 +219,7 @@ QUERIES = {
     "q_retrieval": q_retrieval,
     "q_retrieval_summary": q_retrieval_summary,
     "q_retrieval_methods": q_retrieval_methods,
+    "q_experiment": q_experiment,
     "q_scenarios": q_scenarios,
     "q_audit": q_audit,
 }
@@ -291,18 +299,22 @@ ORACLES["q_candidates"] = """WITH f AS (SELECT CAST(user_id AS VARCHAR) AS path,
   t AS (SELECT path, count(*) AS n, sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2)) AS extent, coalesce(max(step), 0) AS gap, coalesce(sum(step), 0) AS total FROM s GROUP BY path)
   SELECT path, n AS raw_points, round(extent, 3) AS extent, n >= 50 AND extent >= 300 AND gap <= 2000 AND total >= 390 AS acceptable FROM t"""
 
-_SCORED = f"""s AS (SELECT ref_id // 1000000000 AS query_id, obs_id AS t, d FROM ({_EDR_SQL})),
-  rel AS (SELECT query_id, d FROM s WHERE t = query_id + 1),
-  g AS (SELECT s.query_id, count(*) AS n_scored, min(s.d) AS top1_score, arg_min(t, (s.d, t)) AS top1, count_if(s.d < rel.d) AS before, count_if(s.d = rel.d) AS size, max(rel.d) AS found FROM s LEFT JOIN rel ON rel.query_id = s.query_id GROUP BY s.query_id),
-  b AS (SELECT g.*, count_if(s.d = g.top1_score) > 1 AS tied FROM g JOIN s USING (query_id) GROUP BY ALL),
-  o AS (SELECT CAST(query_id AS BIGINT) AS query_id, top1, n_scored, CAST(top1_score AS DOUBLE) AS top1_score, tied AS top1_tied,
+#: Outcomes of scored pairs s(method, query_id, t, d); one route is relevant.
+_OUTCOMES = f"""rel AS (SELECT method, query_id, d FROM s WHERE t = query_id + 1),
+  g AS (SELECT s.method, s.query_id, count_if(s.d < {_INFTY}) AS n_scored, count_if(s.d = {_INFTY}) AS n_infeasible, min(s.d) AS top1_score, arg_min(t, (s.d, t)) AS top1, CAST(count_if(s.d < rel.d) AS BIGINT) AS before, CAST(count_if(s.d = rel.d) AS BIGINT) AS size, max(rel.d) AS found
+    FROM s LEFT JOIN rel ON rel.query_id = s.query_id AND rel.method = s.method GROUP BY s.method, s.query_id),
+  b AS (SELECT g.*, count_if(s.d = g.top1_score) > 1 AS tied FROM g JOIN s USING (method, query_id) GROUP BY ALL),
+  o AS (SELECT method, CAST(query_id AS BIGINT) AS query_id, n_scored = 0 AS abstained, CAST(n_scored AS BIGINT) AS n_scored, CAST(n_infeasible AS BIGINT) AS n_infeasible, CASE WHEN n_scored > 0 THEN top1 END AS top1, CASE WHEN n_scored > 0 THEN CAST(top1_score AS DOUBLE) END AS top1_score, n_scored > 0 AND tied AS top1_tied,
     CASE WHEN before + size <= 1 AND found IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit1_strict, CASE WHEN before = 0 AND found IS NOT NULL THEN 1.0::DOUBLE / size ELSE 0.0::DOUBLE END AS hit1_expected,
     CASE WHEN before + 1 <= 1 AND found IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit1_optimistic,
     CASE WHEN before + size <= 5 AND found IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit5_strict, CASE WHEN before + 1 <= 5 AND found IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit5_optimistic,
-    CASE WHEN found IS NOT NULL THEN 1.0::DOUBLE / (before + size) ELSE 0.0::DOUBLE END AS rr_strict, CASE WHEN found IS NOT NULL THEN list_avg(list_transform(range(CAST(size AS BIGINT)), lambda i: 1.0::DOUBLE / (before + 1 + i))) ELSE 0.0::DOUBLE END AS rr_expected,
+    CASE WHEN found IS NOT NULL THEN 1.0::DOUBLE / (before + size) ELSE 0.0::DOUBLE END AS rr_strict, CASE WHEN found IS NOT NULL THEN list_avg(list_transform(range(size), lambda i: 1.0::DOUBLE / (before + 1 + i))) ELSE 0.0::DOUBLE END AS rr_expected,
     CASE WHEN found IS NOT NULL THEN 1.0::DOUBLE / (before + 1) ELSE 0.0::DOUBLE END AS rr_optimistic FROM b)"""
-ORACLES["q_retrieval"] = f"WITH {_SCORED} SELECT query_id, top1, n_scored, top1_score, top1_tied, {', '.join(f'round({x}, 6) AS {x}' for x in _HITS)} FROM o"
-ORACLES["q_retrieval_summary"] = f"""WITH {_SCORED} SELECT 'edr' AS method, count(*) AS n_queries, 1.0::DOUBLE AS coverage,
+_RANKED = lambda methods: "WITH s AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, ref_id // 1000000000 AS query_id, obs_id AS t, CAST(d AS DOUBLE) AS d FROM ({sql})" for m, sql in methods.items()) + "), " + _OUTCOMES
+_ONE = _RANKED({"edr": _EDR_SQL})
+ORACLES["q_retrieval"] = f"{_ONE} SELECT query_id, top1, n_scored, top1_score, top1_tied, {', '.join(f'round({x}, 6) AS {x}' for x in _HITS)} FROM o"
+ORACLES["q_retrieval_methods"] = f"{_RANKED(_NINE)} SELECT method, query_id, abstained, n_scored, n_infeasible, top1, {', '.join(f'round({x}, 6) AS {x}' for x in _HITS)} FROM o"
+ORACLES["q_retrieval_summary"] = f"""{_ONE} SELECT 'edr' AS method, count(*) AS n_queries, 1.0::DOUBLE AS coverage,
   {", ".join(f"round(avg({x}), 6) AS {x}" for x in ("hit1_strict", "hit1_optimistic", "rr_strict", "rr_optimistic"))}, round(quantile_cont(top1_score, 0.95), 6) AS threshold FROM o"""
 
 ORACLES["q_scenarios"] = """SELECT * FROM (VALUES ('clean', 'on_course', 0::BIGINT, 0::BIGINT, true, 'verified', true, true), ('urban-canyon', 'on_course_after_cleaning', 6, 6, true, 'verified', false, true),
