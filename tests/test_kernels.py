@@ -1,12 +1,15 @@
 import itertools
 import random
+from fractions import Fraction as F
 
 import numpy as np
 import pytest
 
+from vertexloom.kernels import ball, checker, simplify
 from vertexloom.kernels.checker import continuous_within
 from vertexloom.kernels.continuous import fewest_deletions
 from vertexloom.kernels.discrete import solve
+from vertexloom.kernels.intervals import Interval
 
 
 def curve(*points):
@@ -40,3 +43,71 @@ def test_tangency_is_closed():
     ref, obs = curve((-1, 0), (0, 0), (1, 0)), curve((-1, 1), (1, 1))
     assert fewest_deletions(ref, obs, 1.0)["cost"] == 0
     assert fewest_deletions(ref, obs, float(np.nextafter(1, 0)))["status"] == "infeasible"
+
+
+def test_balls_against_every_subset():
+    rng = random.Random(12)
+    for _ in range(40):
+        dim = rng.choice([2, 3])
+        pts = [[F(rng.randint(-4, 4)) for _ in range(dim)] for _ in range(rng.randint(1, 6))]
+        c, r2 = ball.enclosing(np.array(pts, float))
+        assert all(sum((x - y) ** 2 for x, y in zip(p, c)) <= r2 for p in pts)
+        # No ball through a subset that holds all points is smaller.
+        for k in range(1, min(len(pts), dim + 1) + 1):
+            for some in itertools.combinations(pts, k):
+                got = ball._through([list(p) for p in some])
+                if got and all(sum((x - y) ** 2 for x, y in zip(p, got[0])) <= got[1] for p in pts):
+                    assert got[1] >= r2
+        delta = float(r2) ** 0.5
+        assert ball.fits(np.array(pts, float), delta + 1e-6) and (r2 == 0 or not ball.fits(np.array(pts, float), delta - 1e-6))
+
+
+def test_through_is_equally_far():
+    for pts in ([[F(0), F(0)], [F(4), F(0)], [F(1), F(3)]], [[F(0), F(0), F(0)], [F(1), F(0), F(0)], [F(0), F(2), F(0)], [F(0), F(0), F(3)]]):
+        c, r2 = ball._through(pts)
+        assert all(sum((x - y) ** 2 for x, y in zip(p, c)) == r2 for p in pts)
+    assert ball._through([[F(0), F(0)], [F(1), F(1)], [F(2), F(2)]]) is None
+
+
+def test_intervals_hold_the_truth():
+    rng = np.random.default_rng(3)
+    x, y, z = rng.normal(size=(3, 200)) * 10.0 ** rng.integers(-8, 8, (3, 200))
+    got = ((Interval(x) - y) * Interval(z) + Interval(y).square()).over(Interval(np.abs(z)) + 1)
+    for i in range(200):
+        a, b, c = F(x[i]), F(y[i]), F(z[i])
+        true = ((a - b) * c + b * b) / (abs(c) + 1)
+        assert F(float(got.lo[i])) <= true <= F(float(got.hi[i]))
+        assert abs(F(float(got.middle()[i])) - true) <= F(float(got.radius()[i]))
+    root = Interval(np.abs(x)).sqrt()
+    assert all(F(float(lo)) ** 2 <= F(abs(v)) <= F(float(hi)) ** 2 for lo, hi, v in zip(root.lo, root.hi, x))
+
+
+def test_tables_beyond_the_limit_are_refused():
+    ref, obs = curve(*[(i, 0) for i in range(30)]), curve(*[(i, 5 * (i % 2)) for i in range(30)])
+    got = fewest_deletions(ref, obs, 1.0, most_bytes=20_000)
+    assert got["status"] == "memory_exceeded" and got["cost"] is None
+    assert solve(ref, obs, 1.0, "delete")["counters"]["points"] == 900
+
+
+def test_checker_decides_close_roots():
+    a, b = checker._Cut(F(0), 1, F(2)), checker._Cut(F(1), 1, F(2) ** 1 + 1 - 2 * F(1))
+    assert checker._difference_sign(a, a) == 0 and checker._difference_sign(b, a) == 1
+    near = checker._Cut(F(0), 1, F(2) + F(1, 10**2000))
+    assert checker._difference_sign(near, a) == 1 and not checker._le(near, a) and checker._le(a, near)
+
+
+def test_simplification_by_significance():
+    rng = np.random.default_rng(2)
+    pts = rng.normal(size=(60, 2)).cumsum(0)
+
+    def plain(lo, hi, tol):
+        if hi - lo < 2:
+            return set()
+        far = simplify.chord_distances(pts[lo + 1 : hi], pts[lo], pts[hi])
+        k = lo + 1 + int(far.argmax())
+        return {k} | plain(lo, k, tol) | plain(k, hi, tol) if far.max() > tol else set()
+
+    for tol in (0.3, 1.0, 3.0):
+        kept, used = simplify.simplify_to(pts, 30, tol) if len(plain(0, 59, tol)) + 2 <= 30 else (None, None)
+        if kept is not None:
+            assert set(kept.tolist()) == plain(0, 59, used) | {0, 59} and (used == tol / 64 or len(plain(0, 59, used / 2)) + 2 > 30)

@@ -14,6 +14,10 @@ class Ambiguous(Exception):
     """A decision that the chosen policy leaves open."""
 
 
+#: Closeness decisions of this process so far: all, and those that needed rationals.
+TALLY = {"points": 0, "exact": 0}
+
+
 def near_rows(ref: np.ndarray, points: np.ndarray, delta: float, policy: str = "certified") -> np.ndarray:
     """near[j, i]: whether ref[i] lies within delta of points[j]."""
     d2 = np.zeros((len(points), len(ref)))
@@ -21,11 +25,13 @@ def near_rows(ref: np.ndarray, points: np.ndarray, delta: float, policy: str = "
         d2 += (x[None, :] - y[:, None]) ** 2
     limit = delta * delta
     near = d2 <= limit
+    TALLY["points"] += near.size
     if policy != "fast":
         dim = ref.shape[1]
         slack = 8.0 * (dim + 4) * _UNIT * (d2 + limit) + dim * 8 * _TINY
         for j, i in zip(*np.nonzero(~(np.abs(d2 - limit) > slack)), strict=True):
             near[j, i] = within(ref[i], points[j], delta)
+            TALLY["exact"] += 1
     return near
 
 

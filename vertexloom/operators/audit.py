@@ -98,7 +98,7 @@ def audit(pairs: DataFrame, delta: float, deal_by: str | None = None) -> DataFra
     d = d.withColumn("glitch_budget", F.least(F.lit(MOST_GLITCHES), F.greatest(F.lit(1), F.floor(F.size("_t") / 4).cast("int")))).drop("_cut")
 
     inner = discrete_edits(d, "_r", "_t", delta, "delete")
-    d = inner.withColumns({"discrete_cost": F.col("cost"), "discrete_status": F.col("status")}).drop("status", "cost", "witness_status", "edited_curve", "edits", "coupling", "detail")
+    d = inner.withColumns({"discrete_cost": F.col("cost"), "discrete_status": F.col("status")}).drop("status", "cost", "witness_status", "edited_curve", "edits", "coupling", "detail", "counters")
     d = continuous_edits(d, "_r", "_t", delta, witness=True, max_deletions="glitch_budget")
     d = distances(d, "_r", "_t")
     small = F.size("_r") * F.size("edited_curve") <= MOST_CELLS

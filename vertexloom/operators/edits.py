@@ -12,7 +12,7 @@ from vertexloom.session import ship
 
 RESULT = (
     "status string, cost int, witness_status string, edited_curve array<array<double>>, "
-    "edits array<struct<op:string,index:int,gap:int,ord:int,point:array<double>>>, coupling array<struct<r:int,e:int>>, detail string"
+    "edits array<struct<op:string,index:int,gap:int,ord:int,point:array<double>>>, coupling array<struct<r:int,e:int>>, detail string, counters map<string,bigint>"
 )
 
 
@@ -31,7 +31,7 @@ _INPUT = ("_ref_in", "_obs_in", "_cap_in")
 
 
 def _rows(solve):
-    keys = ("status", "cost", "witness_status", "edited_curve", "edits", "coupling", "detail")
+    keys = ("status", "cost", "witness_status", "edited_curve", "edits", "coupling", "detail", "counters")
 
     def run(batches):
         import pyarrow as pa
@@ -46,8 +46,8 @@ def _rows(solve):
             cols = [b.column(i) for i, n in enumerate(b.schema.names) if n not in _INPUT]
             names = [n for n in b.schema.names if n not in _INPUT]
             edit = pa.list_(pa.struct([("op", pa.string()), ("index", pa.int32()), ("gap", pa.int32()), ("ord", pa.int32()), ("point", pa.list_(pa.float64()))]))
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.list_(pa.list_(pa.float64())), edit, pa.list_(pa.struct([("r", pa.int32()), ("e", pa.int32())])), pa.string()]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array([g[k] for g in got], t) for k, t in zip(keys, kinds, strict=True)], names + list(keys))
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.list_(pa.list_(pa.float64())), edit, pa.list_(pa.struct([("r", pa.int32()), ("e", pa.int32())])), pa.string(), pa.map_(pa.string(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array([list(g[k].items()) if k == "counters" else g[k] for g in got], t) for k, t in zip(keys, kinds, strict=True)], names + list(keys))
 
     return run
 

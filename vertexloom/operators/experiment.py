@@ -8,9 +8,11 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from vertexloom.functions import curves as C
-from vertexloom.operators import measures, retrieval
+from vertexloom.operators import edits, measures, retrieval
+from vertexloom.session import deal
 
 INF = float("inf")
 #: Queries are copied to each block of routes; more blocks spread a larger gallery.
@@ -53,6 +55,14 @@ def scores(queries: DataFrame, gallery: DataFrame, delta: float, eps: float | No
     return d.select("query_id", "template_id", F.explode(rows).alias("s")).select("query_id", "s.method", "template_id", "s.score")
 
 
+def best_routes(queries: DataFrame, gallery: DataFrame, delta: float, top: int = 1, mode: str = "delete") -> DataFrame:
+    """Of each query the `top` routes of fewest edits (ties to the smaller id), with rank and the edit script of each, as discrete_edits gives it."""
+    pairs = measures.edit_cost(pairings(queries, gallery), "template", "query", delta, mode, "_cost").where("_cost is not null")
+    place = W.partitionBy("query_id").orderBy("_cost", "template_id")
+    best = pairs.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top).drop("_cost")
+    return edits.discrete_edits(deal(best, "query_id", "template_id"), "template", "query", delta, mode, witness=True)
+
+
 def evaluate(queries: DataFrame, gallery: DataFrame, scored: DataFrame, n_validation: int = 2, quantile: float = 0.95, ks: tuple[int, ...] = (1, 5)) -> tuple[DataFrame, DataFrame]:
     """(outcomes, summary): one row per query and method, one per method.
 

@@ -169,6 +169,16 @@ def q_retrieval_summary(spark, sf_dir):
     return d.select("method", _big("n_queries").alias("n_queries"), "coverage", *[_r6(x).alias(x) for x in ("hit1_strict", "hit1_optimistic", "rr_strict", "rr_optimistic")], _r6("threshold").alias("threshold"))
 
 
+def q_best_route(spark, sf_dir):
+    """The route each asked customer comes nearest to by deletions, and how many its script has; with the decisions that took."""
+    c = order_curves(spark, sf_dir)
+    queries = c.where("id % 100 = 0").select(F.col("id").alias("query_id"), "pts")
+    others = c.where("id % 100 <> 0").select(F.col("id").alias("route_id"), "pts")
+    best = experiment.best_routes(queries, others, EPS)
+    counted = F.col("counters")["points"] == F.size("template") * F.size("query")
+    return best.select("query_id", F.col("template_id").alias("route"), _big("cost").alias("cost"), _big(F.size("edits")).alias("n_edits"), counted.alias("counted"))
+
+
 def q_experiment(spark, sf_dir):
     """Nine methods on damaged walks and look-alike galleries, with validation families, thresholds and strangers: one row a method."""
     g = gallery.gallery(gallery.bases(spark, 12, 30, SEED), SEED)
@@ -220,6 +230,7 @@ QUERIES = {
     "q_retrieval_summary": q_retrieval_summary,
     "q_retrieval_methods": q_retrieval_methods,
     "q_experiment": q_experiment,
+    "q_best_route": q_best_route,
     "q_scenarios": q_scenarios,
     "q_audit": q_audit,
 }
@@ -314,6 +325,8 @@ _RANKED = lambda methods: "WITH s AS (" + " UNION ALL ".join(f"SELECT '{m}' AS m
 _ONE = _RANKED({"edr": _EDR_SQL})
 ORACLES["q_retrieval"] = f"{_ONE} SELECT query_id, top1, n_scored, top1_score, top1_tied, {', '.join(f'round({x}, 6) AS {x}' for x in _HITS)} FROM o"
 ORACLES["q_retrieval_methods"] = f"{_RANKED(_NINE)} SELECT method, query_id, abstained, n_scored, n_infeasible, top1, {', '.join(f'round({x}, 6) AS {x}' for x in _HITS)} FROM o"
+ORACLES["q_best_route"] = f"""SELECT CAST(query_id AS BIGINT) AS query_id, arg_min(t, (d, t)) AS route, CAST(min(d) AS BIGINT) AS cost, CAST(min(d) AS BIGINT) AS n_edits, true AS counted
+  FROM (SELECT ref_id // 1000000000 AS query_id, obs_id AS t, d FROM ({_NINE["fed_delete"]})) WHERE t % 100 <> 0 AND d < {_INFTY} GROUP BY query_id"""
 ORACLES["q_retrieval_summary"] = f"""{_ONE} SELECT 'edr' AS method, count(*) AS n_queries, 1.0::DOUBLE AS coverage,
   {", ".join(f"round(avg({x}), 6) AS {x}" for x in ("hit1_strict", "hit1_optimistic", "rr_strict", "rr_optimistic"))}, round(quantile_cont(top1_score, 0.95), 6) AS threshold FROM o"""
 

@@ -77,7 +77,7 @@ def _delimited(files: DataFrame) -> DataFrame:
     schema = ", ".join(f"c{i} string" for i in range(_CELLS))
     cells = F.array(*[F.col("row")[f"c{i}"] for i in range(_CELLS)])
     rows = files.select("path", F.posexplode(F.filter(_lines(F.col("text")), lambda x: F.trim(F.regexp_replace(x, ",", "")) != "")).alias("at", "line"))
-    rows = rows.withColumn("row", F.from_csv("line", schema, {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})).select("path", "at", cells.alias("c"))
+    rows = rows.withColumn("row", F.from_csv("line", schema, {"escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})).select("path", "at", cells.alias("c"))
     head = F.transform(F.col("c"), lambda x: F.lower(F.trim(x)))
     place = lambda names: (F.array_position(F.transform(head, lambda x: F.coalesce(x.isin(*names), F.lit(False))), True) - 1).cast("int")
     heads = rows.where("at = 0").select("path", place(LAT).alias("lat_at"), place(LON).alias("lon_at"), place(TIME).alias("time_at"))
