@@ -20,8 +20,16 @@ class Pairs:
     """A group of pairs: a [m, pair, dim] and b [n, pair, dim] padded with zeros, and their lengths."""
 
     def __init__(self, a: list[np.ndarray], b: list[np.ndarray]):
-        self.a, self.la = _padded(a)
-        self.b, self.lb = _padded(b)
+        self.a, self.la = padded(a)
+        self.b, self.lb = padded(b)
+
+    @classmethod
+    def against(cls, a: np.ndarray, la: np.ndarray, b: np.ndarray) -> Pairs:
+        """Padded curves, each paired with the same b, which isn't copied."""
+        p = cls.__new__(cls)
+        p.a, p.la = a, la
+        p.b, p.lb = np.broadcast_to(b[:, None, :], (len(b), a.shape[1], a.shape[2])), np.full(a.shape[1], len(b))
+        return p
 
     def squares(self, j: int) -> np.ndarray:
         """[m, pair] squared distances of a's vertices to vertex j of b."""
@@ -55,7 +63,7 @@ class Pairs:
         return column
 
 
-def _padded(curves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def padded(curves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([len(c) for c in curves], np.int64)
     out = np.zeros((int(n.max()), len(curves), curves[0].shape[1]))
     for k, c in enumerate(curves):

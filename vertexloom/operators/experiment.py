@@ -6,17 +6,18 @@ import json
 import tomllib
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from vertexloom.functions import curves as C
 from vertexloom.operators import edits, measures, retrieval
-from vertexloom.session import deal
+from vertexloom.operators.edits import check_options
+from vertexloom.session import deal, ship
 
 INF = float("inf")
-#: Queries are copied to each block of routes; more blocks spread a larger gallery.
-BLOCKS = 16
 
 
 EDIT_METHODS = {"fed_delete": "delete", "fed_insert": "insert", "fed_both": "both"}
@@ -25,41 +26,91 @@ MEASURES = {"frechet": ("frechet", False), "filter_frechet": ("frechet", True),
 METHODS = (*EDIT_METHODS, *MEASURES)
 
 
-def pairings(queries: DataFrame, gallery: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """query_id, template_id, query, template: the stated queries against all routes, joined on blocks of routes."""
-    also = [c for c in ("smooth",) if c in queries.columns]
-    t = gallery.select(F.col("route_id").alias("template_id"), F.col("pts").alias("template"), F.pmod(F.xxhash64("route_id"), F.lit(blocks)).alias("_block"))
-    q = queries.select("query_id", F.col("pts").alias("query"), *also, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
-    return q.join(t, "_block").drop("_block")
-
-
-def scores(queries: DataFrame, gallery: DataFrame, delta: float, eps: float | None = None, methods: tuple[str, ...] = METHODS, window: int = 3) -> DataFrame:
-    """query_id, method, template_id, score; infinite where infeasible, null where numerically ambiguous."""
-    limit = delta if eps is None else eps
+def _block(methods: tuple[str, ...], delta: float, eps: float):
+    """Scores of a block of queries against a block of routes, which are padded once and meet one query after another."""
+
+    def run(routes, queries):
+        import pyarrow as pa
+
+        from vertexloom.kernels import batch as B
+        from vertexloom.kernels.ball import reach
+        from vertexloom.kernels.exact import Ambiguous
+
+        def first(c):
+            try:
+                return reach(c, delta)
+            except Ambiguous:
+                return None
+
+        curves = {c: measures.curves(t.column(c)) for t, c in ((routes, "pts"), (queries, "query"), (queries, "smooth")) if c in t.column_names}
+        if any(x is None or not len(x) for xs in curves.values() for x in xs):
+            raise ValueError("routes and queries must have vertices")
+        inserting = any(EDIT_METHODS.get(m) in ("insert", "both") for m in methods)
+        order = np.argsort([len(c) for c in curves["pts"]], kind="stable")
+        out: dict[str, list] = {m: [] for m in methods}
+        of_query, of_route = [], []
+        for at in range(0, len(order), 512):
+            some = order[at : at + 512]
+            mine = [curves["pts"][k] for k in some]
+            a, la = B.padded(mine)
+            back = [first(c) for c in mine] if inserting else None
+            open_ = np.array([r is None for r in back]) if inserting else np.zeros(len(mine), bool)
+            known = [r if r is not None else list(range(len(c))) for r, c in zip(back, mine, strict=True)] if inserting else None
+            for k, query in enumerate(curves["query"]):
+                measures.check(mine[0], query)
+                plain = B.Pairs.against(a, la, query)
+                smooth = B.Pairs.against(a, la, curves["smooth"][k]) if "smooth" in curves else None
+                for m in methods:
+                    if m in EDIT_METHODS:
+                        cost = B.edit_cost(plain, delta, EDIT_METHODS[m], known).astype(np.float64)
+                        cost[cost >= B.NEVER] = INF
+                        if EDIT_METHODS[m] != "delete":
+                            cost[open_] = np.nan
+                        out[m].append(cost)
+                    else:
+                        kind, smoothed = MEASURES[m]
+                        p = smooth if smoothed else plain
+                        out[m].append(np.asarray(getattr(B, kind)(p, eps) if kind in ("edr", "lcss_distance") else getattr(B, kind)(p), np.float64))
+                of_query.append(np.full(len(some), k))
+                of_route.append(some)
+        take = lambda column, index: column.combine_chunks().take(pa.array(np.concatenate(index) if index else np.zeros(0, np.int64)))
+        scored = [pa.array(np.concatenate(out[m]) if out[m] else np.zeros(0), pa.float64(), from_pandas=True) for m in methods]
+        return pa.table([take(queries.column("query_id"), of_query), take(routes.column("template_id"), of_route), *scored], ["query_id", "template_id", *methods])
+
+    return run
+
+
+def scores(queries: DataFrame, gallery: DataFrame, delta: float, eps: float | None = None, methods: tuple[str, ...] = METHODS, window: int = 3, route_block: int = 2048, query_block: int = 512) -> DataFrame:
+    """query_id, method, template_id, score of the stated queries against all routes; infinite where infeasible, null where numerically ambiguous.
+
+    Routes and queries are cut into blocks of about route_block and query_block, and each pair of blocks is one task's group, so
+    curves are sent once a block and not once a pair.
+    """
+    check_options(delta, "both")
     unknown = set(methods) - set(METHODS)
     if unknown:
         raise ValueError(f"unknown methods {sorted(unknown)}")
-    made: list[str] = []
-    d = pairings(queries.withColumn("smooth", C.smooth(F.col("pts"), window)) if "filter_frechet" in methods else queries, gallery)
-    for name, mode in EDIT_METHODS.items():
-        if name in methods:
-            d = measures.edit_cost(d, "template", "query", delta, mode, name, ambiguous=-1)
-            d = d.withColumn(name, F.when(F.col(name).isNull(), F.lit(INF)).when(F.col(name) >= 0, F.col(name).cast("double")))
-            made.append(name)
-    for name, (kind, smooth) in MEASURES.items():
-        if name in methods:
-            needs = limit if kind in ("edr", "lcss_distance") else None
-            d = measures.measure(d, "template", "smooth" if smooth else "query", kind, name, needs).withColumn(name, F.col(name).cast("double"))
-            made.append(name)
-    rows = F.array(*[F.struct(F.lit(n).alias("method"), F.col(n).alias("score")) for n in made])
+    ship(queries.sparkSession)
+    curve = lambda c: F.col(c).cast("array<array<double>>")
+    blocks = lambda d, most: max(1, -(-d.count() // most))
+    n_routes, n_queries = blocks(gallery, route_block), blocks(queries, query_block)
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    t = gallery.select(F.col("route_id").alias("template_id"), curve("pts").alias("pts"), own("route_id", n_routes).alias("_t"), every(n_queries).alias("_q"))
+    also = [C.smooth(curve("pts"), window).alias("smooth")] if "filter_frechet" in methods else []
+    q = queries.select("query_id", curve("pts").alias("query"), *also, own("query_id", n_queries).alias("_q"), every(n_routes).alias("_t"))
+    schema = T.StructType([q.schema["query_id"], t.schema["template_id"], *[T.StructField(m, T.DoubleType()) for m in methods]])
+    d = deal(t, "_t", "_q").groupBy("_t", "_q").cogroup(deal(q, "_t", "_q").groupBy("_t", "_q")).applyInArrow(_block(tuple(methods), delta, delta if eps is None else eps), schema)
+    rows = F.array(*[F.struct(F.lit(n).alias("method"), F.col(n).alias("score")) for n in methods])
     return d.select("query_id", "template_id", F.explode(rows).alias("s")).select("query_id", "s.method", "template_id", "s.score")
 
 
 def best_routes(queries: DataFrame, gallery: DataFrame, delta: float, top: int = 1, mode: str = "delete") -> DataFrame:
     """Of each query the `top` routes of fewest edits (ties to the smaller id), with rank and the edit script of each, as discrete_edits gives it."""
-    pairs = measures.edit_cost(pairings(queries, gallery), "template", "query", delta, mode, "_cost").where("_cost is not null")
-    place = W.partitionBy("query_id").orderBy("_cost", "template_id")
-    best = pairs.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top).drop("_cost")
+    place = W.partitionBy("query_id").orderBy("score", "template_id")
+    near = scores(queries, gallery, delta, methods=(f"fed_{mode}",)).where(F.col("score") < INF).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
+    best = near.select("query_id", "template_id", "rank").join(queries.select("query_id", F.col("pts").alias("query")), "query_id")
+    best = best.join(gallery.select(F.col("route_id").alias("template_id"), F.col("pts").alias("template")), "template_id")
     return edits.discrete_edits(deal(best, "query_id", "template_id"), "template", "query", delta, mode, witness=True)
 
 

@@ -37,7 +37,7 @@ def curves(column) -> list[np.ndarray | None]:
     return out
 
 
-def _check(a: np.ndarray, b: np.ndarray) -> None:
+def check(a: np.ndarray, b: np.ndarray) -> None:
     if a.shape[1] != b.shape[1]:
         raise ValueError("both curves of a pair must have one dimension")
     if not (np.isfinite(a).all() and np.isfinite(b).all()):
@@ -60,7 +60,7 @@ def _solver(kernel, empty, dtype):
                 if x is None or y is None:
                     continue
                 if len(x) and len(y):
-                    _check(x, y)
+                    check(x, y)
                     full.append(k)
                 else:
                     out[k] = empty(x, y)

@@ -215,7 +215,7 @@ _EVENTS = "SELECT user_id AS id, list(value ORDER BY ts, event_id) AS v FROM eve
 _ORDERS = "SELECT o_custkey AS id, list(o_totalprice ORDER BY o_orderdate, o_orderkey) AS v FROM orders GROUP BY o_custkey"
 
 
-def _dp(source: str, cell: str, head: str, cell0: str, value: str, name: str, k: str = "0", k0: str = "0", head0: str = "0.0", kind: str = "DOUBLE", observed: str | None = None, pairs: str | None = None) -> str:
+def _dp(source: str, cell: str, head: str, cell0: str, value: str, name: str, k: str = "0", k0: str = "0", head0: str = "0.0", kind: str = "DOUBLE", observed: str | None = None, pairs: str | None = None, also: str = "") -> str:
     """A cell-by-cell recursion: p is the reference's value, q the observation's, prev and cur the columns so far, k the layer carried."""
     matched = pairs or "SELECT a.id AS ref_id, b.id AS obs_id, a.v AS r, b.v AS o FROM c a JOIN c2 b ON b.id = a.id + 1"
     return f"""WITH RECURSIVE c AS ({source}), c2 AS ({observed or source}),
@@ -225,7 +225,7 @@ def _dp(source: str, cell: str, head: str, cell0: str, value: str, name: str, k:
       UNION ALL
       SELECT ref_id, i2, j2, prev2, CASE WHEN i2 = 0 THEN CAST([{head}] AS {kind}[]) ELSE list_append(cur, CAST(CASE WHEN j2 = 0 THEN {cell0} ELSE {cell} END AS {kind})) END, CAST(k2 AS {kind})
       FROM (SELECT *, CASE WHEN i2 = 0 THEN {k0} ELSE {k} END AS k2 FROM (
-        SELECT dp.ref_id, prev, cur, k, m, n, r, o,
+        SELECT dp.ref_id, prev, cur, k, m, n, r, o{also},
           CASE WHEN i < m THEN i + 1 ELSE 0 END AS i2, CASE WHEN i < m THEN j ELSE j + 1 END AS j2,
           CASE WHEN i < m THEN prev ELSE cur END AS prev2, r[i + 1] AS p, CASE WHEN j > 0 THEN o[j] END AS q
         FROM dp JOIN pr USING (ref_id) WHERE i < m OR j < n)))
@@ -350,6 +350,28 @@ _NOWHERE = f"{{'h': {_INFTY}, 'v': {_INFTY}}}"
 _WITHIN = f"CASE WHEN m = 1 THEN len(list_filter(o, lambda x: abs(x - r[1]) > {EPS})) = 0 WHEN n = 1 THEN len(list_filter(r, lambda x: abs(x - o[1]) > {EPS})) = 0 ELSE abs(r[1] - o[1]) <= {EPS} AND abs(r[m] - o[n]) <= {EPS} AND (cur[m + 1].h < {_INFTY} OR cur[m + 1].v < {_INFTY}) END"
 ORACLES["q_continuous_within"] = "SELECT *, within AS checked FROM (" + _dp(_ORDERS, f"{{'h': {_H}, 'v': {_V}}}", _NOWHERE, _NOWHERE, _WITHIN, "within", k=_NOWHERE, k0=_NOWHERE, head0=_NOWHERE, kind="STRUCT(h DOUBLE, v DOUBLE)") + ")"
 
+#: The continuous distance in one dimension is one of these: distances of vertices of both curves, and half those of vertices of one.
+_CRITICAL = """list_sort(list_distinct(list_concat([0.0], flatten(list_transform(r, lambda x: list_transform(o, lambda y: abs(x - y)))),
+  flatten(list_transform(r, lambda x: list_transform(r, lambda y: abs(x - y) / 2))), flatten(list_transform(o, lambda x: list_transform(o, lambda y: abs(x - y) / 2))))))"""
+
+
+def _searched(rounds: int = 12) -> str:
+    """The least critical value within which the curves are, by halving; each round decides all pairs at once."""
+    at = lambda x: x.replace(str(EPS), "e")
+    steps = [f"""s0 AS MATERIALIZED (SELECT ref_id, obs_id, r, o, crit, 1 AS lo, len(crit) AS hi FROM (SELECT a.id AS ref_id, b.id AS obs_id, a.v AS r, b.v AS o, {_CRITICAL} AS crit FROM w a JOIN w b ON b.id = a.id + 1))"""]
+    for k in range(rounds):
+        decided = _dp(_ORDERS, f"{{'h': {at(_H)}, 'v': {at(_V)}}}", _NOWHERE, _NOWHERE, at(_WITHIN), "within", k=_NOWHERE, k0=_NOWHERE, head0=_NOWHERE, kind="STRUCT(h DOUBLE, v DOUBLE)", pairs=f"SELECT ref_id, obs_id, r, o, crit[(lo + hi) // 2] + 1e-9 AS e FROM s{k} WHERE lo < hi", also=", e")
+        steps.append(f"""s{k + 1} AS MATERIALIZED (SELECT s.ref_id, s.obs_id, r, o, crit, CASE WHEN d.within IS NULL OR d.within THEN lo ELSE (lo + hi) // 2 + 1 END AS lo, CASE WHEN d.within THEN (lo + hi) // 2 ELSE hi END AS hi
+          FROM s{k} s LEFT JOIN ({decided}) d ON d.ref_id = s.ref_id)""")
+    return f"WITH w AS ({_ORDERS}), {', '.join(steps)} SELECT ref_id, obs_id, round(crit[lo], 6) AS d, lo = hi AS below_discrete FROM s{rounds}"
+
+
+ORACLES["q_continuous_frechet"] = _searched()
+
+#: The length of the walk back from a cell: diagonally if that is reachable, else left, else down; 0 off the reachable part.
+_BACK = f"CASE WHEN {_MATCH} THEN CASE WHEN prev2[i2] > 0 THEN prev2[i2] + 1 WHEN cur[i2] > 0 THEN cur[i2] + 1 WHEN prev2[i2 + 1] > 0 THEN prev2[i2 + 1] + 1 ELSE 0 END ELSE 0 END"
+ORACLES["q_grid_path"] = _dp(_SAMPLED, _BACK, "0", "0", "CAST(greatest(cur[m + 1] - 1, 0) AS BIGINT)", "n_steps", head0="1", kind="BIGINT")
+
 #: Customers whose key is divisible by 100 against all others.
 _ASKED = "SELECT q.id * 1000000000 + t.id AS ref_id, t.id AS obs_id, t.v AS r, q.v AS o FROM c q JOIN c t ON q.id % 100 = 0 AND q.id <> t.id"
 _EDR_CELL = f"least(prev2[i2] + CASE WHEN {_MATCH} THEN 0 ELSE 1 END, prev2[i2 + 1] + 1, cur[i2] + 1)"
