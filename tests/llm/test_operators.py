@@ -174,6 +174,15 @@ def test_mixing_small_sources(spark):
     assert all(abs(r.taken - r.target) <= 0.5 for r in got)
 
 
+def test_golden_points(spark):
+    at = [0, 1, 2, 10**6, 2**31 - 2, 2**31, 2**40 + 12345, 10**15]
+    got = [r.u for r in spark.createDataFrame([(x,) for x in at], "slot long").select(mixing.golden_points(F.col("slot")).alias("u")).collect()]
+    step = mixing.GOLDEN[0] * 2**31 + mixing.GOLDEN[1]
+    assert got == [((x + 1) * step % 2**62) / 2**62 for x in at]
+    far = sorted(r.u for r in spark.range(10**14, 10**14 + 1000).select(mixing.golden_points(F.col("id")).alias("u")).collect())
+    assert max(b - a for a, b in zip(far, far[1:])) < 0.003
+
+
 def test_passages(docs, empty):
     got = {r.doc_id: r for r in paragraph_dedup.repeated_passages(docs).collect()}
     assert got[10].n_removed == 0 and got[11].n_removed == 63 and got[9].n_removed == 0 and got[0].text is None

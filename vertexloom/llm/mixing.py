@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from vertexloom.llm.base import Workspace
 from vertexloom.llm.quality import words
 
-GOLDEN = 0.6180339887498949
+#: The golden ratio's part of 2^62, in two halves of 31 bits.
+GOLDEN = divmod(2850178192232086377, 1 << 31)
 #: Fixed cycle of weights, by the place of a source in code point order.
 WEIGHTS = (3, 1, 2)
 
@@ -49,6 +50,15 @@ def _running(df: DataFrame, keys: list[str], order: list[str], value: str, bucke
     return out.select("o.*", (F.col("_head") + F.col("_in")).alias("before")).drop("_in")
 
 
+def golden_points(slot: Column) -> Column:
+    """frac((slot + 1) * phi) for slots below 2^61: multiplied in whole numbers modulo 2^62, so points stay evenly spread at any length."""
+    high, low = GOLDEN
+    mask = (1 << 31) - 1
+    x1, x0 = F.shiftright(slot + 1, 31), (slot + 1).bitwiseAND(F.lit(mask))
+    middle = (x0 * F.lit(high) + x1 * F.lit(low)).bitwiseAND(F.lit(mask))
+    return (x0 * F.lit(low) + F.shiftleft(middle, 31)).bitwiseAND(F.lit((1 << 62) - 1)) / F.lit(float(1 << 62))
+
+
 def schedule(targets: DataFrame, block: int) -> DataFrame:
     """slot, source, k (block within an epoch), take (words of the block), epoch.
 
@@ -71,7 +81,7 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     # A few more points than the total needs; what a source still misses then is made up after them.
     slots = int(total / block) + 64 + 8 * n + int(total / block) // 16
     grid = 4096
-    u = F.pmod((F.col("slot") + 1) * F.lit(GOLDEN), F.lit(1.0))
+    u = golden_points(F.col("slot"))
     s = spark.range(slots).withColumnRenamed("id", "slot").withColumn("x", u * F.lit(float(total))).withColumn("cell", F.floor(F.col("x") * grid / total).cast("long"))
     cells = t.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * grid / total).cast("long"), F.floor(F.col("hi") * grid / total).cast("long"))))
     s = s.join(cells.select("cell", "source", "lo", "hi", "goal", "source_size"), "cell").where("x >= lo and x < hi")
