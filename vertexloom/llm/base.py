@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,7 +58,7 @@ class Workspace:
     def keep(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
         """Write df as Parquet and read it back. batch: rows that readers and Arrow functions in it take at once, fewer for large rows."""
         path = self.path(name)
-        with rows_at_once(self.spark, batch):
+        with writing(self.spark, batch):
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._kept_at = path
@@ -71,9 +70,6 @@ class Workspace:
             if path := getattr(df, "_kept_at", None):
                 remove(self.spark, path)
 
-    def tidy(self) -> None:
-        tidy(self.spark)
-
     def clear(self) -> None:
         """Delete the folder with all that is left in it."""
         remove(self.spark, self.root)
@@ -88,11 +84,13 @@ def sweep() -> None:
 
 
 @contextmanager
-def rows_at_once(spark: SparkSession, rows: int | None):
-    """What is run meanwhile reads Parquet, and hands rows to Arrow functions, at most so many at once."""
-    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
-    before = {name: spark.conf.get(name) for name in names}
-    for name in names if rows is not None else ():
+def writing(spark: SparkSession, rows: int | None):
+    """Settings while a table is written: shuffle files go, on every executor, as soon as it is; Parquet readers and Arrow functions take at most so many rows at once."""
+    at_once = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = {name: spark.conf.get(name) for name in (*at_once, cleanup)}
+    spark.conf.set(cleanup, "true")
+    for name in at_once if rows is not None else ():
         spark.conf.set(name, min(rows, int(before[name])))
     try:
         yield
@@ -101,12 +99,6 @@ def rows_at_once(spark: SparkSession, rows: int | None):
             spark.conf.set(name, value)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -140,15 +132,17 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     seen = _digest(e)
     while seen[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Minima are written first: a join whose sides both are shuffles can split a vertex that very many edges meet in.
+        low = ws.keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = ws.keep(large.where("a <> b").distinct(), "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        ws.drop(low)
+        low = ws.keep(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         new = ws.keep(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         now = _digest(new)
-        ws.drop(e, large)
+        ws.drop(e, large, low)
         e = new
         if now == seen:
             break

@@ -241,7 +241,6 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
         both = ta.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
         out = ws.keep(both.mapInArrow(_confirm(k, num, den), "a long, b long").distinct(), "links", 128)
         ws.drop(pairs)
-        ws.tidy()
         return out
 
     # First links: every row with the smallest row of its nodes.
@@ -259,13 +258,11 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
     wide = wide.select("rep", "comp", "sig", side.alias("side"), "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     open_ = wide.groupBy("node", "lo", "hi").applyInArrow(_alike(num / den - 0.15), "rep long, comp long, side int, node long, lo long, hi long")
     open_ = ws.keep(open_, "open", 1024)
-    ws.tidy()
     some = text.join(open_.select(F.col("rep").alias("u")).distinct().hint("shuffle_hash"), text.doc_id == F.col("u"), "left_semi")
     full = open_.join(some.select(F.col("doc_id").alias("rep"), "text"), "rep")
     more = full.groupBy("node", "lo", "hi").applyInArrow(_link(k, num, den), "a long, b long").distinct()
     links = links.union(ws.keep(more, "links", 256))
     ws.drop(open_, torn, comp, reps, *grown)
-    ws.tidy()
     comp = components(ws, links)
     named = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sk.select("doc_id", "n_shingles", "digest").join(ws.keep(named, "named"), "digest", "left")
@@ -273,5 +270,4 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     out = ws.keep(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result")
     ws.drop(sk)
-    ws.tidy()
     return out

@@ -347,7 +347,6 @@ def _links(ws: Workspace, hits: DataFrame, bands: int, block: int, num: int, den
     put = put.select("content", "shingles", side.alias("side"), "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     links = ws.keep(put.groupBy("band", "lo", "hi").applyInArrow(_verify(num, den), "a long, b long").distinct(), "links", 1024)
     ws.drop(kinds, sizes)
-    ws.tidy()
     return links
 
 
@@ -405,17 +404,13 @@ def repeated_passages(docs: DataFrame, num: int = 4, den: int = 5, bands: int =
     count = buckets_for(chunks)
     said = chunks.select("cid", "items").mapInArrow(_announce(bands, count), _SAID)
     answers = ws.keep(said.groupBy("bucket").applyInArrow(_repeated, _ANSWER), "answers", AT_ONCE)
-    ws.tidy()
     hits = ws.keep(beside(chunks, answers, _colliding(bands), HITS), "hits", AT_ONCE)
     ws.drop(answers)
-    ws.tidy()
     comp = components(ws, _links(ws, hits, bands, block, num, den))
     drops = _drops(ws, hits, comp)
     ws.drop(hits)
-    ws.tidy()
     schema = f"doc_id long, n_words long, n_removed long, n_spans long, text string, rest {chunks.schema['items'].dataType.elementType['rest'].dataType.simpleString()}"
     # Written a few chunks at a time, so that all else can go.
     out = ws.keep(beside(chunks, drops, _cut, schema), "result", AT_ONCE)
     ws.drop(chunks, drops)
-    ws.tidy()
     return out

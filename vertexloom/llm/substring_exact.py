@@ -281,14 +281,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False,
     count = buckets_for(chunks)
     said = chunks.mapInArrow(_announce(length, count), "bucket long, cid long, key binary, sig binary, many binary")
     settled = ws.keep(said.groupBy("bucket").applyInArrow(_settle, "cid long, bucket long, flags binary"), "settled", AT_ONCE)
-    ws.tidy()
     sent = beside(chunks, settled, _contexts(length, count), "bucket long, cid long, place binary, begin binary, starts binary, data binary")
     ordered = ws.keep(sent.groupBy("bucket").applyInArrow(_suffix_order(length), "cid long, place binary, begin binary, starts binary, bits binary"), "ordered", AT_ONCE)
-    ws.tidy()
     answers = settled.unionByName(ordered, allowMissingColumns=True)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     # Written a few chunks at a time, so that all else can go.
     out = ws.keep(beside(chunks, answers, _remove(length, with_text), schema), "result", AT_ONCE)
     ws.drop(chunks, settled, ordered)
-    ws.tidy()
     return out

@@ -57,7 +57,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     # Repeated rows (same id, same text) give the same count twice.
     fresh = fresh.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).withColumn("tokenizer", F.lit(version))
     fresh.select("digest", "tokenizer", "n_tokens").write.mode("append").option("compression", "zstd").parquet(cache_path)
-    ws.tidy()
     # Written first: a join whose sides both are shuffles can split a text that very many documents hold.
     known = ws.keep(_stored(spark, cache_path, version), "known")
     return slim.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
