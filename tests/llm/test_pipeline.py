@@ -46,8 +46,8 @@ def line_goes(line):
         10 * sum(c in "#*$%&|<>" for c in line) > len(line)
         or (len(w) >= 4 and 2 * sum(c in "!?" for c in line) > len(w))
         or (seps >= 3 and 5 * seps > len(w))
-        or (len(w) < 40 and any(p in low for p in BOILERPLATE))
-        or (len(w) < 12 and not re.search(r"""[.!?…:;,。！？]["'»”’)\]]*[\x20\x09-\x0D]*$""", line))
+        or (len(w) < 40 and any(re.search("(?<![a-z])" + re.escape(p), low) for p in BOILERPLATE))
+        or (len(w) < 12 and not re.search(r"""[.!?…:;,。！？]["'»”’)\]]*[\x20\x09-\x0D]*$""", line[-8:]))
     )
 
 

@@ -71,8 +71,10 @@ def _paths(trials: int, steps: int, again: float):
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
                 n = part.num_rows
-                node, row = _branch(np.repeat(roots, n), np.tile(np.arange(n), trials), _sigs(part.column("sig")), steps, again)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), part.column("rep").take(pa.array(row))], ["node", "rep"])
+                sig = _sigs(part.column("sig"))
+                for tree, root in enumerate(roots):
+                    node, row = _branch(np.full(n, root), np.arange(n), sig, steps, again)
+                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), part.column("rep").take(pa.array(row)), pa.array(np.full(len(row), tree, np.int32))], ["node", "rep", "tree"])
 
     return run
 
@@ -85,7 +87,7 @@ def _deeper(steps: int, again: float):
             if b.num_rows:
                 node = b.column("node").to_numpy().view(np.uint64)
                 node, row = _branch(node, np.arange(b.num_rows), _sigs(b.column("sig")), steps, again)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column("rep").take(pa.array(row))], ["node", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *[b.column(c).take(pa.array(row)) for c in ("rep", "tree")]], ["node", "rep", "tree"])
 
     return run
 
@@ -176,6 +178,27 @@ def _confirm(k: int, num: int, den: int):
     return run
 
 
+def _exhaust(ws: Workspace, nodes: DataFrame, comp: DataFrame, reps: DataFrame, text: DataFrame, k: int, num: int, den: int, leaf: int) -> DataFrame:
+    """Links between rows of different components that share a node: sketches single out rows, full sets decide."""
+    placed = nodes.select("node", "rep", "n").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    torn = placed.groupBy("node").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("node")
+    torn = ws.keep(placed.join(torn, "node", "left_semi").select("node", "rep", "n", "comp").dropDuplicates(["node", "rep"]), "torn")
+    wide = torn.join(reps.dropDuplicates(["rep"]), "rep")
+    parts = F.ceil(F.col("n") / (4 * leaf)).cast("long")
+    wide = wide.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    # A row meets every block of its node once: side 0 from the lower block, 1 from the higher, 2 within one.
+    side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
+    wide = wide.select("rep", "comp", "sig", side.alias("side"), "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    open_ = wide.groupBy("node", "lo", "hi").applyInArrow(_alike(num / den - 0.15), "rep long, comp long, side int, node long, lo long, hi long")
+    open_ = ws.keep(open_, "open", 1024)
+    some = text.join(open_.select(F.col("rep").alias("u")).distinct().hint("shuffle_hash"), text.doc_id == F.col("u"), "left_semi")
+    full = open_.join(some.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    links = ws.keep(full.groupBy("node", "lo", "hi").applyInArrow(_link(k, num, den), "a long, b long").distinct(), "links", 256)
+    ws.drop(torn, open_)
+    return links
+
+
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, trials: int = 16, start: int = 4, leaf: int = 64, deepest: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs.
 
@@ -211,7 +234,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
     reps = ws.keep(mine.dropDuplicates(["rep", "digest"]).select("rep", "sig"), "reps")
 
     grown = []
-    rows = ws.keep(reps.mapInArrow(_paths(trials, start, again), "node long, rep long"), "paths", 2048)
+    rows = ws.keep(reps.mapInArrow(_paths(trials, start, again), "node long, rep long, tree int"), "paths", 2048)
     for depth in range(start, deepest + 1, 2):
         sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1")
         # Written first: a join whose sides both are shuffles can split a node that very many rows are at.
@@ -222,10 +245,10 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
             grown.append(live)
             break
         grown.append(live)
-        big = live.where(F.col("n") > leaf).select("node", "rep")
+        big = live.where(F.col("n") > leaf).select("node", "rep", "tree")
         if big.isEmpty():
             break
-        rows = ws.keep(big.join(reps.dropDuplicates(["rep"]), "rep").mapInArrow(_deeper(2, again), "node long, rep long"), "paths")
+        rows = ws.keep(big.join(reps.dropDuplicates(["rep"]), "rep").mapInArrow(_deeper(2, again), "node long, rep long, tree int"), "paths", 2048)
     # Of all but the last level only the small nodes count; large ones have branched on.
     nodes = grown[-1]
     for more in grown[:-1]:
@@ -245,24 +268,13 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
 
     # First links: every row with the smallest row of its nodes.
     links = confirm(nodes.where("lead < rep").groupBy("rep").agg(F.min("lead").alias("a")).select("a", F.col("rep").alias("b")))
-    comp = ws.keep(components(ws, links), "components")
-    placed = nodes.select("node", "rep", "n").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    torn = placed.groupBy("node").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("node")
-    torn = ws.keep(placed.join(torn, "node", "left_semi").select("node", "rep", "n", "comp").dropDuplicates(["node", "rep"]), "torn")
-    wide = torn.join(reps.dropDuplicates(["rep"]), "rep")
-    parts = F.ceil(F.col("n") / (4 * leaf)).cast("long")
-    wide = wide.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    # A row meets every block of its node once: side 0 from the lower block, 1 from the higher, 2 within one.
-    side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
-    wide = wide.select("rep", "comp", "sig", side.alias("side"), "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    open_ = wide.groupBy("node", "lo", "hi").applyInArrow(_alike(num / den - 0.15), "rep long, comp long, side int, node long, lo long, hi long")
-    open_ = ws.keep(open_, "open", 1024)
-    some = text.join(open_.select(F.col("rep").alias("u")).distinct().hint("shuffle_hash"), text.doc_id == F.col("u"), "left_semi")
-    full = open_.join(some.select(F.col("doc_id").alias("rep"), "text"), "rep")
-    more = full.groupBy("node", "lo", "hi").applyInArrow(_link(k, num, den), "a long, b long").distinct()
-    links = links.union(ws.keep(more, "links", 256))
-    ws.drop(open_, torn, comp, reps, *grown)
+    # A few trees first: what they link needn't be compared in the others.
+    some = max(1, trials // 4)
+    for lo, hi in ((0, some), (some, trials)):
+        comp = ws.keep(components(ws, links), "components")
+        links = links.union(_exhaust(ws, nodes.where((F.col("tree") >= lo) & (F.col("tree") < hi)), comp, reps, text, k, num, den, leaf))
+        ws.drop(comp)
+    ws.drop(reps, *grown)
     comp = components(ws, links)
     named = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sk.select("doc_id", "n_shingles", "digest").join(ws.keep(named, "named"), "digest", "left")

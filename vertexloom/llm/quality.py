@@ -23,13 +23,15 @@ BOILERPLATE = (
     "tous droits réservés", "sous licence", "conditions d'utilisation", "politique de confidentialité", "accepter les cookies", "cliquez ici", "lire la suite", "mentions légales",
     "todos los derechos reservados", "bajo licencia", "términos de uso", "política de privacidad", "aceptar cookies", "haga clic aquí", "leer más", "aviso legal",
 )
-PHRASES = "(?iu)(?:" + "|".join(BOILERPLATE) + ")"
+#: Of lower-case texts behind a line end: a phrase that no letter stands before, by its first letter, so that most places need one look.
+PHRASES = "[^a-z](?:" + "|".join(x + "(?:" + "|".join(p[1:] for p in BOILERPLATE if p[0] == x) + ")" for x in sorted({p[0] for p in BOILERPLATE})) + ")"
 #: Separators of menus, when they stand alone as words.
 SEPARATORS = ("|", "»", ">", "•", "/", "·")
-#: The end of a line that is a sentence, or leads to one.
+#: The end of a line that is a sentence, or leads to one: looked for in its last LAST characters.
+LAST = 8
 ENDED = "[.!?…:;,。！？][\"'»”’)\\]]*[\x20\x09-\x0D]*\\z"
 #: Without one of these and with a sentence's end, a line can fail by its phrases alone.
-MARKS = f"[{SYMBOLS}»•/·!?]"
+MARKS = f"[{SYMBOLS}»/·!?]"
 
 
 def let(value: Column, body) -> Column:
@@ -66,25 +68,35 @@ def repeated_words(ws: Column, k: int = 5) -> Column:
     return F.when(n > k, let(let(F.transform(ws, lambda w: F.xxhash64(w)), windows), judged)).otherwise(0)
 
 
+def phrased(text: Column) -> Column:
+    """Whether a text holds a boilerplate phrase."""
+    return F.rlike(F.concat(F.lit("\n"), F.lower(text)), F.lit(PHRASES))
+
+
+def ended(line: Column) -> Column:
+    """Whether a line ends as sentences do."""
+    return F.rlike(F.substring(line, -LAST, LAST), F.lit(ENDED))
+
+
 def line_fails(line: Column, furnished: Column) -> Column:
     """True for a line of navigation, boilerplate, shouting, or hardly any words among symbols. furnished: whether the text holds a boilerplate phrase at all.
 
     Lines without a word never fail. A line fails if: it is short (under 40 words)
-    and holds a boilerplate phrase; it has 3 or more separators ('|', '»', '>' or '•') standing
+    and holds a boilerplate phrase, in any case, that doesn't begin inside a word; it has 3 or more separators ('|', '»', '>' or '•') standing
     alone as words, over a fifth of its words; symbols are over a tenth of its characters;
     most of its words end in '!' or '?' (at least 4 words); or it has under 12 words and doesn't end as sentences do.
     """
 
     def judged(ws: Column) -> Column:
         n, chars = F.size(ws), F.char_length(line)
-        boiler = (n < 40) & furnished & F.rlike(line, F.lit(PHRASES))
+        boiler = (n < 40) & furnished & phrased(line)
         seps = F.size(F.filter(ws, lambda w: w.isin(*SEPARATORS)))
         navigation = let(seps, lambda k: (k >= 3) & (k * 5 > n))
         symbols = (chars - F.char_length(F.translate(line, SYMBOLS, ""))) * 10 > chars
         shouts = chars - F.char_length(F.translate(line, "!?", ""))
-        return (n > 0) & (symbols | ((n >= 4) & (shouts * 2 > n)) | navigation | boiler | ((n < 12) & ~F.rlike(line, F.lit(ENDED))))
+        return (n > 0) & (symbols | ((n >= 4) & (shouts * 2 > n)) | navigation | boiler | ((n < 12) & ~ended(line)))
 
-    may = F.rlike(line, F.lit(MARKS)) | ~F.rlike(line, F.lit(ENDED)) | furnished
+    may = ~ended(line) | furnished | F.rlike(line, F.lit(MARKS)) | F.contains(line, F.lit("•"))
     return F.when(may, let(words(line), judged)).otherwise(False)
 
 
@@ -96,6 +108,11 @@ def gapless(text: Column) -> Column:
 def _verdict(text: Column, most_lost: float) -> Column:
     """All of a document's findings in one struct; what is used twice is bound, so nothing is evaluated twice."""
 
+    def cleaned(t: Column) -> Column:
+        """The lines that stay; NULL if all do."""
+        fails = lambda x: line_fails(x, t["f"])
+        return F.when(F.exists(t["l"], fails), F.array_join(F.filter(t["l"], lambda x: ~fails(x)), "\n"))
+
     def of_words(ws: Column) -> Column:
         worded = let(F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORDED))), lambda x: F.size(x) - F.size(F.array_distinct(x)))
         return let(
@@ -105,7 +122,7 @@ def _verdict(text: Column, most_lost: float) -> Column:
                 F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
                 worded.cast("long").alias("n_dup_lines"),
                 repeated_words(ws).cast("long").alias("n_repeat_words"),
-                let(F.rlike(text, F.lit(PHRASES)), lambda f: F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x, f)), "\n")).alias("cleaned"),
+                let(F.struct(phrased(text).alias("f"), F.split(text, "\n").alias("l")), cleaned).alias("cleaned"),
             ),
             judged,
         )

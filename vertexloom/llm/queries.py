@@ -93,7 +93,7 @@ grams AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS times FROM (SELECT r
 repeats AS (SELECT r, count(DISTINCT i + j) AS n FROM grams, (SELECT unnest(range(5)) AS j) WHERE times > 1 GROUP BY r),
 l AS (SELECT r, line, {_WORDS("line")} AS w FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
 worded AS (SELECT r, line, len(w) AS n, len(array_to_string(w, '')) AS chars, len(line) AS size, len(list_filter(w, lambda x: x IN ({_SEPS}))) AS seps, {_SYMBOLS.format("line")} AS symbols, len(regexp_extract_all(line, '[!?]')) AS shouts,
-  regexp_matches(line, {_QUOTED(quality.PHRASES.replace("(?iu)", "(?i)"))}) AS boiler, regexp_matches(line, {_QUOTED(quality.ENDED)}) AS ended FROM l WHERE len(w) > 0),
+  regexp_matches(chr(10) || lower(line), {_QUOTED(quality.PHRASES)}) AS boiler, regexp_matches(right(line, {quality.LAST}), {_QUOTED(quality.ENDED)}) AS ended FROM l WHERE len(w) > 0),
 lines AS (SELECT r, count(*) - count(DISTINCT line) AS dup, coalesce(sum(CASE WHEN symbols * 10 > size OR (n >= 4 AND shouts * 2 > n) OR (seps >= 3 AND seps * 5 > n) OR (n < 40 AND boiler) OR (n < 12 AND NOT ended) THEN 0 ELSE chars END), 0) AS kept_chars FROM worded GROUP BY r),
 v AS (SELECT doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(array_to_string(w.w, '')) AS BIGINT) AS word_chars, CAST({_SYMBOLS.format("t")} AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words, coalesce(kept_chars, 0) AS kept_chars
   FROM w LEFT JOIN repeats USING (r) LEFT JOIN lines USING (r))
