@@ -49,7 +49,10 @@ def outcomes(scored: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 5
         cols[f"hit{k}_expected"] = F.when(found & (room > 0), 1 - _miss(n, r, F.least(room, n))).otherwise(0.0)
         cols[f"hit{k}_optimistic"] = F.when(found & (b + 1 <= k), 1.0).otherwise(0.0)
     ways = F.sequence(F.lit(1).cast("long"), n - r + 1)
-    mean = F.aggregate(ways, F.lit(0.0), lambda s, i: s + _miss(n, r, i - 1) * r / (n - i + 1) / (b + i))
+    # miss: chance that the first i - 1 drawn of the group hold no relevant one.
+    start = F.struct(F.lit(1.0).alias("miss"), F.lit(0.0).alias("sum"))
+    drawn = lambda s, i: F.struct((s["miss"] * (n - r - i + 1) / (n - i + 1)).alias("miss"), (s["sum"] + s["miss"] * r / (n - i + 1) / (b + i)).alias("sum"))
+    mean = F.aggregate(ways, start, drawn, lambda s: s["sum"])
     cols |= {"rr_strict": F.when(found, 1 / (b + n - r + 1)).otherwise(0.0), "rr_expected": F.when(found, mean).otherwise(0.0), "rr_optimistic": F.when(found, 1 / (b + 1)).otherwise(0.0)}
     return out.withColumns(cols).drop("g", "top")
 
