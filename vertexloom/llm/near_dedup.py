@@ -119,7 +119,7 @@ def _link(k: int, num: int, den: int):
         from vertexloom.llm.textblocks import Words, shingles
 
         rep, comp = t.column("rep").to_numpy(), t.column("comp").to_numpy()
-        sets = []
+        sets: list[np.ndarray] = []
         for b in t.select(["text"]).combine_chunks().to_batches():
             for part in slices(b, "text"):
                 w = Words(part.column("text"))
@@ -127,6 +127,8 @@ def _link(k: int, num: int, den: int):
                 sets += [np.unique(shingles(h[w.first_word[i] : w.first_word[i + 1]], k)) for i in range(len(w))]
         size = np.array([len(s) for s in sets])
         row = np.repeat(np.arange(len(sets)), size)
+        if not sets:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         _, word, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         shared = times[word] > 1
         row, word = row[shared], word[shared]
@@ -178,6 +180,16 @@ def _confirm(k: int, num: int, den: int):
     return run
 
 
+def _meet(k: int, num: int, den: int):
+    """Links inside a node, or two of its blocks: only rows whose sketch is within 0.15 of the threshold of another component's row have their full sets compared."""
+    alike, link = _alike(num / den - 0.15), _link(k, num, den)
+
+    def run(t):
+        return link(alike(t))
+
+    return run
+
+
 def _exhaust(ws: Workspace, nodes: DataFrame, comp: DataFrame, reps: DataFrame, text: DataFrame, k: int, num: int, den: int, leaf: int) -> DataFrame:
     """Links between rows of different components that share a node: sketches single out rows, full sets decide."""
     placed = nodes.select("node", "rep", "n").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
@@ -190,12 +202,10 @@ def _exhaust(ws: Workspace, nodes: DataFrame, comp: DataFrame, reps: DataFrame,
     # A row meets every block of its node once: side 0 from the lower block, 1 from the higher, 2 within one.
     side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
     wide = wide.select("rep", "comp", "sig", side.alias("side"), "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    open_ = wide.groupBy("node", "lo", "hi").applyInArrow(_alike(num / den - 0.15), "rep long, comp long, side int, node long, lo long, hi long")
-    open_ = ws.keep(open_, "open", 1024)
-    some = text.join(open_.select(F.col("rep").alias("u")).distinct().hint("shuffle_hash"), text.doc_id == F.col("u"), "left_semi")
-    full = open_.join(some.select(F.col("doc_id").alias("rep"), "text"), "rep")
-    links = ws.keep(full.groupBy("node", "lo", "hi").applyInArrow(_link(k, num, den), "a long, b long").distinct(), "links", 256)
-    ws.drop(torn, open_)
+    some = text.join(torn.select(F.col("rep").alias("u")).distinct().hint("shuffle_hash"), text.doc_id == F.col("u"), "left_semi")
+    met = wide.join(some.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    links = ws.keep(met.groupBy("node", "lo", "hi").applyInArrow(_meet(k, num, den), "a long, b long").distinct(), "links", 256)
+    ws.drop(torn)
     return links
 
 
