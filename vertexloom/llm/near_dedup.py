@@ -118,6 +118,8 @@ def _link(k: int, num: int, den: int):
 
         from vertexloom.llm.textblocks import Words, shingles
 
+        if not t.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         rep, comp = t.column("rep").to_numpy(), t.column("comp").to_numpy()
         sets: list[np.ndarray] = []
         for b in t.select(["text"]).combine_chunks().to_batches():
@@ -127,8 +129,6 @@ def _link(k: int, num: int, den: int):
                 sets += [np.unique(shingles(h[w.first_word[i] : w.first_word[i + 1]], k)) for i in range(len(w))]
         size = np.array([len(s) for s in sets])
         row = np.repeat(np.arange(len(sets)), size)
-        if not sets:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         _, word, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         shared = times[word] > 1
         row, word = row[shared], word[shared]
