@@ -196,7 +196,7 @@ def _exhaust(ws: Workspace, nodes: DataFrame, comp: DataFrame, reps: DataFrame,
     torn = placed.groupBy("node").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("node")
     torn = ws.keep(placed.join(torn, "node", "left_semi").select("node", "rep", "n", "comp").dropDuplicates(["node", "rep"]), "torn")
     wide = torn.join(reps.dropDuplicates(["rep"]), "rep")
-    parts = F.ceil(F.col("n") / (4 * leaf)).cast("long")
+    parts = F.ceil(F.col("n") / (16 * leaf)).cast("long")
     wide = wide.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")))
     wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     # A row meets every block of its node once: side 0 from the lower block, 1 from the higher, 2 within one.
