@@ -242,7 +242,7 @@ def learn(labelled: DataFrame, most_terms: int = 2000, least_docs: int = 5, leas
     return full
 
 
-def sample_labels(labels: DataFrame, most_rows: int = 100_000, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+def sample_labels(labels: DataFrame, most_rows: int = 25_000, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
     """(doc_id, toxic), one row per labelled document, of at most about most_rows documents chosen by the hash of their id.
 
     most_rows bounds what a lexicon is fitted on, and so what is broadcast: at most that many rows are
