@@ -5,6 +5,8 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -426,3 +428,30 @@ def test_toxicity_held_out(spark):
     assert not any("qq" in t for t in lexicon.weights)
     got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs.where("doc_id % 4 = 2 or doc_id = 3000"), lexicon).collect()}
     assert all(got[i] == t for i, _, t in rows if i in got)
+
+
+def test_ann_sends_a_query_once_a_block():
+    """Queries and what is found for them go once a block of leaves, not once a leaf; copies of a vector are found by the smallest ids."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 16))
+    x[3000:3400] = x[0]
+    tree = ann.Tree(x[::3], float(np.sqrt((x * x).sum(1).max())), 16, 16, 256)
+    leaf = tree.assign(x)
+    first, cuts = ann._plan(np.bincount(leaf, minlength=tree.leaves), 1024)
+    ids, n_blocks = np.arange(6000), int((first + cuts).max())
+    asked = pa.RecordBatch.from_arrays([pa.array(ids[:100]), pa.array(ids[:100]), pa.array(list(x[:100]))], ["key", "id", "v"])
+    sent = pa.Table.from_batches(ann._ask(tree, 0, tree.leaves, first, cuts)([asked]))
+    assert tree.leaves > 2 * n_blocks and sent.num_rows == 100 * n_blocks
+    block = first[leaf] + ids % cuts[leaf]
+    found = []
+    for b in range(n_blocks):
+        mine = np.flatnonzero(block == b)
+        rows = pa.table([pa.array(mine), pa.array(list(x[mine])), pa.array(leaf[mine])], names=["id", "v", "leaf"])
+        of_b = sent.filter(pa.compute.equal(sent.column("block"), b)).drop_columns("block")
+        found.append(ann._scan(20, 0, ann._spans(first, cuts)[0])((pa.scalar(b), pa.scalar(0)), rows, of_b))
+    assert sum(f.num_rows for f in found) == 100 * n_blocks
+    for q in range(100):
+        got = [(-s, v) for f in found for key, vs, ss in zip(*(f.column(c).to_pylist() for c in ("key", "vec_ids", "scores")), strict=True) if key == q for v, s in zip(vs, ss, strict=True)]
+        score = (x * x[q]).sum(axis=1)
+        score[q] = -np.inf
+        assert [v for _, v in sorted(got)[:20]] == np.lexsort((ids, -score))[:20].tolist()
