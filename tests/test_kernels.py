@@ -111,3 +111,20 @@ def test_simplification_by_significance():
         kept, used = simplify.simplify_to(pts, 30, tol) if len(plain(0, 59, tol)) + 2 <= 30 else (None, None)
         if kept is not None:
             assert set(kept.tolist()) == plain(0, 59, used) | {0, 59} and (used == tol / 64 or len(plain(0, 59, used / 2)) + 2 > 30)
+
+
+def test_rounded_distances_are_those_of_sql():
+    """Values whose difference only rounds to the limit: exactly farther than 100, or not, but 100 as doubles."""
+    from fractions import Fraction
+
+    from vertexloom.kernels import batch as B
+
+    rng = np.random.default_rng(2)
+    low = np.round(rng.uniform(0, 400, 4000), 2)
+    high = np.round(low + 100, 2)
+    odd = [(x, y) for x, y in zip(low, high, strict=True) if (y - x <= 100) != (Fraction(float(y)) - Fraction(float(x)) <= 100)]
+    assert odd
+    p = B.Pairs([np.array([[x]]) for x, _ in odd], [np.array([[y]]) for _, y in odd])
+    rounded = B.edit_cost(p, 100.0, "delete", rounded=True) < B.NEVER
+    assert rounded.tolist() == [abs(x - y) <= 100.0 for x, y in odd]
+    assert (rounded != (B.edit_cost(p, 100.0, "delete") < B.NEVER)).all()
