@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vertexloom.functions import curves as C
 from vertexloom.operators import continuous
 from vertexloom.operators.edits import continuous_edits, discrete_edits
-from vertexloom.session import deal, ship
+from vertexloom.session import deal, settle, ship
 
 MOST_COURSE, MOST_TRACK, MOST_GLITCHES, MOST_CELLS = 150, 600, 25, 40_000
 MOST_FIXES, MOST_LATITUDE, MOST_EXTENT = 50_000, 80.0, 100_000.0
@@ -71,18 +71,19 @@ def audit(pairs: DataFrame, delta: float, deal_by: str | None = None) -> DataFra
     """
     if not LEAST_DELTA <= delta <= MOST_DELTA:
         raise ValueError(f"delta must be from {LEAST_DELTA:g} to {MOST_DELTA:g} metres")
+    names, pairs = pairs.columns, settle(pairs)
     both = F.concat("course", "track")
     first = F.element_at("course", 1)["lon"]
     lats, easts = F.transform(both, lambda p: p["lat"]), F.transform(both, lambda p: F.pmod(p["lon"] - first + 180, F.lit(360.0)) - 180)
     sides = {"s": F.array_min(lats), "n": F.array_max(lats), "w": F.array_min(easts), "e": F.array_max(easts)}
-    d = pairs.withColumn("_box", F.struct(*[c.alias(k) for k, c in sides.items()]))
+    d = settle(pairs.withColumn("_box", F.struct(*[c.alias(k) for k, c in sides.items()])))
     d = d.withColumns({"lat0": (F.col("_box.s") + F.col("_box.n")) / 2, "lon0": first + (F.col("_box.w") + F.col("_box.e")) / 2})
     # The span comes from the box, not from projected fixes: the filter below is pushed under the projection and would repeat it.
     east, north = F.radians(F.col("_box.e") - F.col("_box.w")) * F.cos(F.radians("lat0")), F.radians(F.col("_box.n") - F.col("_box.s"))
     wide = F.sqrt(east * east + north * north) * C.EARTH > MOST_EXTENT
     reasons = (fix_problems(F.col("course"), "course"), fix_problems(F.col("track"), "track"), F.when(wide, f"the two span more than {MOST_EXTENT / 1000:g} km"))
-    d = d.withColumn("problem", F.coalesce(*reasons)).drop("_box")
-    refused, d = d.where("problem is not null").select(*pairs.columns, "problem"), d.where("problem is null")
+    d = settle(d.withColumn("problem", F.coalesce(*reasons)).drop("_box"))
+    refused, d = d.where("problem is not null").select(*names, "problem"), d.where("problem is null")
     # Rows are small and kernels costly: a stated number of partitions, which adaptive execution leaves alone.
     d = deal(d, *([deal_by] if deal_by else []))
     xy = lambda c: F.transform(c, lambda p: C.to_xy(p["lat"], p["lon"], F.col("lat0"), F.col("lon0")))
