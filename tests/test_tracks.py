@@ -100,3 +100,46 @@ def test_commands(spark, tmp_path, capsys):
     commands.main(["rank", "--families", "3", "--top", "2"], spark)
     ranked = [json.loads(x) for x in capsys.readouterr().out.strip().split("\n")]
     assert ranked[0]["template_id"].startswith("fam00") and ranked[0]["status"] == "optimal"
+
+
+def test_grouped_scores_equal_scores_of_pairs(spark):
+    """Copies of curves under other ids, ties, a query among the routes: groups as tie_groups gives them, best routes as scores() ranks them."""
+    from pyspark.sql import functions as F
+
+    from vertexloom.operators import experiment, retrieval
+
+    curves = [[[float((7 * i + j * j) % 23)] for j in range(2 + i % 4)] for i in range(9)]
+    rows = [(i, curves[i % 9]) for i in range(27)]
+    routes = spark.createDataFrame(rows, "route_id long, pts array<array<double>>")
+    queries = routes.where("route_id % 5 = 0").select(F.col("route_id").alias("query_id"), (F.col("route_id") + 1).alias("relevant_id"), "pts")
+    methods = ("edr", "fed_delete")
+    pairs = experiment.scores(queries.drop("relevant_id"), routes, 4.0, methods=methods).where("query_id <> template_id").cache()
+    want = retrieval.tie_groups(pairs, queries.select("query_id", F.col("relevant_id").alias("template_id")))
+    columns = ["query_id", "method", "score", "size", "rel", "first_id", "before"]
+    got = retrieval.ranked(experiment.tallies(queries, routes, 4.0, methods))
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+    others = routes.where("route_id % 5 <> 0")
+    best = {(r.query_id, r.rank): (r.template_id, r.cost) for r in experiment.best_routes(queries.drop("relevant_id"), others, 4.0, top=3).collect()}
+    left = {}
+    for r in sorted(pairs.where("method = 'fed_delete' and template_id % 5 <> 0").collect(), key=lambda r: (r.query_id, r.score, r.template_id)):
+        n = sum(q == r.query_id for q, _ in left)
+        if n < 3 and r.score < float("inf"):
+            left[r.query_id, n + 1] = (r.template_id, int(r.score))
+    assert best == left
+
+
+def test_copies_of_a_curve_are_scored_once():
+    import numpy as np
+    import pyarrow as pa
+
+    from vertexloom.operators import experiment
+
+    met, inner = [], experiment._block(("edr",), 1.0, 1.0)
+    block = lambda t, q: met.append((t.num_rows, q.num_rows)) or inner(t, q)
+    curve = [[1.0], [2.0]]
+    routes = pa.table([pa.array(np.arange(50)), pa.array([curve] * 50)], names=["template_id", "pts"])
+    queries = pa.table([pa.array([0, 100]), pa.array([1, 101]), pa.array([curve] * 2)], names=["query_id", "relevant_id", "query"])
+    got = experiment._tally(block, ("edr",))(routes, queries).to_pylist()
+    assert met == [(1, 1)]
+    assert [(r["query_id"], r["size"], r["rel"], r["first_id"]) for r in got] == [(0, 49, 1, 1), (100, 50, 0, 0)]
