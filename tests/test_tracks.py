@@ -143,3 +143,47 @@ def test_copies_of_a_curve_are_scored_once():
     got = experiment._tally(block, ("edr",))(routes, queries).to_pylist()
     assert met == [(1, 1)]
     assert [(r["query_id"], r["size"], r["rel"], r["first_id"]) for r in got] == [(0, 49, 1, 1), (100, 50, 0, 0)]
+
+
+def test_counted_outcomes_equal_outcomes_of_pairs(spark):
+    """Counts of blocks give what pairs give: copies, ties, infeasible scores, queries among the routes or not, relevant routes that are missing or the query itself."""
+    from pyspark.sql import functions as F
+
+    from vertexloom.operators import experiment, retrieval
+
+    curves = [[[float((7 * i + j * j) % 23)] for j in range(2 + i % 4)] for i in range(11)]
+    routes = spark.createDataFrame([(i, curves[i % 11 if i < 30 else 10 - i % 3]) for i in range(35)], "route_id long, pts array<array<double>>")
+    asked = [(i, i + 1, curves[i % 11 if i < 30 else 10 - i % 3]) for i in range(0, 35, 5)] + [(100, 3, curves[0]), (101, 999, curves[4]), (5000, 5000, [[1.0], [2.0]]), (34, 34, curves[2])]
+    queries = spark.createDataFrame(asked, "query_id long, relevant_id long, pts array<array<double>>")
+    # Without any other curve like its own, and with routes that nothing reaches.
+    routes = routes.union(spark.createDataFrame([(5000, [[1.0], [2.0]]), (5001, [[1e6], [2e6]])], routes.schema))
+    pairs = experiment.scores(queries.drop("relevant_id"), routes, 4.0).where("query_id <> template_id").cache()
+    relevant = queries.where("relevant_id <> query_id").select("query_id", F.col("relevant_id").alias("template_id"))
+    want = retrieval.outcomes(pairs, relevant)
+    got = experiment.outcomes(queries, routes, 4.0, route_block=8, query_block=4)
+    rounded = lambda d: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.select(sorted(want.columns)).collect())
+    assert [repr(r) for r in rounded(got)] == [repr(r) for r in rounded(want)]
+    one = retrieval.summary(got).orderBy("method").collect()
+    assert [(r.method, r.threshold) for r in one] == sorted(map(tuple, retrieval.thresholds(want).collect()))
+
+
+def test_kinds_leave_few_rows_of_many_copies(spark):
+    """A curve of 5,000 routes reaches a block of scores as one row, and the best routes as its least id."""
+    from pyspark.sql import functions as F
+
+    from vertexloom.operators import experiment
+
+    routes = spark.range(5000).select(F.col("id").alias("route_id"), F.expr("array(array(1D), array(IF(id % 2 = 0, 3D, -0D)))").alias("pts"))
+    got = sorted((r.n, r.ids) for r in experiment.kinds(routes).collect())
+    assert got == [(2500, [0, 2]), (2500, [1, 3])]
+
+
+def test_expected_reciprocal_rank_of_large_groups(spark):
+    from vertexloom.operators import retrieval
+
+    cases = [(0, 3), (5, 1), (31, 40), (40, 2000), (0, 100_000), (70_000, 9)]
+    rows = [(q, "m", 0.0, before, 0, 0, 0) for q, (before, _) in enumerate(cases) if before] + [(q, "m", 1.0, size, 1, 1, before) for q, (before, size) in enumerate(cases)]
+    groups = spark.createDataFrame(rows, "query_id long, method string, score double, size long, rel long, first_id long, before long")
+    got = {r.query_id: r.rr_expected for r in retrieval.outcomes_of(groups).collect()}
+    for q, (before, size) in enumerate(cases):
+        assert abs(got[q] - sum(1 / (before + i) for i in range(1, size + 1)) / size) < 1e-12
