@@ -90,6 +90,23 @@ def test_tables_beyond_the_limit_are_refused():
     assert solve(ref, obs, 1.0, "delete")["counters"]["points"] == 900
 
 
+def test_large_tables_are_solved_unless_a_limit_is_stated():
+    ref = curve((0, 0), (1e6, 0))
+    obs = curve((0, 0), *[(1000 + i, 1000) for i in range(400)], (1e6, 0))
+    got = fewest_deletions(ref, obs, 1.0, witness=True)  # its tables were over half a GB, and the pair was refused
+    assert (got["status"], got["cost"], got["edited_curve"]) == ("optimal", 400, ref.tolist())
+
+
+def test_edges_computed_again_give_the_same(monkeypatch):
+    from vertexloom.kernels import continuous
+
+    ref, obs = curve(*[(i, 0) for i in range(8)]), curve(*[(i / 2, 2 * (i % 3)) for i in range(16)])
+    want = continuous.fewest_deletions(ref, obs, 1.0, witness=True)
+    monkeypatch.setattr(continuous, "KEPT_BYTES", 0)
+    got = continuous.fewest_deletions(ref, obs, 1.0, witness=True)
+    assert {k: v for k, v in got.items() if k != "counters"} == {k: v for k, v in want.items() if k != "counters"} and want["status"] == "optimal"
+
+
 def test_checker_decides_close_roots():
     a, b = checker._Cut(F(0), 1, F(2)), checker._Cut(F(1), 1, F(2) ** 1 + 1 - 2 * F(1))
     assert checker._difference_sign(a, a) == 0 and checker._difference_sign(b, a) == 1
