@@ -79,6 +79,20 @@ def test_audit_refuses(spark):
     assert few.verdict is None and "two fixes" in few.problem
 
 
+def test_audit_looks_at_all_fixes(spark):
+    """A zigzag course of 201 corners that can't be simplified, and a track of 1,001 fixes of which 40 odd ones are far off: none may be left out."""
+    corners = [[100.0 * i, 100.0 * (i % 2)] for i in range(201)]
+    far = set(range(13, 1001, 25))
+    on = [[20.0 * i, 100.0 - abs(100.0 - 20.0 * i % 200.0)] for i in range(1001)]
+    track = [[x, y + 1000.0 * (i in far)] for i, (x, y) in enumerate(on)]
+    d = spark.createDataFrame([(1, corners, track)], "id long, c array<array<double>>, t array<array<double>>")
+    d = d.select("id", scenarios.fixes(F.col("c")).alias("course"), scenarios.fixes(F.col("t")).alias("track"))
+    r = audit.audit(d, 25.0, "id").first()
+    assert (r.verdict, r.cost, r.verification) == ("on_course_after_cleaning", len(far), "verified")
+    assert [g["index"] for g in r.glitches] == sorted(far) and len(r.cleaned_track) == 1001 - len(far)
+    assert len(r.offsets) == 1001 and r.off_corridor == sorted(far)
+
+
 def test_commands(spark, tmp_path, capsys):
     commands.main(["edits", "0,1,2", "0,1,100,2", "--delta", "0.1"], spark)
     got = json.loads(capsys.readouterr().out)

@@ -54,7 +54,7 @@ def _one_track(spark, path: str, name: str) -> DataFrame:
 
 def run_audit(spark, a) -> None:
     pairs = _one_track(spark, a.course, "course").join(_one_track(spark, a.track, "track"), "id")
-    _show(audit.audit(pairs, a.delta, "id").drop("id", "course", "track", "offsets", "coverage", "analysed"))
+    _show(audit.audit(pairs, a.delta, "id").drop("id", "course", "track", "offsets", "coverage"))
 
 
 def run_samples(spark, a) -> None:
