@@ -185,3 +185,23 @@ def test_pairs_of_the_same_curves_are_solved_once():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([curve] * 3), pa.array([curve, curve, [[5.0]]]), pa.array([None] * 3, pa.int32())], ["id", *edits._INPUT])
     got = list(edits._rows(lambda r, o, cap: calls.append(1) or result)([batch]))
     assert got[0].num_rows == 3 and len(calls) == 2
+
+
+def test_words_give_what_columns_give(monkeypatch):
+    """Edit costs by bits equal those by cells, for references up to the word and padded ones."""
+    from vertexloom.kernels import batch as B
+
+    rng = np.random.default_rng(5)
+    for dim, longest in ((1, 8), (2, 20), (1, B.WORD)):
+        a = [rng.integers(0, 6, (int(n), dim)).astype(float) for n in rng.integers(1, longest + 1, 300)] + [rng.integers(0, 6, (longest, dim)).astype(float)]
+        padded = B.padded(a)
+        for n in (1, 2, 7, 30):
+            p = B.Pairs.against(*padded, rng.integers(0, 6, (n, dim)).astype(float))
+            mixed = B.Pairs(a, [rng.integers(0, 6, (int(k), dim)).astype(float) for k in rng.integers(1, n + 1, len(a))])
+            for delta in (0.5, 1.0, 3.0):
+                got = B.edr(p, delta), B.edr(mixed, delta), B.edit_cost(p, delta, "delete"), B.edit_cost(p, delta, "delete", rounded=True)
+                with monkeypatch.context() as cells:
+                    cells.setattr(B, "WORD", 0)
+                    want = B.edr(p, delta), B.edr(mixed, delta), B.edit_cost(p, delta, "delete"), B.edit_cost(p, delta, "delete", rounded=True)
+                for x, y in zip(got, want, strict=True):
+                    assert x.tolist() == y.tolist()
