@@ -205,3 +205,20 @@ def test_words_give_what_columns_give(monkeypatch):
                     want = B.edr(p, delta), B.edr(mixed, delta), B.edit_cost(p, delta, "delete"), B.edit_cost(p, delta, "delete", rounded=True)
                 for x, y in zip(got, want, strict=True):
                     assert x.tolist() == y.tolist()
+
+
+def test_narrow_windows_of_insertions_give_what_long_ones_give(monkeypatch):
+    from vertexloom.kernels import batch as B
+    from vertexloom.kernels.ball import reach
+
+    rng = np.random.default_rng(6)
+    a = [np.cumsum(rng.integers(-4, 5, (int(n), 1)), axis=0).astype(float) for n in rng.integers(1, 14, 200)]
+    b = [np.cumsum(rng.integers(-4, 5, (int(n), 1)), axis=0).astype(float) for n in rng.integers(1, 12, 200)]
+    for delta in (1.0, 3.0):
+        rows = [reach(x, delta) for x in a]
+        for mode in ("insert", "both"):
+            got = B.edit_cost(B.Pairs(a, b), delta, mode, rows)
+            with monkeypatch.context() as wide:
+                wide.setattr(B, "NARROW", 0)
+                assert got.tolist() == B.edit_cost(B.Pairs(a, b), delta, mode, rows).tolist()
+            assert (got < B.NEVER).any()
